@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import op7_license_scan
+from weftgraph.llm import op4_byte_bpe, op7_license_scan
 
-_MODULES = (op7_license_scan,)
+_MODULES = (op4_byte_bpe, op7_license_scan)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: getattr(m, name) for m in _MODULES for name in vars(m) if name.startswith("op") and callable(getattr(m, name))}
+#: Each module is named as its query.
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: getattr(m, name) for m in _MODULES for name in [m.__name__.rpartition(".")[2]]}
 ORACLES: dict[str, str] = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLES", {}).items()}

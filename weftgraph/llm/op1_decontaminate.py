@@ -10,7 +10,8 @@ of the item stands for one value of the document. Where enough windows without
 slots match word by word, slots don't matter.
 
 Placeholders: numbers; units behind a number; names, that is capitalised words
-that begin no sentence (a lower-case letter or , ; : and a blank stand before).
+that begin no sentence (a lower-case letter or , ; : and a blank stand before, and
+a lower-case letter behind the first).
 
 The benchmark is joined in blocks of at most ``BLOCK`` windows, each broadcast;
 one block is the usual case. Items with fewer than K words are one window as
@@ -40,7 +41,7 @@ UNITS = (
     "ms|s|sec|seconds?|min|minutes?|h|hrs?|hours?|days?|weeks?|months?|years?|mph|kph|km/h|hz|khz|mhz|ghz|kb|mb|gb|tb|w|kw|kwh|v|volts?|watts?|amps?|degrees?|percent|dollars?|euros?|cents?|usd|eur"
 )
 NUMBER = r"[0-9](?<![\p{L}\p{N}].)[0-9]*(?:[.,:/][0-9]+)*"
-NAME = r"\p{Lu}(?<=[\p{Ll},;:] .)[\p{L}'-]+(?![\p{L}\p{N}])"
+NAME = r"\p{Lu}(?<=[\p{Ll},;:] .)\p{Ll}[\p{L}'-]*(?![\p{L}\p{N}])"
 UNIT = rf"(?<=[0-9] ?)(?:{UNITS})(?![\p{{L}}\p{{N}}])"
 SLOT = rf"({NAME}|{UNIT}|{NUMBER})"
 SEPARATORS = r"[\x00-/:-`{-\x7f]+"

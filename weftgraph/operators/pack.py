@@ -34,8 +34,9 @@ def fit(items: DataFrame, budget: int, used: int = 0, group: str | None = None)
     folded = F.aggregate(
         "x", start, lambda a, r: F.when(a["used"] + r["tokens"] <= budget, F.struct((a["used"] + r["tokens"]).alias("used"), F.array_append(a["kept"], r["id"].cast("string")).alias("kept"))).otherwise(a)
     )
-    kept = gathered.select(g, F.explode(folded["kept"]).alias("_id")).withColumn("included", F.lit(True))
-    out = base.join(kept, (base[g] == kept[g]) & (base["id"].cast("string") == kept["_id"]), "left").drop(kept[g]).drop("_id").withColumn("included", F.coalesce("included", F.lit(False)))
+    kept = gathered.select(F.col(g).alias("_group"), F.explode(folded["kept"]).alias("_id")).withColumn("included", F.lit(True))
+    mine = F.col(g).eqNullSafe(F.col("_group")) & (F.col("id").cast("string") == F.col("_id"))
+    out = base.join(kept, mine, "left").drop("_group", "_id").withColumn("included", F.coalesce("included", F.lit(False)))
     return out if group else out.drop("_g")
 
 

@@ -1,0 +1,99 @@
+from __future__ import annotations
+
+import datetime as dt
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from weftgraph.functions import scoring as S
+from weftgraph.functions import text as T
+
+
+def one(spark, column, **values):
+    row = spark.range(1)
+    for name, v in values.items():
+        row = row.withColumn(name, v if hasattr(v, "_jc") else F.lit(v))
+    return row.select(column.alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize(("text", "slug"), [("Hello, World!", "hello-world"), ("--", "item"), ("", "item"), ("A" * 100, "a" * 80)])
+def test_slug(spark, text, slug):
+    assert one(spark, T.slugify(F.col("t")), t=text) == slug
+
+
+def test_truncate_and_sentences(spark):
+    assert one(spark, T.truncate(F.col("t"), 8), t="abcdefghij") == "abcde..."
+    assert one(spark, T.truncate(F.col("t"), 3), t="abcdef") == "abc"
+    assert one(spark, T.first_sentences(F.col("t"), 2), t="One. Two! Three? Four.") == "One. Two!"
+
+
+@pytest.mark.parametrize(("text", "side"), [("It is not so", "negative"), ("It is so", "positive"), ("So it goes", "neutral"), ("knot a word", "neutral"), ("We can't", "negative")])
+def test_polarity(spark, text, side):
+    assert one(spark, T.polarity(F.col("t")), t=text) == side
+
+
+def test_redaction_counts_prefix_and_switch(spark):
+    text = "\n".join(["AKIA" + "A" * 16, "AKIA" + "B" * 16, "sk-" + "a" * 40, "sk_live_" + "b" * 24, "Authorization: Bearer abc.def"])
+    clean, counts = T.redact(F.col("t"))
+    assert one(spark, counts, t=text) == {"aws_access_key_id": 2, "openai_api_key": 1, "stripe_live_key": 1, "authorization_bearer": 1}
+    got = one(spark, clean, t=text)
+    assert got.endswith("Authorization: Bearer [REDACTED]") and "AKIA" not in got and got.count("[REDACTED]") == 5
+    assert one(spark, T.redact(F.col("t"), {"employee": r"EMP-\d{6}"})[1], t="EMP-123456") == {"employee": 1}
+    assert one(spark, T.redact(F.col("t"), enabled=False)[0], t=text) == text
+
+
+@pytest.mark.parametrize(("text", "kind"), [("> NOTE: keep it", "NOTE"), ("- WHY: because", "WHY"), ("Note that this", None), ("why: lower case", "WHY"), ("HACK - so", None), ("HACK:  so", "HACK"), ("TODO:", None)])
+def test_rationale_markers(spark, text, kind):
+    assert one(spark, T.rationale_marker(F.col("t")), t=text) == kind
+
+
+def test_estimates_and_matches(spark):
+    assert one(spark, T.estimate_tokens(F.col("t")), t="import x\nplain words") == 6
+    assert one(spark, T.estimate_tokens(F.col("t")), t="") == 0
+    for query, score in (("auth", 100), ("au", 80), ("ut", 60), ("auth flow", 10), ("zzz", 0)):
+        assert one(spark, T.match_score(F.lit(query), F.lit("Auth"))) == score, query
+
+
+def test_small_functions(spark):
+    assert one(spark, T.relation_type(F.lit("depends on!"))) == "DEPENDS_ON"
+    assert one(spark, T.relation_type(F.lit("--"))) == "RELATED_TO"
+    assert one(spark, T.xml_escape(F.lit("<a & 'b'>"))) == "&lt;a &amp; &apos;b&apos;&gt;"
+    assert one(spark, T.cypher_literal(F.lit("it's\n"))) == "'it\\'s\\n'"
+    assert one(spark, T.severity(F.lit(" Critical "))) == "error"
+    assert one(spark, T.timestamp_of_ms(F.lit(3_723_004))) == "01:02:03.004"
+    assert one(spark, T.workflow_verb(F.lit("Set up the thing"))) == "setup"
+    assert [one(spark, T.source_class_of_path(F.lit(p))) for p in ("a/node_modules/b", "dist/x", "i.xcassets/y", "src/z")] == ["third_party", "generated", "resource", "first_party"]
+
+
+def test_decay(spark):
+    now = dt.datetime(2024, 6, 1)
+    score = lambda days, cls: one(spark, S.decay(F.col("c"), F.lit(now).cast("timestamp"), F.col("k")), c=F.lit(None if days is None else now - dt.timedelta(days=days)).cast("timestamp"), k=F.lit(cls).cast("string"))
+    assert score(None, "generated") == 1.0 and score(-5, None) == 1.0
+    assert score(30, "generated") == pytest.approx(0.5) and score(30, "first_party") > 0.9
+    assert score(3650, "first_party") < 0.01
+
+
+def test_jaccard_and_cosine(spark):
+    empty = F.array().cast("array<string>")
+    assert one(spark, S.jaccard(empty, empty, 1.0)) == 1.0 and one(spark, S.jaccard(empty, empty)) == 0.0
+    assert one(spark, S.jaccard(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"), F.lit("c")))) == pytest.approx(1 / 3)
+    v = lambda *x: F.array(*[F.lit(float(i)) for i in x])
+    assert one(spark, S.cosine(v(1, 0), v(1, 0))) == 1.0 and one(spark, S.cosine(v(1, 0), v(0, 0))) == 0.0 and one(spark, S.cosine(v(1), v(1, 2))) == 0.0
+
+
+def test_classes(spark):
+    pick = lambda *c: one(spark, S.first_class(F.array(*[F.lit(x) for x in c]).cast("array<string>")))
+    assert pick("generated", "resource") == "resource" and pick("third_party", "first_party") == "first_party" and pick() is None
+    assert S.large_graph_defaults(10) == {"god_limit": 20, "similarity_edges": 50, "idf_floor": 0.5, "fold_below": 3}
+    assert S.large_graph_defaults(100_000, 300)["similarity_edges"] == 20_000 and S.large_graph_defaults(100_000, 300)["fold_below"] == 6
+
+
+@settings(max_examples=8, deadline=None)
+@given(a=st.lists(st.sampled_from("abcd"), max_size=5), b=st.lists(st.sampled_from("abcd"), max_size=5))
+def test_jaccard_bounds(spark, a, b):
+    arr = lambda x: F.array(*[F.lit(i) for i in x]).cast("array<string>")
+    got = one(spark, S.jaccard(arr(a), arr(b)))
+    want = len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 0.0
+    assert got == pytest.approx(want)

@@ -61,7 +61,7 @@ def group_sessions(pages: DataFrame, key: str, window_hours: float = 24.0, ratio
 
 def episodes(grouped: DataFrame, key: str, least: int = 3) -> DataFrame:
     """Groups of enough pages with their confidence."""
-    return grouped.groupBy(key, "stretch", "group_no").agg(F.count("*").alias("pages"), F.sort_array(F.collect_list("id")).alias("ids")).where(F.col("pages") >= least).withColumn("confidence", F.least(F.lit(1.0), 0.4 + 0.1 * F.col("pages")))
+    return grouped.groupBy(key, "stretch", "group_no").agg(F.count("*").alias("pages"), F.sort_array(F.collect_list("id")).alias("ids")).where(F.col("pages") >= least).withColumn("confidence", F.round(F.least(F.lit(1.0), 0.4 + 0.1 * F.col("pages")), 6))
 
 
 def recurring_nodes(episodic: DataFrame, now: Column, least: int = 3, days: int = 90) -> DataFrame:

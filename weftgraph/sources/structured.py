@@ -155,5 +155,9 @@ def sql_lineage(files: DataFrame, key: str = "path", text: str = "text") -> Data
     bare = F.lower(F.regexp_replace(F.regexp_replace(F.col(text), "--[^\n]*", " "), r"(?s)/\*.*?\*/", " "))
     name = r"([a-z_][a-z0-9_.]*)"
     rules = {"defines": rf"\bcreate\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(?:table|view)\s+(?:if\s+not\s+exists\s+)?{name}", "reads": rf"\bfrom\s+{name}", "joins": rf"\bjoin\s+{name}", "writes": rf"\b(?:insert\s+into|update|delete\s+from|merge\s+into)\s+{name}"}
-    found = [F.transform(F.regexp_extract_all(bare, F.lit(p), F.lit(1)), lambda o, r=r: F.struct(F.lit(r).alias("relation"), o.alias("object"))) for r, p in rules.items()]
+
+    def named(relation: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(bare, F.lit(pattern), F.lit(1)), lambda o: F.struct(F.lit(relation).alias("relation"), o.alias("object")))
+
+    found = [named(r, p) for r, p in rules.items()]
     return files.select(key, F.explode(F.concat(*found)).alias("x")).select(key, "x.relation", "x.object").distinct()

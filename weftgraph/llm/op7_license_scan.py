@@ -163,3 +163,28 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=BASE_PHRASES, k:
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return license_scan(docs).drop("spans")
+
+
+def _sql_list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_TEMPLATE_ROWS = ", ".join(
+    f"({n}, '{label}', {base}, {_sql_list(words_of(text))})" for n, (label, text, base) in enumerate([(a, b, True) for a, b in BASE_PHRASES] + [(a, b, False) for a, b in TEMPLATES])
+)
+ORACLES = {
+    "op7_license_scan": rf"""WITH t(tpl, label, is_base, tw) AS (VALUES {_TEMPLATE_ROWS}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT tpl, label, is_base, tw, len(tw) - {K - 1} AS n, unnest(range(1, len(tw) - {K - 2})) AS tp FROM t),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - {K - 2})) AS p FROM d WHERE len(w) >= {K}),
+h AS (SELECT doc_id, tpl, label, is_base, n, tp, p, p - tp AS diag, is_base AND tp = 1 AND w[p:p + len(tw) - 1] = tw AS base_hit FROM p JOIN g ON w[p] = tw[tp] AND w[p + 1] = tw[tp + 1] AND w[p + 2] = tw[tp + 2]),
+v AS (SELECT doc_id, tpl, label, n, diag, min(p) AS first, max(p) + {K - 1} AS last FROM h WHERE NOT is_base GROUP BY ALL),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, tpl ORDER BY diag) AS run FROM (SELECT *, CASE WHEN diag - lag(diag) OVER (PARTITION BY doc_id, tpl ORDER BY diag) <= {GAP} THEN 0 ELSE 1 END AS fresh FROM v)),
+s AS (SELECT r.doc_id, r.tpl, r.label, min(r.first) AS first, max(r.last) AS last, count(DISTINCT h.tp) / r.n AS covered FROM r JOIN h USING (doc_id, tpl, diag) GROUP BY r.doc_id, r.tpl, r.label, r.n, r.run HAVING count(DISTINCT h.tp) / r.n >= {COVERAGE}),
+k AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.doc_id = s.doc_id AND o.first <= s.last AND o.last >= s.first AND o.covered > s.covered)),
+b AS (SELECT doc_id, count(*) AS n_base, min(p) - 1 AS first_word, max(p) - 1 AS last_word, list_distinct(list(label)) AS labels FROM h WHERE base_hit GROUP BY doc_id),
+m AS (SELECT doc_id, list_distinct(list(label)) AS labels, max(covered) AS best FROM k GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ','), '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id)""",
+}

@@ -271,3 +271,12 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document whose id is divisible by 100, as a query against all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return top_k(docs, docs.where(F.col("doc_id") % 100 == 0)).withColumn("score", F.round("score", 4))
+
+
+ORACLES = {
+    "op8_topk_search": rf"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+c AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d), p AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, unnest(w) AS term, len(w) AS dl FROM d) GROUP BY doc_id, term),
+f AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, c GROUP BY term, n),
+s AS (SELECT q.doc_id AS query_id, p.doc_id, sum(q.tf * idf * p.tf * {K1 + 1} / (p.tf + {K1} * ({1 - B} + {B} * p.dl / mean))) AS score FROM p q JOIN p ON p.term = q.term JOIN f ON f.term = q.term, c WHERE q.doc_id % 100 = 0 GROUP BY 1, 2)
+SELECT query_id, rank::INTEGER AS rank, doc_id, round(score, 4)::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 8) DESC, doc_id) AS rank FROM s) WHERE rank <= {TOP}""",
+}

@@ -9,6 +9,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 2_000
 _OWN: dict[str, str] = {}
 
 
@@ -35,6 +36,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch than Spark's 10,000: texts are long, and both sides hold a batch whole. A smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def crc32_mod(key: Column, mod: int) -> Column:
     """crc32 of the key's decimal text, modulo; a null key counts as 0."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % F.lit(mod), F.lit(0))

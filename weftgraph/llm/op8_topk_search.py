@@ -36,16 +36,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftgraph.llm.common import written
+from weftgraph.llm.common import bounded_batches, written
 
 K1, B, TOP = 1.2, 0.75, 10
 BLOCK = 64
-SHARD_DOCS, SHARD_CHARS = 16_384, 32_000_000
-QUERY_TERMS = 2_000_000
+SHARD_DOCS, SHARD_CHARS = 16_384, 16_000_000
+CHARS = 2_000_000
+QUERY_TERMS = 1_000_000
 MARGIN = 1e-9
 
 _SPLITS = np.ones(256, dtype=bool)
@@ -66,11 +68,25 @@ def split_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
 
 
 def counted(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words, term, doc, tf, length): the distinct words, and each pair of word and text, ordered by word and text."""
-    words, length = split_words(texts)
-    coded = words.dictionary_encode()
-    pair, tf = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(texts) + np.repeat(np.arange(len(texts)), length), return_counts=True)
-    return coded.dictionary, pair // max(1, len(texts)), pair % max(1, len(texts)), tf, length
+    """(words, term, doc, tf, length): the distinct words, and each pair of word and text, ordered by word and text. Splits CHARS characters at a time, or one longer text."""
+    known: dict[bytes, int] = {}
+    pairs, times, lengths, begin, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, 0
+    for at in range(len(texts) + 1):
+        if at > begin and (at == len(texts) or size + len(texts[at]) > CHARS):
+            words, length = split_words(texts[begin:at])
+            coded = words.dictionary_encode()
+            own = np.fromiter((known.setdefault(w, len(known)) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+            pair, tf = np.unique(own[coded.indices.to_numpy(zero_copy_only=False)] * len(texts) + np.repeat(np.arange(begin, at), length), return_counts=True)
+            pairs.append(pair)
+            times.append(tf)
+            lengths.append(length)
+            begin, size = at, 0
+        if at < len(texts):
+            size += len(texts[at])
+    pair = np.concatenate(pairs)
+    order = np.argsort(pair)
+    pair = pair[order]
+    return pa.array(list(known), pa.binary()), pair // max(1, len(texts)), pair % max(1, len(texts)), np.concatenate(times)[order], np.concatenate(lengths)
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -81,7 +97,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         df = np.bincount(term, minlength=len(terms))
         return pa.RecordBatch.from_pydict(
             {
-                "n": [len(texts)], "total": [int(length.sum())], "keys": pa.array([keys], pa.list_(pa.int64())), "terms": pa.array([terms.to_pylist()], pa.list_(pa.binary())), "df": pa.array([df.tolist()], pa.list_(pa.int64())),
+                "n": [len(texts)], "total": [int(length.sum())], "keys": pa.array([keys], pa.list_(pa.int64())), "terms": pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), terms), "df": pa.ListArray.from_arrays(pa.array([0, len(df)], pa.int32()), pa.array(df, pa.int64())),
                 "length": [length.astype("<i4").tobytes()], "doc": [doc.astype("<i4").tobytes()], "tf": [tf.astype("<i4").tobytes()],
             }
         )
@@ -99,6 +115,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         if texts:
             yield shard(keys, texts)
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return written(rows.mapInArrow(build, "n long, total long, keys array<bigint>, terms array<binary>, df array<bigint>, length binary, doc binary, tf binary"), "index")
 
@@ -106,10 +123,10 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 class Shard:
     """A shard's index over the words of a block of queries."""
 
-    def __init__(self, row: dict, vocabulary: dict[bytes, int], mean: float):
+    def __init__(self, row: dict, vocabulary: pa.Array, mean: float):
         self.keys, self.n = row["keys"], row["n"]
-        own = np.array([vocabulary.get(t, -1) for t in row["terms"]], np.int64)
-        df = np.array(row["df"], np.int64)
+        own = pc.index_in(row["terms"], value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        df = row["df"].to_numpy(zero_copy_only=False)
         length = np.frombuffer(row["length"], "<i4")
         keep = np.repeat(own >= 0, df)
         self.doc = np.frombuffer(row["doc"], "<i4")[keep].astype(np.int64)
@@ -183,10 +200,31 @@ def best(scored: list[tuple[float, int]], k: int) -> list[tuple[float, int]]:
     return sorted(scored, key=lambda x: (-x[0], x[1] is None, x[1] or 0))[:k]
 
 
-def _ordered(row: dict, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    weights = np.array(row["weights"], float)
-    order = np.argsort(-weights, kind="stable")
-    return np.array([vocabulary[t] for t in row["terms"]], np.int64)[order], weights[order]
+def _shards(batch: pa.RecordBatch | pa.Table) -> Iterator[dict]:
+    """The rows of an index without a copy of what they hold."""
+    for i in range(batch.num_rows):
+        cell = {c: batch.column(c)[i] for c in batch.schema.names}
+        yield {
+            "n": cell["n"].as_py(), "keys": cell["keys"].as_py(), "terms": cell["terms"].values, "df": cell["df"].values, **{c: cell[c].as_buffer() for c in ("length", "doc", "tf")},
+        }
+
+
+def _flat(lists: pa.Array | pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """The items of all lists, and where each list ends."""
+    whole = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
+    if isinstance(whole, pa.ChunkedArray):
+        return pa.array([], lists.type.value_type), np.zeros(0, np.int64)
+    return whole.flatten(), np.cumsum(pc.list_value_length(whole).to_numpy(zero_copy_only=False))
+
+
+def _queries(rows: pa.Table) -> dict:
+    """A block of queries: its vocabulary, and each query's terms as places in that, by falling weight."""
+    terms, ends = _flat(rows.column("terms"))
+    weights = _flat(rows.column("weights"))[0].to_numpy(zero_copy_only=False)
+    coded = terms.dictionary_encode()
+    order = np.lexsort((-weights, np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))))
+    place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+    return {"vocabulary": coded.dictionary, "ids": rows.column("query_id").to_numpy(), "thresholds": rows.column("threshold").to_numpy(), "ends": ends, "terms": place[order], "weights": weights[order]}
 
 
 def query_weights(queries: DataFrame, index: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, float]:
@@ -215,19 +253,25 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP, key: str = "doc_id"
     spark = docs.sparkSession
     index = build_index(docs, key, text)
     weighed, mean = query_weights(queries, index, key, text)
-    sample = index.limit(1).collect()  # one shard, bounded by its limits
-    if not sample:
+    sample = index.limit(1).toArrow()  # one shard, bounded by its limits
+    if not sample.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    seed = spark.sparkContext.broadcast(sample[0].asDict())
+    seed = spark.sparkContext.broadcast(sample)
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = {t: i for i, t in enumerate(seed.value["terms"])}
-        shard, dense = Shard(seed.value, vocabulary, mean), np.zeros(len(vocabulary))
+        row = next(_shards(seed.value))
+        vocabulary = row["terms"]
+        shard, dense = Shard(row, vocabulary, mean), np.zeros(len(vocabulary))
         for batch in batches:
+            terms, ends = _flat(batch.column("terms"))
+            place = pc.index_in(terms, value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            weights = _flat(batch.column("weights"))[0].to_numpy(zero_copy_only=False)
             made = []
-            for row in batch.select(["terms", "weights"]).to_pylist():
-                kept = [(t, w) for t, w in zip(row["terms"], row["weights"], strict=True) if t in vocabulary]
-                found = shard.search(*_ordered({"terms": [t for t, _ in kept], "weights": [w for _, w in kept]}, vocabulary), dense, 0.0, k) if kept else []
+            for begin, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False):
+                own, w = place[begin:end], weights[begin:end]
+                own, w = own[own >= 0], w[own >= 0]
+                order = np.argsort(-w, kind="stable")
+                found = shard.search(own[order], w[order], dense, 0.0, k)
                 made.append(found[-1][0] if len(found) == k else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], [*batch.schema.names, "threshold"])
 
@@ -236,8 +280,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP, key: str = "doc_id"
     shards = index.repartition(max(1, min(index.count(), 10_000)))
     parts = []
     for b in range(blocks):
-        own = [r.asDict() for r in plan.where(F.pmod(F.xxhash64("query_id", "row"), F.lit(blocks)) == b).collect()]  # about query_terms terms
-        parts.append(shards.mapInArrow(_searcher(spark.sparkContext.broadcast(own), mean, k), "query_id long, doc_id long, score double"))
+        own = plan.where(F.pmod(F.xxhash64("query_id", "row"), F.lit(blocks)) == b).toArrow()  # about query_terms terms
+        parts.append(shards.mapInArrow(_searcher(spark.sparkContext.broadcast(_queries(own)), mean, k), "query_id long, doc_id long, score double"))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
@@ -247,18 +291,13 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP, key: str = "doc_id"
 
 def _searcher(block, mean: float, k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = block.value
-        vocabulary: dict[bytes, int] = {}
-        for q in queries:
-            for t in q["terms"]:
-                vocabulary.setdefault(t, len(vocabulary))
-        ready = [(q["query_id"], *_ordered(q, vocabulary)) for q in queries]
-        threshold, dense = [q["threshold"] for q in queries], np.zeros(len(vocabulary))
+        q = block.value
+        ends, threshold, dense = q["ends"].tolist(), q["thresholds"].tolist(), np.zeros(len(q["vocabulary"]))
         for batch in batches:
-            for row in batch.to_pylist():
-                shard, out = Shard(row, vocabulary, mean), []
-                for at, (query, terms, weights) in enumerate(ready):
-                    found = shard.search(terms, weights, dense, threshold[at], k)
+            for row in _shards(batch):
+                shard, out = Shard(row, q["vocabulary"], mean), []
+                for at, (query, begin, end) in enumerate(zip(q["ids"].tolist(), [0, *ends], ends, strict=False)):
+                    found = shard.search(q["terms"][begin:end].astype(np.int64), q["weights"][begin:end], dense, threshold[at], k)
                     out += [(query, d, s) for s, d in found]
                     if len(found) == k:
                         threshold[at] = max(threshold[at], found[-1][0])

@@ -62,7 +62,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = op4_byte_bpe.bpe_decode(op4_byte_bpe.bpe_encode(docs, path, public_tokenizers.PATTERN), path)
+    coded = op4_byte_bpe.bpe_encode(docs, path, public_tokenizers.PATTERN, decode=True)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.octet_length("bytes").cast("long").alias("n_bytes"))
 
 

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftgraph.llm.common import bounded_batches
+
 CHUNK = 32_768
 OVERLAP = 2_048
 PIECES_PER_BATCH = 512
@@ -70,11 +72,13 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, PIECES_PER_BATCH)
 
 
-def _encoder(path: str, pattern: str):
+def _encoder(path: str, pattern: str, decode: bool):
     def encode(batches):
         for batch in _small(batches):
-            made = pa.array([encode_text(t, path, pattern) for t in batch.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in batch.schema.names if n != "text"), made], [*(n for n in batch.schema.names if n != "text"), "ids"])
+            ids = [encode_text(t, path, pattern) for t in batch.column("text").to_pylist()]
+            made = {"ids": pa.array(ids, pa.binary())} | ({"bytes": pa.array([decode_ids(x, path) for x in ids], pa.binary())} if decode else {})
+            rest = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), *made.values()], [*rest, *made])
 
     return encode
 
@@ -99,12 +103,14 @@ def _scanner(pattern: str, chunk: int, overlap: int):
     return scan
 
 
-def bpe_encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(key, ids): the ids of each text as little-endian unsigned 32-bit integers."""
+def bpe_encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, decode: bool = False) -> DataFrame:
+    """(key, ids): the ids of each text as little-endian unsigned 32-bit integers; with ``decode`` also the bytes that they decode to, piece by piece where they were made."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    encode = _encoder(path, pattern)
-    short = rows.where(F.length("text") <= chunk).mapInArrow(encode, f"k {kind}, ids binary")
+    encode, made = _encoder(path, pattern, decode), ["ids", *["bytes"] * decode]
+    kinds = ", ".join(f"{c} binary" for c in made)
+    short = rows.where(F.length("text") <= chunk).mapInArrow(encode, f"k {kind}, {kinds}")
 
     long = rows.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
     number = F.ceil(F.length("text") / F.lit(chunk)).cast("int")
@@ -128,10 +134,11 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
     pieces = stitched.select("k", "row", "n", "lost", piece.alias("text"))
     whole = (
         pieces.where("lost").groupBy("k", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "").alias("text"))
-        .select("k", "text").mapInArrow(encode, f"k {kind}, ids binary")
+        .select("k", "text").mapInArrow(encode, f"k {kind}, {kinds}")
     )
-    coded = pieces.where(~F.col("lost")).select("k", "row", "n", "text").mapInArrow(encode, f"k {kind}, row long, n int, ids binary")
-    joined = coded.groupBy("k", "row").agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "ids"))), lambda x: F.hex(x["ids"])), "")).alias("ids")).select("k", "ids")
+    coded = pieces.where(~F.col("lost")).select("k", "row", "n", "text").mapInArrow(encode, f"k {kind}, row long, n int, {kinds}")
+    ordered = coded.groupBy("k", "row").agg(F.array_sort(F.collect_list(F.struct("n", *made))).alias("x"))
+    joined = ordered.select("k", *[F.unhex(F.array_join(F.transform("x", lambda x: F.hex(x[c])), "")).alias(c) for c in made])  # noqa: B023
     return short.unionByName(joined).unionByName(whole).withColumnRenamed("k", key)
 
 
@@ -151,5 +158,5 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    both = bpe_decode(bpe_encode(docs, path, public_tokenizers.PATTERN), path)
+    both = bpe_encode(docs, path, public_tokenizers.PATTERN, decode=True)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import crc32_mod, written
+from weftgraph.llm.common import bounded_batches, crc32_mod, written
 
 HEAD = 131_072
 BYTES = 8_000_000
@@ -160,6 +160,7 @@ def _lattice(path: str, counts: tuple[tuple[int, int], ...], ends: int) -> Latti
 def lm_scores(docs: DataFrame, learn: Column, path: str, key: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
     """(key, learnt, n_tokens, n_known, train_tokens, base_score, score) of every row; ``learn`` marks the rows to learn from."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"), learn.alias("learn"))
     words = written(word_counts(rows), "words")

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import bounded_broadcast, crc32_mod
+from weftgraph.llm.common import bounded_batches, bounded_broadcast, crc32_mod
 
 MAX_LABELS = 20_000
 MAX_TOKENS = 20_000
@@ -191,6 +191,7 @@ def _logit(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_labels: int = MAX_LABELS, max_tokens: int = MAX_TOKENS) -> Model:
     """The model from docs that labels name; the caller leaves out the rows it holds out."""
+    bounded_batches(docs.sparkSession)
     drawn = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.max("toxic") > 0).cast("int").alias("toxic")).orderBy(F.xxhash64("k"), "k").limit(max_labels)
     known = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(bounded_broadcast(drawn, max_labels), "k").select("text", "toxic")
     scores, gap = token_scores(known, max_tokens)
@@ -209,6 +210,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def detect(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with score, predicted and passages (first_word, last_word, score, expected) for every row."""
+    bounded_batches(docs.sparkSession)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     passage = pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())]))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import crc32_mod
+from weftgraph.llm.common import bounded_batches, crc32_mod
 from weftgraph.llm.pretokens import LETTER, classes
 
 SYMBOLS = 64
@@ -35,6 +35,7 @@ DIMENSIONS = 1_024
 SEED = 20_240_229
 ROWS = 256
 CHARS = 2_000_000
+GRAMS = 8_192
 
 
 @functools.lru_cache(maxsize=1)
@@ -111,13 +112,17 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions: i
             found = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(found), pa.string()), "gram": pa.array(found, pa.int64()), "n": pa.array(total[found], pa.int64())})
 
+    bounded_batches(docs.sparkSession)
     known = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     names, profiles = [], []
     for name, own in counts.groupby("lang"):
         names.append(name)
-        bundle = own["n"].to_numpy(np.float64)[None, :] @ gram_vectors(own["gram"].to_numpy(), dimensions, seed)
-        profiles.append(bundle[0] / max(np.linalg.norm(bundle[0]), 1e-12))
+        own, bundle = own.sort_values("gram"), np.zeros(dimensions)
+        for at in range(0, len(own), GRAMS):
+            part = own.iloc[at : at + GRAMS]
+            bundle += part["n"].to_numpy(np.float64) @ gram_vectors(part["gram"].to_numpy(), dimensions, seed)
+        profiles.append(bundle / max(np.linalg.norm(bundle), 1e-12))
     return names, np.array(profiles, dtype=np.float32).reshape(len(names), dimensions)
 
 
@@ -127,8 +132,12 @@ def cosines(texts: list[str], profiles: np.ndarray, seed: int) -> tuple[np.ndarr
     found = np.flatnonzero(np.bincount(grams, minlength=1))
     column = np.zeros(SYMBOLS**3, np.int64)
     column[found] = np.arange(len(found))
-    counts = np.bincount(of * len(found) + column[grams], minlength=len(texts) * len(found)).reshape(len(texts), len(found)).astype(np.float32)
-    bundles = counts @ gram_vectors(found, profiles.shape[1], seed)
+    place, bundles = column[grams], np.zeros((len(texts), profiles.shape[1]), np.float32)
+    for at in range(0, len(found), GRAMS):  # texts in many scripts have more different trigrams than fit at once
+        part = found[at : at + GRAMS]
+        own = (place >= at) & (place < at + GRAMS)
+        counts = np.bincount(of[own] * len(part) + place[own] - at, minlength=len(texts) * len(part)).reshape(len(texts), len(part)).astype(np.float32)
+        bundles += counts @ gram_vectors(part, profiles.shape[1], seed)
     lengths = np.linalg.norm(bundles, axis=1)
     return np.bincount(of, minlength=len(texts)) > 0, bundles @ profiles.T / np.maximum(lengths, 1e-12)[:, None]
 
@@ -136,6 +145,7 @@ def cosines(texts: list[str], profiles: np.ndarray, seed: int) -> tuple[np.ndarr
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", seed: int = SEED) -> DataFrame:
     """docs with lang_pred and score (the cosine, 0 at least) for every row."""
     names, profiles = model
+    bounded_batches(docs.sparkSession)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

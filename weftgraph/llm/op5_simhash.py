@@ -36,12 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import written
+from weftgraph.llm.common import bounded_batches, written
 
 WIDTH, BITS, SEED = 4, 4, 42
 BLOCK = 2_048
 PAIRS = 2_000_000
-ROWS = 512
+GATHER = 65_536
 
 
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
@@ -70,6 +70,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
             made = np.fromiter((fingerprint(t, width) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(made.view(np.int64))], ["k", "print"])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("k"), F.col(text).alias("text")).mapInArrow(make, f"k {kind}, print long").withColumnRenamed("k", key)
 
@@ -131,7 +132,7 @@ def _links_of_lists(bits: int, least: int):
             if batch is not None:
                 held_key = np.concatenate([held_key, batch.column("list").to_numpy(zero_copy_only=False)])
                 held = np.concatenate([held, batch.column("print").to_numpy(zero_copy_only=False).view(np.uint64)])
-                if not len(held_key):
+                if len(held_key) < GATHER:
                     continue
                 whole = int(np.searchsorted(held_key, held_key[-1]))  # the last list may go on
             else:

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.llm.common import bounded_batches
+
 SIGMA = 1.0
 SHARE = 0.9
 ROWS = 256
@@ -204,6 +206,7 @@ def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page
                 made = pa.array([main_text(h) for h in batch.column("html").to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), made], [*keep, "text"])
 
+    bounded_batches(pages.sparkSession)
     kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
     return pages.select(*keep, F.col(html).alias("html")).mapInArrow(work, f"{kinds}, text string")
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftgraph.llm.common import shared_dir, written
+from weftgraph.llm.common import bounded_batches, shared_dir, written
 from weftgraph.llm.pretokens import Coder
 
 BLOCK = 65_536
@@ -205,6 +205,7 @@ def _coder(path: str, end: int) -> tuple[Coder, bool]:
 def write_shards(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
     """Encodes and writes; the manifest (path, first, entries, tokens), one row for each shard, ``first`` being its first key's bytes."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     folder = folder or f"{shared_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

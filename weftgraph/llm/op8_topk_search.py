@@ -185,12 +185,15 @@ class Shard:
             least = np.partition(reached[found], -k)[-k]
             found = found[reached[found] >= least - MARGIN]
         dense[terms] = weights
-        scored = []
-        for d in found.tolist():
-            span = slice(self.doc_ends[d - 1] if d else 0, self.doc_ends[d])
-            parts = dense[self.by_doc_term[span]] * self.by_doc_impact[span]
-            if parts.sum() >= floor:
-                scored.append((math.fsum(parts[parts > 0].tolist()), self.keys[d]))
+        ends = self.doc_ends[found]
+        size = ends - np.where(found > 0, self.doc_ends[found - 1], 0)
+        at = self._spans(ends - size, size)
+        parts = dense[self.by_doc_term[at]] * self.by_doc_impact[at]
+        sums, stop = np.bincount(np.repeat(np.arange(len(found)), size), parts, minlength=len(found)), np.cumsum(size)
+        if len(found) > k:  # what k others beat by more than rounding can't be among the best
+            floor = max(floor, np.partition(sums, -k)[-k] - MARGIN)
+        kept = np.flatnonzero(sums >= floor)
+        scored = [(math.fsum(parts[stop[i] - size[i] : stop[i]].tolist()), self.keys[found[i]]) for i in kept.tolist()]
         dense[terms] = 0.0
         return best(scored, k)
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from weftgraph.operators import analysis as A
@@ -185,3 +186,22 @@ def test_import_and_call_resolution(spark):
     local = spark.createDataFrame([("m", "g", "m.g"), ("m", "f", "m.f")], "module string, name string, symbol string")
     far = spark.createDataFrame([("m", "h", "n.h"), ("m", "g", "n.g")], "module string, name string, symbol string")
     assert {(r["target"], r["confidence"]) for r in A.resolve_calls(calls, local, far).collect()} == {("m.g", 1.0), ("n.h", 0.8)}
+
+
+def test_embedding_edges_at_every_size(spark):
+    """More vectors than any earlier bound, against all pairs by numpy; with zero, null and shorter vectors."""
+    rng = np.random.default_rng(7)
+    v = (rng.normal(size=(300, 8))[rng.integers(0, 300, 3000)] + 0.15 * rng.normal(size=(3000, 8))).astype(np.float32)
+    v[10:14] = v[10]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(9001, [0.0] * 8), (9002, None), (9003, v[0, :5].tolist()), (9004, [])]
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    want = {}
+    for a in range(len(v)):
+        c = unit[a + 1 :] @ unit[a]
+        near = np.flatnonzero(c >= 0.82)
+        for k in sorted(near.tolist(), key=lambda k: (-round(float(c[k]), 12), k))[:3]:
+            want[(a, a + 1 + k)] = round(float(c[k]), 3)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for block in (32_768, 300):
+        got = {(r["a"], r["b"]): r["confidence"] for r in R.embedding_edges(df, block=block).collect()}
+        assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.0011 for k in want)

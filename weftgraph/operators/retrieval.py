@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +15,8 @@ from weftgraph.functions.scoring import cosine
 
 STATUS_ORDER = ("active", "draft", "candidate")
 KIND_ORDER = ("source", "module", "output")
+# Vectors in a block, blocks at least, pairs compared at a time.
+VECTORS, BLOCKS, PAIRS = 32_768, 8, 4_000_000
 
 
 def build_index(pages: DataFrame, key: str = "doc_id", body: str = "text", title: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -75,12 +81,82 @@ def ranked(df: DataFrame, *order: Column | str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def embedding_edges(vectors: DataFrame, least: float = 0.82, per_node: int = 3, most: int = 240, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(a, b, confidence): for each vector its closest later ones. As the pairs are all compared, none are made beyond ``most`` vectors."""
-    if vectors.limit(most + 1).count() > most:
-        return vectors.limit(0).select(F.col(key).alias("a"), F.col(key).alias("b"), F.lit(0.0).alias("confidence"))
-    left, right = vectors.select(F.col(key).alias("a"), F.col(vector).alias("va")), vectors.select(F.col(key).alias("b"), F.col(vector).alias("vb"))
-    near = left.join(F.broadcast(right), F.col("a") < F.col("b")).select("a", "b", cosine(F.col("va"), F.col("vb")).alias("c")).where(F.col("c") >= least)
+def _edges_of_cells(least: float, per_node: int):
+    """Rows (cell, same, is_left, key, v) sorted by cell, which is a pair of blocks; of each cell the best links of every vector."""
+
+    def best(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort([b, -c, a])
+        a, b, c = a[order], b[order], c[order]
+        begin = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])[: len(a)])
+        kept = np.arange(len(a)) - np.repeat(begin, np.diff(np.append(begin, len(a)))) < per_node
+        return a[kept], b[kept], c[kept]
+
+    def compare(cell: pa.Table) -> pa.RecordBatch:
+        v = cell.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(cell.num_rows, -1)
+        square = np.zeros(len(v))
+        for d in range(v.shape[1]):  # element by element, as ``cosine`` sums
+            square += v[:, d] * v[:, d]
+        usable = np.flatnonzero(np.isfinite(square) & (square > 0))
+        keys, is_left = cell.column("key").combine_chunks().take(pa.array(usable)), cell.column("is_left").combine_chunks().to_numpy(zero_copy_only=False)[usable]
+        v, length = v[usable], np.sqrt(square[usable])
+        names, rank = np.unique(keys.to_numpy(zero_copy_only=False), return_inverse=True)
+        same = cell.column("same")[0].as_py()
+        left, right = np.flatnonzero(is_left), np.arange(len(v)) if same else np.flatnonzero(~is_left)
+        unit, columns = (v / length[:, None]).astype(np.float32), np.ascontiguousarray(v.T)
+        nearly = np.float32(least - 1e-6 - 2.4e-7 * v.shape[1])  # float32 is off by less
+        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        step = max(1, PAIRS // max(1, len(right)))
+        for at in range(0, len(left), step):
+            i, j = np.nonzero(unit[left[at : at + step]] @ unit[right].T >= nearly)
+            i, j = left[at + i], right[j]
+            once = (rank[i] < rank[j]) if same else (rank[i] != rank[j])
+            i, j = i[once], j[once]
+            c = np.zeros(len(i))
+            for x in columns:
+                c += x[i] * x[j]
+            c /= length[i] * length[j]
+            close = np.flatnonzero(c >= least)
+            a, b = np.minimum(rank[i[close]], rank[j[close]]), np.maximum(rank[i[close]], rank[j[close]])
+            found = best(*(np.concatenate(x) for x in zip(found, (a, b, c[close]), strict=True)))
+        a, b = (pa.array(names[x], keys.type) for x in found[:2])
+        return pa.RecordBatch.from_arrays([a, b, pa.array(found[2])], ["a", "b", "c"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            cells = batch.column("cell").to_numpy(zero_copy_only=False)
+            begin = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])[: len(cells)])
+            for at, end in zip(begin.tolist(), [*begin[1:].tolist(), len(cells)], strict=True):
+                if held and cells[at] != now:
+                    yield compare(pa.Table.from_batches(held))
+                    held = []
+                now = cells[at]
+                held.append(batch.slice(at, end - at))
+        if held:
+            yield compare(pa.Table.from_batches(held))
+
+    return link
+
+
+def embedding_edges(vectors: DataFrame, least: float = 0.82, per_node: int = 3, key: str = "vec_id", vector: str = "embedding", block: int = VECTORS) -> DataFrame:
+    """(a, b, confidence): for each vector its closest later ones, at every size.
+
+    All pairs are compared, exactly: vectors are dealt in blocks, each pair of
+    blocks is one task's matrix product, and what float32 finds near ``least`` is
+    summed again as ``cosine`` does. Only the best of each vector leave a task.
+    Vectors that are null, zero, of another length or hold a null or NaN have no links.
+    """
+    if least <= 0:
+        raise ValueError("least must be over 0: vectors without a direction have cosine 0")
+    own = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v")).where(F.col("key").isNotNull() & (F.size("v") > 0))
+    blocks = max(BLOCKS, -(-own.count() // block))
+    placed = own.select("key", "v", F.size("v").alias("n"), F.pmod(F.xxhash64("key", "v"), F.lit(blocks)).cast("int").alias("own"))
+    # Cell (i, j), i <= j: a block goes to every cell of its row and column.
+    cells = placed.select("key", "v", "n", "own", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    number = (F.col("n").cast("long") * blocks + F.least("own", "other")) * blocks + F.greatest("own", "other")
+    dealt = cells.select(number.alias("cell"), (F.col("own") == F.col("other")).alias("same"), (F.col("own") <= F.col("other")).alias("is_left"), "key", "v")
+    kind = own.schema["key"].dataType.simpleString()
+    near = dealt.repartition(blocks * (blocks + 1) // 2, "cell").sortWithinPartitions("cell").mapInArrow(_edges_of_cells(least, per_node), f"a {kind}, b {kind}, c double")
     top = near.withColumn("rn", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))).where(F.col("rn") <= per_node)
     return top.select("a", "b", F.round("c", 3).alias("confidence"))
 

@@ -15,6 +15,7 @@ from weftgraph.llm import op1_decontaminate, op2_toxicity, op3_language_id, op4_
 from weftgraph.llm.common import bounded_broadcast, slot_free, written
 
 MIN_LANGUAGE_SCORE = 0.01
+MIN_SIMILARITY = 0.8
 BROADCAST_ROWS = 1_000_000
 
 
@@ -41,10 +42,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: the one with the smallest doc_id, of equal ones the first row."""
+    """Keeps one document of each group of near-duplicates, by fingerprints or by five-word shingles: the one with the smallest doc_id, of equal ones the first row."""
     numbered, row = _numbered(docs)
     keyed = numbered.select(F.struct("doc_id", row).alias("key"), "text")
-    groups = op5_simhash.near_duplicates(keyed, key="key")
+    groups = op5_simhash.near_duplicates(keyed, key="key", similarity=MIN_SIMILARITY)
     kept = groups.where(F.col("key") == F.col("component_id")).select(F.col(f"key.{row}").alias(row))
     return numbered.join(kept, row, "left_semi").drop(row)
 

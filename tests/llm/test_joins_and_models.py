@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -244,3 +245,38 @@ def test_pipeline_stages_take_odd_rows(spark):
         for rows in (docs, docs.limit(0)):
             out = stage(spark, corpus_pipeline.written(rows, "odd"), BIG)
             assert out.count() <= 7 and (name == "token_ids" or out.columns == docs.columns)
+
+
+def test_near_duplicates_stage_catches_similar_texts(spark):
+    """Every pair of five-word similarity 0.8 or more, most of them beyond 4 bits, and no other beside those within 4 bits."""
+    rng, texts = random.Random(11), []
+    for n in range(150):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(150, 500) if n else 3)]
+        texts.append(" ".join(words))
+        for _ in range(2):
+            texts.append(" ".join(f"x{rng.randrange(5000)}" if rng.random() < 0.02 * rng.random() else w for w in words).upper())
+    texts += ["", None]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for t in texts)]
+    prints, parent = np.array([slow_print(t) for t in texts], np.uint64), list(range(len(texts)))
+    missed = 0
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        close, both = int(np.bitwise_count(prints[i] ^ prints[j])) <= 4, len(sets[i] & sets[j])
+        similar = both >= 0.8 * (len(sets[i]) + len(sets[j]) - both)
+        missed += similar and not close
+        if close or similar:
+            a, b = sorted((root(i), root(j)))
+            parent[b] = a
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert missed and sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, BIG).collect()) == sorted({root(i) for i in range(len(texts))})
+    own = op5_simhash.written(op5_simhash.sketches(docs), "test")
+    want = {tuple(sorted((int(a), int(b)))) for i, j in itertools.combinations(range(len(texts)), 2) if (a := prints[i].astype(np.int64)) != (b := prints[j].astype(np.int64)) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    names = lambda df: {r["node"]: r["root"] for r in op5_simhash.components(df).collect()}
+    whole = names(spark.createDataFrame(sorted(want), "a long, b long"))
+    for block in (256, 1):
+        assert names(op5_simhash.set_links(own, block=block)) == whole

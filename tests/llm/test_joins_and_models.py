@@ -280,3 +280,12 @@ def test_near_duplicates_stage_catches_similar_texts(spark):
     whole = names(spark.createDataFrame(sorted(want), "a long, b long"))
     for block in (256, 1):
         assert names(op5_simhash.set_links(own, block=block)) == whole
+
+
+def test_leaks_in_other_case_and_with_names_first(spark):
+    start = "Tom buys 12 red apples at the market. Tom gives 3 apples to a friend. Tom eats 2 apples on the way. How many apples are left now"
+    copy = start.replace("Tom", "Sam").replace("12", "45").replace("3", "9").replace("2 apples", "7 apples")
+    bench = spark.createDataFrame([(1, ITEM), (2, start)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, ITEM.lower()), (2, ITEM.upper()), (3, copy), (5, "Tom buys 3 pears. Tom sleeps")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in op1_decontaminate.contaminations(docs, bench).collect()}
+    assert got == {(1, 1): "exact", (2, 1): "exact", (3, 2): "reparameterised"}

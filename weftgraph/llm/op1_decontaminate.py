@@ -11,7 +11,10 @@ slots match word by word, slots don't matter.
 
 Placeholders: numbers; units behind a number; names, that is capitalised words
 that begin no sentence (a lower-case letter or , ; : and a blank stand before, and
-a lower-case letter behind the first).
+a lower-case letter behind the first). Two more templates find what this misses:
+one takes every capitalised word as a name, so names that begin sentences count;
+one has the plain lower-cased words, so copies in other case count. Where several
+find an occurrence alike, its word places are those of the first.
 
 The benchmark is joined in blocks of at most ``BLOCK`` windows, each broadcast;
 one block is the usual case. Items with fewer than K words are one window as
@@ -42,14 +45,19 @@ UNITS = (
 )
 NUMBER = r"[0-9](?<![\p{L}\p{N}].)[0-9]*(?:[.,:/][0-9]+)*"
 NAME = r"\p{Lu}(?<=[\p{Ll},;:] .)\p{Ll}[\p{L}'-]*(?![\p{L}\p{N}])"
+# Any capitalised word, wherever it stands.
+CAPITALISED = r"\p{Lu}(?<![\p{L}\p{N}].)\p{Ll}[\p{L}'-]*(?![\p{L}\p{N}])"
 UNIT = rf"(?<=[0-9] ?)(?:{UNITS})(?![\p{{L}}\p{{N}}])"
-SLOT = rf"({NAME}|{UNIT}|{NUMBER})"
+# Names in the templates that texts are compared by: the usual one, all capitalised words, none (plain words; no placeholders at all).
+VARIANTS = (NAME, CAPITALISED, None)
 SEPARATORS = r"[\x00-/:-`{-\x7f]+"
 
 
-def template(text: Column) -> Column:
-    """The lower-cased text with placeholders."""
-    named = F.regexp_replace(text, NAME, f" {NAME_MARK} ")
+def template(text: Column, name: str | None = NAME) -> Column:
+    """The lower-cased text with placeholders; without a pattern of names there are none."""
+    if name is None:
+        return F.lower(text)
+    named = F.regexp_replace(text, name, f" {NAME_MARK} ")
     measured = F.when(text.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(named, UNIT, f" {UNIT_MARK} "), NUMBER, f" {NUMBER_MARK} ")).otherwise(named)
     return F.lower(measured)
 
@@ -58,36 +66,39 @@ def is_mark(word: Column) -> Column:
     return word.isin(NUMBER_MARK, NAME_MARK, UNIT_MARK)
 
 
-def template_words(df: DataFrame) -> DataFrame:
+def template_words(df: DataFrame, name: str | None = NAME) -> DataFrame:
     """df (with text) and its template's words; the split's empty first and last pieces are dropped."""
     first = F.when(F.element_at("_pieces", 1) == "", 1).otherwise(0)
     last = F.when((F.element_at("_pieces", -1) == "") & (F.size("_pieces") > 1), 1).otherwise(0)
     return (
-        df.withColumn("_pieces", F.split(template(F.col("text")), SEPARATORS))
+        df.withColumn("_pieces", F.split(template(F.col("text"), name), SEPARATORS))
         .withColumn("_drop", first)
         .withColumn("words", F.slice("_pieces", F.col("_drop") + 1, F.size("_pieces") - F.col("_drop") - last))
         .drop("_pieces", "_drop")
     )
 
 
-def window_slots(k: int) -> Column:
+def window_slots(k: int, name: str | None = NAME) -> Column:
     """Values of the placeholders in the window at ``pos``, in order: the text's slots, less those before the window."""
+    if name is None:
+        return F.array().cast("array<string>")
+    slot = rf"({name}|{UNIT}|{NUMBER})"
     before = F.size(F.filter(F.slice("words", 1, F.col("pos")), is_mark))
     inside = F.size(F.filter(F.slice("words", F.col("pos") + 1, k), is_mark))
-    return F.when(inside > 0, F.slice(F.regexp_extract_all("text", F.lit(SLOT), F.lit(1)), before + 1, inside)).otherwise(F.array().cast("array<string>"))
+    return F.when(inside > 0, F.slice(F.regexp_extract_all("text", F.lit(slot), F.lit(1)), before + 1, inside)).otherwise(F.array().cast("array<string>"))
 
 
-def item_windows(benchmark: DataFrame, k: int) -> DataFrame:
+def item_windows(benchmark: DataFrame, k: int, name: str | None = NAME) -> DataFrame:
     """(g_hash, g_words, item_id, item_key, at, windows, slots, size): every window of every item; size is k, or fewer words for shorter items."""
-    items = template_words(benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))).where(F.size("words") > 0)
+    items = template_words(benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")), name).where(F.size("words") > 0)
     sized = items.withColumn("size", F.least(F.lit(k), F.size("words"))).withColumn("windows", F.size("words") - F.col("size") + 1)
     placed = sized.select("*", F.xxhash64("text").alias("item_key"), F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("pos"))
     return placed.select(
-        "item_id", "item_key", "windows", "size", F.col("pos").alias("at"), F.slice("words", F.col("pos") + 1, F.col("size")).alias("g_words"), window_slots(k).alias("g_slots"),
+        "item_id", "item_key", "windows", "size", F.col("pos").alias("at"), F.slice("words", F.col("pos") + 1, F.col("size")).alias("g_words"), window_slots(k, name).alias("g_slots"),
     ).withColumn("g_hash", F.xxhash64(*[F.get("g_words", F.lit(j)) for j in range(k)]))
 
 
-def _hits(texts: DataFrame, grams: DataFrame, size: int) -> DataFrame:
+def _hits(texts: DataFrame, grams: DataFrame, size: int, variant: int) -> DataFrame:
     here = [F.get("words", F.col("pos") + j) for j in range(size)]
     same = F.lit(True)
     for j in range(size):
@@ -96,25 +107,26 @@ def _hits(texts: DataFrame, grams: DataFrame, size: int) -> DataFrame:
     return (
         placed.join(F.broadcast(grams), F.xxhash64(F.col("w"), *here[1:]) == F.col("g_hash"))
         .where(same)
-        .select("doc_id", F.xxhash64("text").alias("text_key"), "item_id", "item_key", "windows", "size", "at", "pos", (F.col("pos") - F.col("at")).alias("diag"), "g_slots", window_slots(size).alias("slots"))
+        .select("doc_id", F.xxhash64("text").alias("text_key"), "item_id", "item_key", "windows", "size", "at", "pos", (F.col("pos") - F.col("at")).alias("diag"), "g_slots", window_slots(size, VARIANTS[variant]).alias("slots"), F.lit(variant).alias("variant"))
     )
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, k: int = K, coverage: float = COVERAGE, gap: int = GAP, block: int = BLOCK) -> DataFrame:
     """One row for each document and item that it holds: doc_id, item_id, coverage, consistency, kind (exact, reparameterised or literal), first_word, last_word."""
-    grams = item_windows(benchmark, k).withColumn("block", F.lit(0))
-    sizes = {r["size"]: r["n"] for r in grams.groupBy("size").agg(F.count("*").alias("n")).collect()}  # k rows at most
-    texts = template_words(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     parts = []
-    for size, n in sorted(sizes.items()) or [(k, 0)]:
-        blocks = -(-n // block) or 1
-        for b in range(blocks):
-            own = grams.where(F.col("size") == size) if blocks == 1 else grams.where((F.col("size") == size) & (F.pmod(F.xxhash64("item_id", "item_key", "at"), F.lit(blocks)) == b))
-            parts.append(_hits(texts, own.drop("block"), size))
+    for variant, name in enumerate(VARIANTS):
+        grams = item_windows(benchmark, k, name).withColumn("block", F.lit(0))
+        sizes = {r["size"]: r["n"] for r in grams.groupBy("size").agg(F.count("*").alias("n")).collect()}  # k rows at most
+        texts = template_words(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), name)
+        for size, n in sorted(sizes.items()) or [(k, 0)]:
+            blocks = -(-n // block) or 1
+            for b in range(blocks):
+                own = grams.where(F.col("size") == size) if blocks == 1 else grams.where((F.col("size") == size) & (F.pmod(F.xxhash64("item_id", "item_key", "at"), F.lit(blocks)) == b))
+                parts.append(_hits(texts, own.drop("block"), size, variant))
     hits = parts[0]
     for part in parts[1:]:
         hits = hits.unionByName(part)
-    key = ["doc_id", "text_key", "item_id", "item_key"]
+    key = ["doc_id", "text_key", "item_id", "item_key", "variant"]
     pairs = F.arrays_zip(F.col("g_slots").alias("own"), F.col("slots").alias("other"))
     votes = hits.repartition("doc_id", "text_key").groupBy(*key, "diag").agg(
         F.first("windows").alias("windows"), F.first("size").alias("size"), F.collect_set("at").alias("found"), F.collect_set(F.when(F.size("g_slots") == 0, F.col("at"))).alias("literal"),
@@ -129,11 +141,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, k: int = K, coverage:
     own = F.array_distinct(F.transform("pairs", lambda p: p["own"]))
     steady = F.filter(own, lambda v: F.size(F.filter("pairs", lambda p: p["own"] == v)) == 1)
     judged = spans.select(
-        "doc_id", "item_id", (F.col("n_found") / F.col("windows")).alias("coverage"), (F.col("n_literal") / F.col("windows")).alias("literal"),
+        "doc_id", "item_id", "variant", (F.col("n_found") / F.col("windows")).alias("coverage"), (F.col("n_literal") / F.col("windows")).alias("literal"),
         F.when(F.size("pairs") == 0, 1.0).otherwise(F.size(steady) / F.size(own)).alias("consistency"), F.forall("pairs", lambda p: p["own"].eqNullSafe(p["other"])).alias("equal"), "first_word", "last_word",
     ).where((F.col("coverage") >= coverage) & ((F.col("consistency") >= coverage) | (F.col("literal") >= coverage)))
     kind = F.when(F.col("equal"), "exact").when(F.col("consistency") >= coverage, "reparameterised").otherwise("literal")
-    best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "consistency", kind.alias("kind"), (-F.col("first_word")).alias("f"), "last_word")).alias("b"))
+    best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "consistency", kind.alias("kind"), (-F.col("variant")).alias("v"), (-F.col("first_word")).alias("f"), "last_word")).alias("b"))
     return best.select("doc_id", "item_id", "b.coverage", "b.consistency", "b.kind", (-F.col("b.f")).cast("long").alias("first_word"), F.col("b.last_word").cast("long").alias("last_word"))
 
 

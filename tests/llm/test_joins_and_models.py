@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -167,6 +168,31 @@ def test_search_edges(spark):
     rows = op8_topk_search.top_k(docs, docs, k=2).collect()
     assert {r["query_id"] for r in rows} == {3, 4, 5} and all(r["rank"] <= 2 for r in rows)
     assert op8_topk_search.top_k(docs.limit(0), docs).count() == 0 and op8_topk_search.top_k(docs, docs.limit(0)).count() == 0
+    named = docs.where("doc_id is not null").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), "text")
+    assert {r["query_id"] for r in op8_topk_search.top_k(named, named, k=2).collect()} == {"d3", "d4", "d5"}
+
+
+def test_search_skips_blocks_and_keeps_the_best():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, rng.integers(1, 60)) if x < 400) for _ in range(1_500)]
+    terms, term, doc, tf, length = op8_topk_search.counted(texts)
+    df = np.bincount(term)
+    order = op8_topk_search.ordered(len(texts), term, doc, tf, length, df)
+    assert sorted(order.tolist()) == list(range(len(texts)))
+    place = np.argsort(order)
+    by_list = np.argsort(term * len(texts) + place[doc])
+    row = {"n": len(texts), "keys": pa.array(order), "terms": terms, "df": pa.array(df), "length": length[order].astype("<i4").tobytes(), "doc": place[doc][by_list].astype("<i4").tobytes(), "tf": tf[by_list].astype("<i4").tobytes()}
+    shard, dense = op8_topk_search.Shard(row, terms, length.mean()), np.zeros(len(terms))
+    impact = tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length[doc] / length.mean()))
+    for q in range(0, 1_500, 30):
+        own = np.flatnonzero(doc == q)
+        weights = np.log(len(texts) / df[term[own]]) * tf[own]
+        sums = [math.fsum((w * impact[(term == t) & (doc == d)][0]) for t, w in zip(term[own], weights, strict=True) if ((term == t) & (doc == d)).any()) for d in np.unique(doc[np.isin(term, term[own])])] if q < 90 else None
+        found = shard.search(term[own], weights, dense, 0.0, 5)
+        assert not dense.any() and shard.search(term[own], weights, dense, found[-1][0] if found else 1.0, 5) == found
+        if sums is not None:
+            assert [s for s, _ in found] == pytest.approx(sorted((s for s in sums if s > 0), reverse=True)[:5])
+    assert shard.read < shard.there
 
 
 def all_segmentations(text: str, lattice: op10_lattice_lm.Lattice) -> float:

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import html as html_module
 import re
+import time
 import zlib
 
 import numpy as np
@@ -156,6 +157,31 @@ def test_bpe_chunks_stitch(spark, chunk, overlap):
         assert bytes(r["ids"]) == np.array(enc.encode_ordinary(texts[r["doc_id"]] or ""), "<u4").tobytes() and bytes(r["bytes"]) == (texts[r["doc_id"]] or "").encode()
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 200), st.lists(st.sampled_from([" ", "\n", "\t", "\n\n", "\u3000", "a", "'", "re", "1", "-", "é"]), max_size=12).map("".join))
+def test_cuts_keep_pretokens(shift, middle):
+    """Any text around a chunk's start: pieces between shared boundaries have the pre-tokens of the whole."""
+    chunk, overlap, pattern = 64, 32, regex.compile(public_tokenizers.PATTERN)
+    text = ("word and " * 30)[:shift] + middle + "x y\n\nz " * 30
+    starts = range(0, len(text), chunk)
+    cuts = [0]
+    for a in starts[1:]:
+        tail = {a - chunk + e for e in op4_byte_bpe.boundaries(text[a - chunk : a + overlap], pattern) if e >= chunk}
+        head = {a + e for e in op4_byte_bpe.boundaries(text[a : a + chunk + overlap], pattern) if e < overlap}
+        if not tail & head:
+            return
+        cuts.append(min(tail & head))
+    assert [t for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True) for t in pattern.findall(text[a:b])] == pattern.findall(text)
+
+
+def test_bpe_white_space_at_every_offset(spark):
+    enc = encoding()
+    texts = ["ab " * n + gap + "cd ef'll gh\n\n" * 40 for n in range(15, 24) for gap in ("\n\nx", " \n y", "\t\t", "  ", "\n\n\n", "\u2003\u2003z")]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    for r in op4_byte_bpe.bpe_encode(docs, RANKS, public_tokenizers.PATTERN, chunk=64, overlap=32).collect():
+        assert bytes(r["ids"]) == np.array(enc.encode_ordinary(texts[r["doc_id"]]), "<u4").tobytes()
+
+
 def test_bpe_edges(spark):
     assert op4_byte_bpe.bpe_encode(odd_rows(spark), RANKS, public_tokenizers.PATTERN).count() == 7
     assert op4_byte_bpe.bpe_encode(odd_rows(spark).limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
@@ -180,12 +206,26 @@ def test_articles_come_out_whole(spark, sf_dir):
         ("<article><p>Good text here</p><div class='comments'><p>I disagree</p></div><form><p>Mail</p></form><aside>x</aside></article><footer>f</footer>", "Good text here"),
         ("<body><div id=header><a href=/>Home</a></div><div class=content><h2>Title</h2><div><p>Some long text that goes on and on.</p></div></div><div class=cookie-notice>We use cookies</div></body>", "Title Some long text that goes on and on."),
         ("<article><p>a\n\t b<b>c</b></p><!-- no --><p>d<br>e</p></article>", "a bc d e"),
+        ("<body><div class='content no-sidebar'><p>The text of this page, which is rather long.</p><p>And more of it.</p></div><div>x</div></body>", "The text of this page, which is rather long. And more of it."),
+        ("<article><p>A paragraph of some length in the article.</p><p class='share'>Another one, as long as the first paragraph is.</p><p>The third is about as long as the two before.</p><p class='share'>Share!</p><div class='share'><a href=/>Post</a> <a href=/>Send</a></div></article>", "A paragraph of some length in the article. Another one, as long as the first paragraph is. The third is about as long as the two before."),
+        ("<article><p>A paragraph of some length in the article.</p><p>And one more of such a length, to make a cluster.</p><ul><li><a href=/1>one</a></li><li><a href=/2>two</a></li><li><a href=/3>three</a></li></ul></article>", "A paragraph of some length in the article. And one more of such a length, to make a cluster."),
+        ("<div id='share'><p>All that there is to read stands in an element with such a name.</p></div><p>x</p>", "All that there is to read stands in an element with such a name."),
+        ("<div class=top-nav><a href=/>A</a><a href=/b>B</a></div><div><div><p>Text without any telling name around it, sentence after sentence.</p><p>So it goes on for a while.</p></div><div class='comment-list'><p>A reader says that this is wrong.</p></div></div>", "Text without any telling name around it, sentence after sentence. So it goes on for a while."),
     ],
 )
 def test_pages(html, text):
     assert op6_html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize("piece", ["<div>word ", "<b>word ", "<p><b>word ", "<div class=ad>word ", "<li>word ", "</i><span>word "])
+def test_deep_pages_take_linear_time(piece):
+    began = time.thread_time()
+    small = op6_html_text.main_text(piece * 5_000)
+    middle = time.thread_time()
+    large = op6_html_text.main_text(piece * 50_000)
+    assert len(large) >= len(small) and time.thread_time() - middle < 40 * (middle - began) + 2
+
+
 def test_page_rows(spark):
     rows = spark.createDataFrame([(1, None, None, "x"), (1, None, None, "x"), (None, "u", "<p>a</p>" * 5000, "x")], "page_id long, url string, html string, text string")
     got = op6_html_text.extract(rows).collect()
@@ -203,6 +243,24 @@ def test_shards_hold_what_the_library_encodes(spark, sf_dir):
         start += len(ids)
 
 
+def test_shards_read_special_tokens_and_odd_rows(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "plain", "<|endoftext|><|endoftext|>x", "<|endoftext", "word " * 60_000, "", None]
+    docs = spark.createDataFrame([(i % 3, t, "clash", 1) for i, t in enumerate(texts)], "doc_id long, text string, path string, tokens int")
+    for bytes_of_shard in (op9_sstable.SHARD, 64):
+        rows = op9_sstable.read_shards(op9_sstable.write_shards(docs, path, 2, shard=bytes_of_shard)).collect()
+        want = sorted((i % 3, np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in enumerate(texts))
+        assert sorted((r["doc_id"], bytes(r["ids"])) for r in rows) == want
+        at = 0
+        for r in sorted(rows, key=lambda r: r["start"]):
+            assert r["start"] == at
+            at += r["n_tokens"]
+        assert [r["doc_id"] for r in sorted(rows, key=lambda r: r["start"])] == sorted(r["doc_id"] for r in rows)
+
+
 def test_shard_lookups(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = spark.createDataFrame([(i * 3 - 50, f"text {i} " * (i % 40)) for i in range(600)] + [(None, "x"), (7, None), (7, "again")], "doc_id long, text string")

@@ -1,14 +1,17 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-A text of at most ``chunk`` characters is encoded where it stands. A longer one
-is cut into chunks that overlap by ``overlap`` characters, dealt over the
-cluster and pre-tokenised in parallel. A match of the pre-token pattern depends
-only on where it begins and on the text behind it (the pattern has no
-look-behind, and looks one character ahead), so two scans that share a boundary
-agree from there on: neighbouring chunks are cut at the first boundary that
-both scans have. The pieces between cuts are encoded in parallel and their ids
-joined in order. If two scans share no boundary inside the overlap (one
-pre-token is longer than it), that document is encoded whole.
+A text is cut into chunks of ``chunk`` characters that overlap by ``overlap``,
+dealt over the cluster and pre-tokenised in parallel; a text of at most one
+chunk is encoded where it stands. A match of the pre-token pattern depends only
+on where it begins and on the text behind it (the pattern has no look-behind), so
+two scans that share a boundary agree from there on: neighbouring chunks are cut
+at the first boundary that both scans have. A boundary counts only if no white
+space stands before it - a run of white space is divided by what follows the run,
+which a piece that ends there would not show - and if it is ``LOOK`` characters
+or more before the end of its chunk, since the pattern looks that far ahead. The
+pieces between cuts are encoded in parallel and their ids joined in order. If two
+scans share no boundary inside the overlap (one pre-token, or a run of white
+space, is longer than it), that document is encoded whole.
 Decoding concatenates the raw bytes of the ids.
 
 Defined cases: null text counts as empty; an empty text has no ids. Each input
@@ -34,6 +37,7 @@ from weftgraph.llm.common import bounded_batches
 
 CHUNK = 32_768
 OVERLAP = 2_048
+LOOK = 4
 PIECES_PER_BATCH = 512
 
 
@@ -84,8 +88,8 @@ def _encoder(path: str, pattern: str, decode: bool):
 
 
 def boundaries(text: str, pattern: regex.Pattern) -> list[int]:
-    """Ends of the pre-tokens; the text's own end is left out, as more text could move it."""
-    return [m.end() for m in pattern.finditer(text) if m.end() < len(text)]
+    """Ends of the pre-tokens at which the text may be cut; ends that more text behind it could move are left out."""
+    return [end for m in pattern.finditer(text) if (end := m.end()) <= len(text) - LOOK and not text[end - 1].isspace()]
 
 
 def _scanner(pattern: str, chunk: int, overlap: int):

@@ -2,18 +2,27 @@
 
 The standard library's streaming parser gives events; block elements cut them
 into lines. Each line has a text-to-tag ratio, its characters over its tags. The
-ratios are smoothed with a Gaussian over neighbouring lines, and lines above the
-threshold (the mean less half a standard deviation, of lines outside
-boilerplate) form clusters. The clusters point to the element that holds the
-content: the outermost article, else main element, with most of their text; else
-the deepest other container with ``SHARE`` of it, and containers around that as
-long as they add no lists of links. From an article or main element every line
-outside boilerplate is kept, however short; from any other, those that are not
-mostly links.
-
-Boilerplate: elements (menus, page headers, footers, asides, forms, scripts,
-styles, ...) and class, id or role words that name such parts, adverts, notices
-or comments.
+ratios are smoothed with a Gaussian over neighbouring lines; lines above the
+threshold (the mean less half a standard deviation, of lines that nothing marks
+as boilerplate) form clusters. What the clusters hold decides the rest:
+
+* the element that holds the content is the outermost article, else main
+  element, with half of the clusters' text; else the deepest other container with
+  ``SHARE`` of it, and containers around that as long as they add no lists of links;
+* inside it, the clusters' lines are kept and so are shorter lines beside and
+  between them (headings, items, cells), but not runs of two or more lines below
+  the threshold that are mostly links; outside an article or main element no
+  line that is mostly links is kept;
+* an element that only its class, id or role names as a menu, advert, notice or
+  comment goes, unless the clusters have most of their text in it; a single
+  paragraph or inline element with a weak name (``WEAK``) goes only if it is in
+  no cluster.
+
+Elements that are no text by their tag (menus, footers, asides, forms, scripts,
+styles, ...; a page's header outside the article) or hidden always go.
+
+Work and memory grow in proportion to the page: lines know their innermost
+element, elements their parent.
 
 Defined cases: null html counts as empty; a page without main text gives ''. Each
 input row gives one output row. Malformed markup is read as the parser reads it.
@@ -50,6 +59,9 @@ NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar aside menu nav navbar navigation breadcrumb breadcrumbs "
     "footer masthead comment comments commentlist respond disqus replies related recommended share sharing social newsletter subscribe subscription signup login widget pagination pager toolbar skip hidden complementary contentinfo".split()
 )
+WEAK = frozenset("promo promotion banner alert overlay modal respond replies related recommended share sharing social newsletter subscribe subscription signup login widget toolbar skip masthead".split())
+#: Words that make a name one of something else: no-sidebar, with-comments.
+TURNING = frozenset("no not non without has with".split())
 HEADER_NAMES = frozenset({"header", "topbar"})
 #: What an opening tag closes, if it is the innermost open element of those.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -58,78 +70,93 @@ WORDS = re.compile(r"[a-z0-9]+")
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, characters in links, boilerplate, ids of the open containers) of each line."""
+    """Collects (text, tags, characters in links, dropped, element) of each line, and the tree of the elements that matter: containers and those with telling names."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, int]] = []  # tag, unseen, boilerplate, container id or 0
-        self.kinds: dict[int, str] = {}
-        self.lines: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
+        self.open: list[tuple[str, bool, bool, int]] = []  # tag, unseen, dropped, the innermost element
+        self.count: dict[str, int] = {}
+        # By element, in the order in which they open; 0 is the page.
+        self.kind, self.parent, self.named = ["html"], [0], [""]
+        self.lines: list[tuple[str, int, int, bool, int]] = []
         self.text: list[str] = []
-        self.tags = self.linked = self.links = 0
+        self.tags = self.linked = self.unseen = self.dropped = 0
 
     def cut(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, any(x[2] for x in self.open), tuple(x[3] for x in self.open if x[3])))
+            self.lines.append((text, self.tags, self.linked, self.dropped > 0, self.open[-1][3] if self.open else 0))
             self.tags = 0
         self.text, self.linked = [], 0
 
-    def _boilerplate(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in BOILERPLATE:
-            return True
-        inside = any(x[0] in ("article", "main") for x in self.open)
-        if tag == "header" and not inside:
+    def _has(self, *tags: str) -> bool:
+        return any(self.count.get(t) for t in tags)
+
+    def _dropped(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        if tag in BOILERPLATE or tag == "header" and not self._has("article", "main"):
             return True
-        for name, value in attrs:
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in (value or "").replace(" ", "").lower():
-                return True
-            if name in ("class", "id", "role") and tag not in ("body", "html", "article", "main"):
-                words = set(WORDS.findall((value or "").lower()))
-                if words & NAMES or not inside and words & HEADER_NAMES:
-                    return True
-        return False
+        return any(name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in (value or "").replace(" ", "").lower() for name, value in attrs)
+
+    def _named(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
+        """The telling word of a class, id or role: the first or last word of a whole name."""
+        if tag not in ("body", "html", "article", "main"):
+            for name, value in attrs:
+                for whole in (value or "").lower().split() if name in ("class", "id", "role") else ():
+                    words = WORDS.findall(whole)
+                    if words and not TURNING & set(words):
+                        for word in (words[-1], words[0]):
+                            if word in NAMES or word in HEADER_NAMES and not self._has("article", "main"):
+                                return word
+        return ""
 
     def _pop(self, at: int) -> None:
-        if any(x[0] in BLOCKS or x[2] for x in self.open[at:]):
+        gone = self.open[at:]
+        if any(x[0] in BLOCKS or x[2] or self._starts(x[3], y) for x, y in zip(gone, [self.open[at - 1][3] if at else 0, *(x[3] for x in gone)], strict=False)):
             self.cut()
-        self.links -= sum(x[0] == "a" for x in self.open[at:])
+        for tag, unseen, dropped, _ in gone:
+            self.count[tag] -= 1
+            self.unseen -= unseen
+            self.dropped -= dropped
         del self.open[at:]
 
+    def _starts(self, element: int, around: int) -> bool:
+        return element != around and bool(self.named[element])
+
+    def _close(self, wanted: str, limits: frozenset[str] | tuple[str, ...]) -> None:
+        """Pops up to the innermost open element of a tag, if none of the limits is inside it."""
+        if self._has(wanted):
+            for at in range(len(self.open) - 1, -1, -1):
+                if self.open[at][0] == wanted:
+                    self._pop(at)
+                    return
+                if self.open[at][0] in limits:
+                    return
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag in PARAGRAPH_ENDS:
-            for at in range(len(self.open) - 1, -1, -1):
-                if self.open[at][0] == "p":
-                    self._pop(at)
-                    break
-                if self.open[at][0] in CONTAINERS:
-                    break
+            self._close("p", CONTAINERS)
         for closed in CLOSES.get(tag, ()):
-            for at in range(len(self.open) - 1, -1, -1):
-                if self.open[at][0] == closed:
-                    self._pop(at)
-                    break
-                if self.open[at][0] in ("ul", "ol", "dl", "table", "article", "body", "div"):
-                    break
-        if tag in ("body",):
-            for at, x in enumerate(self.open):
-                if x[0] == "head":
-                    self._pop(at)
-                    break
+            self._close(closed, ("ul", "ol", "dl", "table", "article", "body", "div"))
+        if tag == "body":
+            self._close("head", ())
         if tag in BLOCKS:
             self.cut()
         if tag in VOID:
             return
-        bad = self._boilerplate(tag, attrs)
-        if bad:
+        dropped, named = self._dropped(tag, attrs), self._named(tag, attrs)
+        if dropped or named:
             self.cut()
-        number = 0
-        if tag in CONTAINERS:
-            number = len(self.kinds) + 1
-            self.kinds[number] = tag
-        self.open.append((tag, tag in UNSEEN, bad, number))
-        self.links += tag == "a"
+        element = self.open[-1][3] if self.open else 0
+        if tag in CONTAINERS or named:
+            self.kind.append(tag)
+            self.parent.append(element)
+            self.named.append(named)
+            element = len(self.kind) - 1
+        self.open.append((tag, tag in UNSEEN, dropped, element))
+        self.count[tag] = self.count.get(tag, 0) + 1
+        self.unseen += tag in UNSEEN
+        self.dropped += dropped
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -138,21 +165,16 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                self._pop(at)
-                return
-            if self.open[at][0] in ("article", "body", "main", "table") and tag not in BLOCKS:
-                return
-        if tag in BLOCKS:
+        if self._has(tag):
+            self._close(tag, () if tag in BLOCKS else ("article", "body", "main", "table"))
+        elif tag in BLOCKS:
             self.cut()
 
     def handle_data(self, data: str) -> None:
-        if any(x[1] for x in self.open):
-            return
-        self.text.append(data)
-        if self.links:
-            self.linked += len(data)
+        if not self.unseen:
+            self.text.append(data)
+            if self.count.get("a"):
+                self.linked += len(data)
 
 
 def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -168,32 +190,61 @@ def main_text(html: str | None) -> str:
     parser.feed(html or "")
     parser.close()
     parser.cut()
-    lines = parser.lines
-    good = np.array([not x[3] for x in lines], dtype=bool)
+    lines, kind, parent = parser.lines, parser.kind, np.array(parser.parent)
+    if not lines:
+        return ""
+    of = np.array([x[4] for x in lines])
+    marked = np.zeros(len(kind), bool)
+    for n in range(1, len(kind)):  # parents come first
+        marked[n] = marked[parent[n]] or bool(parser.named[n])
+    seen = ~np.array([x[3] for x in lines], dtype=bool)
+    good = seen & ~marked[of] if (seen & ~marked[of]).any() else seen
     if not good.any():
         return ""
     size = np.array([len(x[0]) for x in lines], dtype=float)
-    ratio = smoothed(size / np.array([max(1, x[1]) for x in lines]))
-    chosen = good & (ratio >= ratio[good].mean() - ratio[good].std() / 2)
-    weight: dict[int, float] = {}
-    for at in np.flatnonzero(chosen):
-        for number in lines[at][4]:
-            weight[number] = weight.get(number, 0) + size[at]
-    total = size[chosen].sum()
-    for kind in ("article", "main"):
-        named = [n for n, w in weight.items() if parser.kinds[n] == kind and w * 2 >= total]
+    links = np.array([x[2] for x in lines]) * 2 >= size
+    plain = size / np.array([max(1, x[1]) for x in lines])
+    ratio = smoothed(plain)
+    least = ratio[good].mean() - ratio[good].std() / 2
+    # A line that is mostly links is in a cluster only by its own ratio, not by its neighbours'.
+    chosen = seen & (ratio >= least) & (~links | (plain >= least))
+    weight = summed(np.bincount(of[chosen], size[chosen], minlength=len(kind)), parent)
+    total = weight[0]
+    # Names alone drop no element in which the clusters have most of their text, and no paragraph of a cluster for a weak one.
+    within = summed(np.bincount(of[chosen], minlength=len(kind)).astype(float), parent)
+    bad = np.zeros(len(kind), bool)
+    for n in range(1, len(kind)):
+        word = parser.named[n]
+        spared = weight[n] * 2 > total or word in WEAK and kind[n] not in CONTAINERS | {"ul", "ol", "dl"} and within[n] > 0
+        bad[n] = bad[parent[n]] or bool(word) and not spared
+    good = seen & ~bad[of]
+    chosen &= good
+    weight = summed(np.bincount(of[chosen], size[chosen], minlength=len(kind)), parent)
+    total = weight[0]
+    last = np.arange(len(kind)) + summed(np.ones(len(kind)), parent).astype(int)  # elements inside n are n up to, not including, last[n]
+    inside = lambda n: (of >= n) & (of < last[n])
+    for name in ("article", "main"):
+        named = [n for n in range(len(kind)) if kind[n] == name and weight[n] * 2 >= total]
         if named:
-            top = min(named)  # numbered as they open: the outermost
-            return " ".join(x[0] for x, ok in zip(lines, good, strict=True) if ok and top in x[4])
-    plain = np.array([x[2] * 2 < n for x, n in zip(lines, size, strict=True)], dtype=bool)
-    top = max((n for n, w in weight.items() if w >= SHARE * total), default=0)
+            kept = good & inside(named[0])
+            # Of lines that are mostly links and in no cluster, a run of two or more is a list of links.
+            low = kept & links & ~chosen
+            beside = np.zeros(len(lines), bool)
+            beside[1:], beside[:-1] = low[:-1], beside[:-1] | low[1:]
+            return " ".join(x[0] for x, ok in zip(lines, kept & ~(low & beside), strict=True) if ok)
+    top = int(np.flatnonzero(weight >= SHARE * total)[-1]) if total else 0
     # Outwards, while what the next container adds is text too: a heading above the text's own element, say.
-    around = next((x[4] for x in lines if top in x[4]), ())
-    for outer in reversed(around[: around.index(top)] if top else ()):
-        if parser.kinds[outer] in ("body", "html") or any(ok and outer in x[4] and not text for x, ok, text in zip(lines, good, plain, strict=True)):
-            break
+    while top and kind[outer := int(parent[top])] not in ("body", "html") and not (good & links & inside(outer)).any():
         top = outer
-    return " ".join(x[0] for x, ok, text in zip(lines, good, plain, strict=True) if ok and text and (not top or top in x[4]))
+    return " ".join(x[0] for x, ok in zip(lines, good & ~links & inside(top), strict=True) if ok)
+
+
+def summed(own: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """Of each element, with all elements inside it; an element's number is higher than its parent's."""
+    total = own.tolist()
+    for n in range(len(total) - 1, 0, -1):
+        total[parent[n]] += total[n]
+    return np.array(total)
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -1,22 +1,24 @@
-"""Exact BM25 top-k: sharded inverted index with block maxima, dynamic pruning, exact merge.
-
-Tasks turn their documents into index shards (postings with term frequencies,
-and the same by document), kept as a table with one row a shard. Document
-frequencies and the mean length are summed over all shards, so every shard
-scores with global statistics and its top k merge exactly.
-
-Pruning is WAND's, evaluated on whole lists at a time: a query's terms are
-ordered by weight; the lists behind the pivot, whose maxima together stay under
-the query's threshold, can lift no document over it by themselves. Only
-documents on the lists before the pivot are candidates; those are bounded again
-with the maxima that their block of ``BLOCK`` documents has on the other lists,
-and what may still reach the threshold is scored in full. Thresholds start as
-the k-th score over one shard, and rise with the shards that a worker has seen;
-they only ever leave out documents that k others beat.
-
-Queries are processed in blocks of at most ``QUERY_TERMS`` terms, each broadcast.
-Scores are sums rounded once (fsum), so equal texts have equal scores; ties go
-to the smaller key.
+"""Exact BM25 top-k: sharded inverted index, block-max WAND, exact merge.
+
+Tasks turn their documents into index shards, kept as a table with one row a
+shard. Inside a shard documents are ordered by their most frequent word and
+length, so that a block of ``BLOCK`` neighbours is alike and its maxima are
+tight; lists hold (document, term frequency) in that order. Document frequencies
+and the mean length are summed over all shards, so every shard scores with
+global statistics and its top k merge exactly.
+
+A search moves over a shard's blocks with the cursors of all of the query's
+lists at once. A block's bound is the sum of the maxima that the lists have in
+it; blocks come by falling bound, the cursors skip the postings of every block
+whose bound is under the threshold, and the search ends at the first such block.
+The threshold is the k-th score so far: of the query's best in this task, and at
+first of its best over one in ``SAMPLE`` of the shards, which are searched first
+(their results count; only the other shards are searched after that).
+
+Queries are processed in blocks of about ``QUERY_TERMS`` terms or ``QUERIES``
+queries, one after the other: a block is broadcast, its results are written, and
+the broadcast is given up. Scores are sums rounded once (fsum), so equal texts
+have equal scores; ties go to the smaller key.
 
 Words: runs of letters, digits and non-ASCII characters, A-Z lower-cased. A
 query is its text's words, repeats counting. score = sum over query words of
@@ -26,7 +28,8 @@ Defined cases: null text counts as empty; an empty document is never found and a
 empty query finds nothing. A document that shares no word is no result. Rows
 that repeat a key are separate documents (their order in a tie is undefined) and
 separate queries give the union of results, ranked together. Null keys are
-documents, but no queries. Other columns are ignored.
+documents, but no queries. Keys keep their type (numbers or strings). Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,7 +51,9 @@ K1, B, TOP = 1.2, 0.75, 10
 BLOCK = 64
 SHARD_DOCS, SHARD_CHARS = 16_384, 16_000_000
 CHARS = 2_000_000
-QUERY_TERMS = 1_000_000
+QUERY_TERMS, QUERIES = 1_000_000, 20_000
+SAMPLE = 8
+FIRST_BLOCKS = 8
 MARGIN = 1e-9
 
 _SPLITS = np.ones(256, dtype=bool)
@@ -89,35 +95,50 @@ def counted(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndar
     return pa.array(list(known), pa.binary()), pair // max(1, len(texts)), pair % max(1, len(texts)), np.concatenate(times)[order], np.concatenate(lengths)
 
 
+def ordered(n: int, term: np.ndarray, doc: np.ndarray, tf: np.ndarray, length: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Documents by their most frequent word (of equal ones the most widespread), then length."""
+    by_doc = np.lexsort((df[term], tf, doc))
+    last = np.flatnonzero(np.diff(doc[by_doc], append=n))
+    chief = np.full(n, -1)
+    chief[doc[by_doc][last]] = term[by_doc][last]
+    return np.lexsort((length, chief))
+
+
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a shard: terms with document frequencies, and the postings as arrays in binary columns."""
+    """One row a shard: its number, terms with document frequencies, and the postings as arrays in binary columns."""
+    kind = docs.schema[key].dataType.simpleString()
 
-    def shard(keys: list, texts: list[str]) -> pa.RecordBatch:
+    def shard(number: int, keys: list, key_type: pa.DataType, texts: list[str]) -> pa.RecordBatch:
         terms, term, doc, tf, length = counted(texts)
         df = np.bincount(term, minlength=len(terms))
+        order = ordered(len(texts), term, doc, tf, length, df)
+        place = np.empty(len(texts), np.int64)
+        place[order] = np.arange(len(texts))
+        by_list = np.argsort(term * len(texts) + place[doc])
+        whole = pa.array(keys, key_type).take(pa.array(order))
         return pa.RecordBatch.from_pydict(
             {
-                "n": [len(texts)], "total": [int(length.sum())], "keys": pa.array([keys], pa.list_(pa.int64())), "terms": pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), terms), "df": pa.ListArray.from_arrays(pa.array([0, len(df)], pa.int32()), pa.array(df, pa.int64())),
-                "length": [length.astype("<i4").tobytes()], "doc": [doc.astype("<i4").tobytes()], "tf": [tf.astype("<i4").tobytes()],
+                "shard": pa.array([number], pa.int64()), "n": [len(texts)], "total": [int(length.sum())], "keys": pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), whole), "terms": pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), terms),
+                "df": pa.ListArray.from_arrays(pa.array([0, len(df)], pa.int32()), pa.array(df, pa.int64())), "length": [length[order].astype("<i4").tobytes()], "doc": [place[doc][by_list].astype("<i4").tobytes()], "tf": [tf[by_list].astype("<i4").tobytes()],
             }
         )
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, texts, size = [], [], 0
+        keys, texts, size, number = [], [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for k, t in zip(batch.column("k").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if texts and (len(texts) >= SHARD_DOCS or size + len(t) > SHARD_CHARS):
-                    yield shard(keys, texts)
-                    keys, texts, size = [], [], 0
+                    yield shard(number, keys, batch.column("k").type, texts)
+                    keys, texts, size, number = [], [], 0, number + 1
                 keys.append(k)
                 texts.append(t)
                 size += len(t)
         if texts:
-            yield shard(keys, texts)
+            yield shard(number, keys, batch.column("k").type, texts)
 
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return written(rows.mapInArrow(build, "n long, total long, keys array<bigint>, terms array<binary>, df array<bigint>, length binary, doc binary, tf binary"), "index")
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return written(rows.mapInArrow(build, f"shard long, n long, total long, keys array<{kind}>, terms array<binary>, df array<bigint>, length binary, doc binary, tf binary"), "index")
 
 
 class Shard:
@@ -133,74 +154,78 @@ class Shard:
         tf = np.frombuffer(row["tf"], "<i4")[keep]
         self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc] / mean))
         used, size = own[own >= 0], df[own >= 0]
-        self.begin, self.size, self.most = (np.zeros(len(vocabulary), t) for t in (np.int64, np.int64, float))
-        starts = np.cumsum(size) - size
-        self.begin[used], self.size[used] = starts, size
-        if len(used):
-            self.most[used] = np.maximum.reduceat(self.impact, starts)
-        # Block maxima of each list, in the order of the lists.
+        # An entry is the run of one list's postings in one block; a list's entries follow each other.
+        self.blocks = self.n // BLOCK + 1
         block = self.doc // BLOCK
         term = np.repeat(np.arange(len(used)), size)
         new = np.ones(len(block), bool)
         new[1:] = (block[1:] != block[:-1]) | (term[1:] != term[:-1])
-        at = np.flatnonzero(new)
-        self.block, self.block_most = block[at], np.maximum.reduceat(self.impact, at) if len(at) else np.zeros(0)
-        blocks = np.bincount(term[at], minlength=len(used))
-        self.block_begin, self.block_size = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64)
-        self.block_begin[used], self.block_size[used] = np.cumsum(blocks) - blocks, blocks
+        self.start = np.flatnonzero(new)
+        self.size = np.diff(self.start, append=len(block))
+        self.block, self.most = block[self.start], np.maximum.reduceat(self.impact, self.start) if len(self.start) else np.zeros(0)
+        entries = np.bincount(term[self.start], minlength=len(used))
+        self.begin, self.entries = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64)
+        self.begin[used], self.entries[used] = np.cumsum(entries) - entries, entries
         # The same by document.
         order = np.argsort(self.doc, kind="stable")
         self.by_doc_term, self.by_doc_impact = np.repeat(used, size)[order], self.impact[order]
         self.doc_ends = np.cumsum(np.bincount(self.doc, minlength=self.n))
+        self.read = self.there = 0  # postings read, and those on the lists
 
-    @staticmethod
-    def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Indices of several lists, one after the other."""
-        total = np.cumsum(size)
-        return np.repeat(begin - (total - size), size) + np.arange(total[-1] if len(total) else 0)
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, dense: np.ndarray, threshold: float, k: int) -> list[tuple[float, int]]:
-        """(score, key) of the best k that reach the threshold. Terms by falling weight; dense: zeros, one for each word of the vocabulary."""
-        here = self.size[terms] > 0
-        terms, weights = terms[here], weights[here]
+    def search(self, terms: np.ndarray, weights: np.ndarray, dense: np.ndarray, threshold: float, k: int) -> list[tuple[float, object]]:
+        """(score, key) of the best k that reach the threshold. dense: zeros, one for each word of the vocabulary."""
+        size = self.entries[terms]
+        here = size > 0
+        terms, weights, size = terms[here], weights[here], size[here]
         if not len(terms):
             return []
-        rest = np.append(np.cumsum((weights * self.most[terms])[::-1])[::-1], 0.0)
-        floor = threshold - MARGIN
-        pivot = int(np.argmax(rest < floor)) if rest[-1] < floor else len(terms)
-        if not pivot:
-            return []
-        front = terms[:pivot]
-        at = self._spans(self.begin[front], self.size[front])
-        reached = np.bincount(self.doc[at], self.impact[at] * np.repeat(weights[:pivot], self.size[front]), minlength=self.n)
-        found = np.flatnonzero((reached + rest[pivot] >= floor) & (reached > 0))
-        if len(found) and pivot < len(terms):
-            behind = terms[pivot:]
-            at = self._spans(self.block_begin[behind], self.block_size[behind])
-            bound = np.bincount(self.block[at], self.block_most[at] * np.repeat(weights[pivot:], self.block_size[behind]), minlength=self.n // BLOCK + 1)
-            found = found[reached[found] + bound[found // BLOCK] >= floor]
+        at, rate = spans(self.begin[terms], size), np.repeat(weights, size)
+        block = self.block[at]
+        bound = np.bincount(block, self.most[at] * rate, minlength=self.blocks)
+        by_bound = np.argsort(-bound)
+        falling = -bound[by_bound]
+        found, sums, done, step = np.zeros(0, np.int64), np.zeros(0), 0, FIRST_BLOCKS
+        while True:
+            # Blocks that can't reach the threshold are skipped in every list, now and later.
+            stop = min(done + step, int(np.searchsorted(falling, -max(threshold - MARGIN, 1e-300), "right")))
+            if stop <= done:
+                break
+            live = np.zeros(self.blocks, bool)
+            live[by_bound[done:stop]] = True
+            pick = np.flatnonzero(live[block])
+            runs = self.size[at[pick]]
+            posting = spans(self.start[at[pick]], runs)
+            self.read += len(posting)
+            reached = np.bincount(self.doc[posting], self.impact[posting] * np.repeat(rate[pick], runs), minlength=self.n)
+            good = np.flatnonzero((reached >= threshold - MARGIN) & (reached > 0))
+            found, sums = np.concatenate([found, good]), np.concatenate([sums, reached[good]])
+            if len(found) >= k:  # what k others beat by more than rounding can't be among the best
+                threshold = max(threshold, np.partition(sums, -k)[-k])
+                good = sums >= threshold - MARGIN
+                found, sums = found[good], sums[good]
+            done, step = stop, self.blocks
+        self.there += int(self.size[at].sum())
         if not len(found):
             return []
-        if threshold <= 0 and len(found) > 4 * k and pivot == len(terms):  # all is known: only the best need their sums rounded
-            least = np.partition(reached[found], -k)[-k]
-            found = found[reached[found] >= least - MARGIN]
         dense[terms] = weights
         ends = self.doc_ends[found]
         size = ends - np.where(found > 0, self.doc_ends[found - 1], 0)
-        at = self._spans(ends - size, size)
-        parts = dense[self.by_doc_term[at]] * self.by_doc_impact[at]
-        sums, stop = np.bincount(np.repeat(np.arange(len(found)), size), parts, minlength=len(found)), np.cumsum(size)
-        if len(found) > k:  # what k others beat by more than rounding can't be among the best
-            floor = max(floor, np.partition(sums, -k)[-k] - MARGIN)
-        kept = np.flatnonzero(sums >= floor)
-        scored = [(math.fsum(parts[stop[i] - size[i] : stop[i]].tolist()), self.keys[found[i]]) for i in kept.tolist()]
+        at = spans(ends - size, size)
+        parts, stop = (dense[self.by_doc_term[at]] * self.by_doc_impact[at]).tolist(), np.cumsum(size).tolist()
         dense[terms] = 0.0
-        return best(scored, k)
+        keys = self.keys.take(pa.array(found)).to_pylist()
+        return best([(math.fsum(parts[b:e]), key) for b, e, key in zip([0, *stop], stop, keys, strict=False)], k)
+
 
+def spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices of several runs, one after the other."""
+    total = np.cumsum(size)
+    return np.repeat(begin - (total - size), size) + np.arange(total[-1] if len(total) else 0)
 
-def best(scored: list[tuple[float, int]], k: int) -> list[tuple[float, int]]:
+
+def best(scored: list[tuple[float, object]], k: int) -> list[tuple[float, object]]:
     """By falling score, then rising key; a null key comes last."""
-    return sorted(scored, key=lambda x: (-x[0], x[1] is None, x[1] or 0))[:k]
+    return sorted(scored, key=lambda x: (-x[0], x[1] is None, 0 if x[1] is None else x[1]))[:k]
 
 
 def _shards(batch: pa.RecordBatch | pa.Table) -> Iterator[dict]:
@@ -208,7 +233,7 @@ def _shards(batch: pa.RecordBatch | pa.Table) -> Iterator[dict]:
     for i in range(batch.num_rows):
         cell = {c: batch.column(c)[i] for c in batch.schema.names}
         yield {
-            "n": cell["n"].as_py(), "keys": cell["keys"].as_py(), "terms": cell["terms"].values, "df": cell["df"].values, **{c: cell[c].as_buffer() for c in ("length", "doc", "tf")},
+            "n": cell["n"].as_py(), "keys": cell["keys"].values, "terms": cell["terms"].values, "df": cell["df"].values, **{c: cell[c].as_buffer() for c in ("length", "doc", "tf")},
         }
 
 
@@ -221,13 +246,13 @@ def _flat(lists: pa.Array | pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
 
 
 def _queries(rows: pa.Table) -> dict:
-    """A block of queries: its vocabulary, and each query's terms as places in that, by falling weight."""
+    """A block of queries: its vocabulary, and each query's terms as places in that."""
     terms, ends = _flat(rows.column("terms"))
-    weights = _flat(rows.column("weights"))[0].to_numpy(zero_copy_only=False)
     coded = terms.dictionary_encode()
-    order = np.lexsort((-weights, np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))))
-    place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
-    return {"vocabulary": coded.dictionary, "ids": rows.column("query_id").to_numpy(), "thresholds": rows.column("threshold").to_numpy(), "ends": ends, "terms": place[order], "weights": weights[order]}
+    return {
+        "vocabulary": coded.dictionary, "ids": rows.column("query_id").combine_chunks(), "rows": rows.column("row").to_numpy(), "ends": ends, "terms": coded.indices.to_numpy(zero_copy_only=False).astype(np.int32),
+        "weights": _flat(rows.column("weights"))[0].to_numpy(zero_copy_only=False),
+    }
 
 
 def query_weights(queries: DataFrame, index: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, float]:
@@ -242,8 +267,8 @@ def query_weights(queries: DataFrame, index: DataFrame, key: str = "doc_id", tex
 
     total = index.agg(F.sum("n").alias("n"), F.sum("total").alias("t")).first()
     n, mean = total["n"] or 0, (total["t"] or 0) / max(1, total["n"] or 0)
-    rows = queries.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("query_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    words = rows.select("query_id", "row", "text").mapInArrow(count, "query_id long, row long, term binary, q long")
+    rows = queries.where(F.col(key).isNotNull()).select(F.col(key).alias("query_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    words = rows.select("query_id", "row", "text").mapInArrow(count, f"query_id {queries.schema[key].dataType.simpleString()}, row long, term binary, q long")
     df = index.select(F.explode(F.arrays_zip("terms", "df")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.df").alias("df"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = words.join(df, "term").select("query_id", "row", F.struct("term", (F.col("q") * idf).alias("w")).alias("x"))
@@ -256,35 +281,23 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP, key: str = "doc_id"
     spark = docs.sparkSession
     index = build_index(docs, key, text)
     weighed, mean = query_weights(queries, index, key, text)
-    sample = index.limit(1).toArrow()  # one shard, bounded by its limits
-    if not sample.num_rows:
-        return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    seed = spark.sparkContext.broadcast(sample)
-
-    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = next(_shards(seed.value))
-        vocabulary = row["terms"]
-        shard, dense = Shard(row, vocabulary, mean), np.zeros(len(vocabulary))
-        for batch in batches:
-            terms, ends = _flat(batch.column("terms"))
-            place = pc.index_in(terms, value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            weights = _flat(batch.column("weights"))[0].to_numpy(zero_copy_only=False)
-            made = []
-            for begin, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False):
-                own, w = place[begin:end], weights[begin:end]
-                own, w = own[own >= 0], w[own >= 0]
-                order = np.argsort(-w, kind="stable")
-                found = shard.search(own[order], w[order], dense, 0.0, k)
-                made.append(found[-1][0] if len(found) == k else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], [*batch.schema.names, "threshold"])
-
-    plan = written(weighed.mapInArrow(start, "query_id long, row long, terms array<binary>, weights array<double>, threshold double"), "queries")
-    blocks = max(1, -(-(plan.agg(F.sum(F.size("terms")).alias("n")).first()["n"] or 0) // query_terms))
-    shards = index.repartition(max(1, min(index.count(), 10_000)))
+    plan = written(weighed, "queries")
+    size = plan.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("t")).first()
+    blocks = max(1, -(-size["t"] // query_terms), -(-size["n"] // QUERIES))
+    sampled = F.pmod(F.xxhash64("shard"), F.lit(SAMPLE)) == 0
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    first, rest = (dealt(index.where(own), tasks) for own in (sampled, ~sampled))
+    kinds = f"query_id {queries.schema[key].dataType.simpleString()}, row long, doc_id {docs.schema[key].dataType.simpleString()}, score double"
     parts = []
     for b in range(blocks):
         own = plan.where(F.pmod(F.xxhash64("query_id", "row"), F.lit(blocks)) == b).toArrow()  # about query_terms terms
-        parts.append(shards.mapInArrow(_searcher(spark.sparkContext.broadcast(_queries(own)), mean, k), "query_id long, doc_id long, score double"))
+        block = spark.sparkContext.broadcast(_queries(own))
+        parts.append(written(first.mapInArrow(_searcher(block, None, mean, k), kinds), "found"))
+        reached = parts[-1].groupBy("row").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).where(F.size("s") >= k).select("row", F.element_at("s", k).alias("least"))
+        least = spark.sparkContext.broadcast({r["row"]: r["least"] for r in reached.collect()})  # one for each query of the block
+        parts.append(written(rest.mapInArrow(_searcher(block, least, mean, k), kinds), "found"))
+        for gone in (block, least):
+            gone.destroy()
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
@@ -292,19 +305,34 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP, key: str = "doc_id"
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
-def _searcher(block, mean: float, k: int):
+def dealt(index: DataFrame, tasks: int) -> DataFrame:
+    """Shards over tasks, at most as many as there are shards."""
+    return index.repartition(max(1, min(index.count(), tasks)))
+
+
+def _searcher(block, least, mean: float, k: int):
+    """Searches all shards of a task for all queries of the block; a task returns k results a query at most."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = block.value
-        ends, threshold, dense = q["ends"].tolist(), q["thresholds"].tolist(), np.zeros(len(q["vocabulary"]))
+        q, known = block.value, least.value if least else {}
+        ends, dense = q["ends"].tolist(), np.zeros(len(q["vocabulary"]))
+        threshold = [known.get(r, 0.0) for r in q["rows"].tolist()]
+        top: list[list[tuple[float, object]]] = [[] for _ in ends]
+        key_type = None
         for batch in batches:
+            key_type = batch.column("keys").type.value_type
             for row in _shards(batch):
-                shard, out = Shard(row, q["vocabulary"], mean), []
-                for at, (query, begin, end) in enumerate(zip(q["ids"].tolist(), [0, *ends], ends, strict=False)):
-                    found = shard.search(q["terms"][begin:end].astype(np.int64), q["weights"][begin:end], dense, threshold[at], k)
-                    out += [(query, d, s) for s, d in found]
-                    if len(found) == k:
-                        threshold[at] = max(threshold[at], found[-1][0])
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "doc_id", "score"])
+                shard = Shard(row, q["vocabulary"], mean)
+                for at, (begin, end) in enumerate(zip([0, *ends], ends, strict=False)):
+                    if found := shard.search(q["terms"][begin:end], q["weights"][begin:end], dense, threshold[at], k):
+                        top[at] = best(top[at] + found, k)
+                        if len(top[at]) == k:
+                            threshold[at] = max(threshold[at], top[at][-1][0])
+        if key_type is None:
+            return
+        place = pa.array(np.repeat(np.arange(len(top)), np.fromiter(map(len, top), np.int64, len(top))))
+        columns = [q["ids"].take(place), pa.array(q["rows"]).take(place), pa.array([d for x in top for _, d in x], key_type), pa.array([s for x in top for s, _ in x], pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, ["query_id", "row", "doc_id", "score"])
 
     return search
 

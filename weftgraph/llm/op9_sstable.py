@@ -15,10 +15,18 @@ A shard goes to a name of its own for each attempt, and counts only through the
 manifest row that its task returned; the manifest is written as a table, so a
 lost executor leaves at most a file that nothing names.
 
+A task begins a new shard when one has ``SHARD`` bytes, so a shard's size, its
+index and its filter are bounded. Rows are dealt by key and the text's hash, so
+the rows of one very frequent key are dealt over several tasks too.
+
+Texts are encoded as the library does by default: the strings of its special
+tokens in a text stand for those tokens.
+
 Defined cases: null text counts as empty and has only the end id. Repeated keys
-keep all their rows, next to each other; lookup returns the first. A null key
-sorts before all others. Columns other than the key and the text are ignored.
-An empty input has no shards, and reading it gives no rows.
+keep all their rows, next to each other, in the order of their texts' hashes;
+lookup returns the first. A null key sorts before all others. Columns other than
+the key and the text are ignored. An empty input has no shards, and reading it
+gives no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +43,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,6 +52,7 @@ from weftgraph.llm.common import bounded_batches, shared_dir, written
 from weftgraph.llm.pretokens import Coder
 
 BLOCK = 65_536
+SHARD = 256 * 1024 * 1024
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 FOOTER = struct.Struct("<QQQQQQB7s")
 MAGIC = b"WEFTSST"
@@ -193,49 +203,78 @@ class Shard:
         return None
 
 
-@functools.lru_cache(maxsize=2)
-def _coder(path: str, end: int) -> tuple[Coder, bool]:
-    from tokenizers import Tokenizer
+class Encoder:
+    """The library's ids of texts: pre-token by pre-token through a cache; a text that holds a special token's string as a whole."""
+
+    def __init__(self, path: str, end: int):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.wide = self.library.get_vocab_size() > 1 << 16
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.end = end
+        self.coder = Coder(lambda words: [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)], (end,))
+
+    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, with the end id."""
+        whole = [any(t in text for t in self.special) for text in texts]
+        ids, counts = self.coder([text for text, w in zip(texts, whole, strict=True) if not w])
+        ends = iter(np.cumsum(counts).tolist())
+        begin = 0
+        for text, w in zip(texts, whole, strict=True):
+            if w:
+                yield np.array([*self.library.encode(text, add_special_tokens=False).ids, self.end], "<u4")
+            else:
+                stop = next(ends)
+                yield ids[begin:stop]
+                begin = stop
+
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return Coder(lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)], (end,)), tokenizer.get_vocab_size() > 1 << 16
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str, end: int) -> Encoder:
+    return Encoder(path, end)
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
-    """Encodes and writes; the manifest (path, first, entries, tokens), one row for each shard, ``first`` being its first key's bytes."""
+def write_shards(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", text: str = "text", folder: str | None = None, shard: int = SHARD) -> DataFrame:
+    """Encodes and writes; the manifest (path, task, n, first, entries, tokens), one row for each shard: the n-th of its task, ``first`` being its first key's bytes."""
     spark = docs.sparkSession
     bounded_batches(spark)
     folder = folder or f"{shared_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, wide = _coder(tokenizer, end)
+        encode, task, number = _encoder(tokenizer, end), TaskContext.get().partitionId(), 0
         store, base = fs.FileSystem.from_uri(folder)
-        name = f"{uuid.uuid4().hex}.sst"
-        out = writer = first = None
+        out = writer = first = path = None
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            out.close()
+            return pa.RecordBatch.from_pydict({"path": [path], "task": pa.array([task], pa.int64()), "n": pa.array([number], pa.int64()), "first": pa.array([first], pa.binary()), "entries": [writer.entries], "tokens": [writer.tokens]})
+
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                ids, counts = coder([t or "" for t in part.column("text").to_pylist()])
-                ends = np.cumsum(counts)
-                for k, begin, stop in zip(part.column("k").to_pylist(), ends - counts, ends, strict=True):
+                for k, ids in zip(part.column("k").to_pylist(), encode([t or "" for t in part.column("text").to_pylist()]), strict=True):
                     if writer is None:
+                        name = f"{uuid.uuid4().hex}.sst"
                         store.create_dir(base, recursive=True)
-                        out, first = store.open_output_stream(f"{base}/{name}"), key_bytes(k)
-                        writer = ShardWriter(out, wide)
-                    writer.add(key_bytes(k), ids[begin:stop])
+                        out, first, path = store.open_output_stream(f"{base}/{name}"), key_bytes(k), f"{folder}/{name}"
+                        writer = ShardWriter(out, encode.wide)
+                    writer.add(key_bytes(k), ids)
+                    if writer.at >= shard:
+                        yield closed()
+                        writer, number = None, number + 1
         if writer is not None:
-            writer.close()
-            out.close()
-            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "first": pa.array([first], pa.binary()), "entries": [writer.entries], "tokens": [writer.tokens]})
+            yield closed()
 
-    ordered = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).repartitionByRange("k").sortWithinPartitions("k")
-    return written(ordered.mapInArrow(write, "path string, first binary, entries long, tokens long"), "manifest")
+    keyed = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).withColumn("h", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange("k", "h").sortWithinPartitions("k", "h").select("k", "text")
+    return written(ordered.mapInArrow(write, "path string, task long, n long, first binary, entries long, tokens long"), "manifest")
 
 
 def read_shards(manifest: DataFrame, key: str = "doc_id", text_keys: bool = False) -> DataFrame:
     """(key, start, n_tokens, ids) of every document, read back from the files; start counts the ids of all documents before it."""
-    base = F.coalesce(F.sum("tokens").over(Window.orderBy("first", "path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a shard
+    base = F.coalesce(F.sum("tokens").over(Window.orderBy("task", "n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a shard
     shards = manifest.withColumn("base", base).select("path", "base")
     made = pa.schema([("key", pa.string() if text_keys else pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 

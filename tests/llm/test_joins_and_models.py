@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import random
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.test_rows_and_scores import odd_rows
 from tests.oracle import actual, expected
-from weftgraph.llm import op1_decontaminate, op5_simhash, op7_license_scan, op8_topk_search, op10_lattice_lm, registry
+from weftgraph.llm import op1_decontaminate, op3_language_id, op5_simhash, op7_license_scan, op8_topk_search, op10_lattice_lm, registry
+from weftgraph.llm.common import joined_by
 
 BIG = "/root/testdata/sf0.01"
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -251,7 +253,7 @@ def test_pipeline_matches_its_stages_by_hand(spark):
         kept[name] = (sorted(before.collect()), sorted(after.collect()))
         before = after
     was, now = kept["near_duplicates"]
-    of = slow_components(np.array([slow_print(r["text"]) for r in was], np.uint64))
+    of = slow_groups([r["text"] for r in was])
     assert [r["doc_id"] for r in now] == [was[c]["doc_id"] for c in sorted(set(of))]
     was, now = kept["decontamination"]
     words = lambda t: " " + " ".join(re.findall(r"\w+", t.lower())) + " "
@@ -260,11 +262,52 @@ def test_pipeline_matches_its_stages_by_hand(spark):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{BIG}/labels.parquet").collect()}
     gone = {r["doc_id"] for r in kept["toxicity"][0]} - {r["doc_id"] for r in kept["toxicity"][1]}
     assert sum(labels.get(i) == 0 for i in gone) == 0 and sum(t and i in gone for i, t in labels.items()) >= 0.8 * sum(labels.values())
-    assert len(kept["language"][0]) == len(kept["language"][1])
+    was, now = kept["language"]
+    names, profiles = op3_language_id.learn(spark.createDataFrame([r for r in was if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2], docs.schema))
+    letters, near = op3_language_id.cosines([r["text"] for r in was], profiles, op3_language_id.SEED)
+    sure = lambda r, c: r["lang"] in names and names[c.argmax()] != r["lang"] and c.max() >= 0.5
+    assert [r["doc_id"] for r in now] == [r["doc_id"] for r, ok, c in zip(was, letters, near, strict=True) if ok and c.max() >= 0.01 and not sure(r, c)] and len(was) - 10 <= len(now)
+    now = kept["decontamination"][1]
     final = {r["doc_id"]: r for r in corpus_pipeline.run(spark, BIG).collect()}
     assert sorted(final) == [r["doc_id"] for r in now] and all(final[r["doc_id"]]["n_bytes"] == len(r["text"].encode()) for r in now)
 
 
+def slow_groups(texts: list[str]) -> list[int]:
+    """Groups by fingerprints within 4 bits or exact five-word similarity of 0.8 or more, counted over shared shingles."""
+    of = slow_components(np.array([slow_print(t) for t in texts], np.uint64))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (re.sub("[A-Z]", lambda m: m[0].lower(), t).split() for t in texts)]
+    holders, shared = defaultdict(list), Counter()
+    for n, own in enumerate(sets):
+        for x in own:
+            for m in holders[x]:
+                shared[m, n] += 1
+            holders[x].append(n)
+    near = [(a, b) for (a, b), both in shared.items() if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both)]
+    while True:
+        before = list(of)
+        for a, b in near:
+            low, high = sorted((of[a], of[b]))
+            of = [low if x == high else x for x in of] if low != high else of
+        if of == before:
+            return of
+
+
+def test_language_stage_drops_only_what_is_surely_mislabelled(spark):
+    docs = spark.read.parquet(f"{BIG}/documents.parquet")
+    english = docs.where("lang = 'en' and n_chars > 2000").limit(1).select(F.lit(-1).cast("long").alias("doc_id"), "text", F.lit("de").alias("lang"), "source", "n_chars")
+    odd = spark.createDataFrame([(-2, "12 34 !!", "en"), (-3, None, "en"), (-4, "xq", None)], "doc_id long, text string, lang string").select("*", F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs.unionByName(english).unionByName(odd), BIG).select("doc_id").collect()}
+    assert not kept & {-1, -2, -3} and len(kept) >= docs.count() - 5
+
+
+def test_hot_keys_are_joined_whole(spark):
+    left = spark.createDataFrame([("hot", i) for i in range(900)] + [(f"k{i}", i) for i in range(300)] + [(None, 1)], "k string, v int")
+    names = left.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("low"))
+    for share in (1, 3, 1_000):
+        got = joined_by(left, names, "k", "n", share)
+        assert got.columns == ["k", "v", "low"] and Counter((r["k"], r["low"]) for r in got.collect()) == Counter({("hot", 0): 900} | {(f"k{i}", i): 1 for i in range(300)})
+
+
 def test_pipeline_stages_take_odd_rows(spark):
     docs = odd_rows(spark).select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"), F.lit("x").alias("row_number"), F.lit("y").alias("key"))
     for name, stage in corpus_pipeline.STAGES:
@@ -308,6 +351,19 @@ def test_near_duplicates_stage_catches_similar_texts(spark):
         assert names(op5_simhash.set_links(own, block=block)) == whole
 
 
+def test_numbers_in_words_and_people_are_slots(spark):
+    item = "Maria bakes six cakes in two days. Then Peter eats three cakes and Maria sells one cake for 5 dollars. How many cakes do they still have"
+    swap = lambda *pairs: functools.reduce(lambda t, p: t.replace(*p), pairs, item)
+    docs = spark.createDataFrame([
+        (1, swap(("Maria", "Anna"), ("Peter", "Oliver"), ("six", "Nine"), ("three", "seven"), ("5 dollars", "8 dollars"))),
+        (2, swap(("six", "4"), ("three", "4"))),
+        (3, swap(("Maria", "Anna"), ("Peter", "Anna"))),
+        (4, "Maria bakes six cakes in two days and sleeps well after that"),
+    ], "doc_id long, text string")
+    got = {r["doc_id"]: r["kind"] for r in op1_decontaminate.contaminations(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {1: "reparameterised", 2: "reparameterised"}
+
+
 def test_leaks_in_other_case_and_with_names_first(spark):
     start = "Tom buys 12 red apples at the market. Tom gives 3 apples to a friend. Tom eats 2 apples on the way. How many apples are left now"
     copy = start.replace("Tom", "Sam").replace("12", "45").replace("3", "9").replace("2 apples", "7 apples")

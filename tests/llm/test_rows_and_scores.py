@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import html as html_module
+import math
 import re
 import time
 import zlib
@@ -78,6 +79,39 @@ def test_toxicity_edges(spark):
     empty = op2_toxicity.learn(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int"))
     assert op2_toxicity.detect(docs.select("doc_id", "text"), empty).where("predicted = 1").count() == 0
     assert op2_toxicity.detect(docs.select("doc_id", "text").limit(0), model).count() == 0
+    whole = op2_toxicity.detect(docs, model)
+    assert whole.columns == ["doc_id", "text", "row", "score", "predicted", "passages"] and all(isinstance(r["score"], float) for r in whole.collect())
+
+
+def test_toxicity_learns_by_its_definition(spark):
+    """Counts of contexts, prior, odds, K and the curve, once more in plain Python; repeated keys and passages count once."""
+    toxic = [f"you {w} zorkface {w}{i} gruntle {i}" for i, w in enumerate("ab cd ef gh ij kl mn op".split())]
+    clean = [f"the {w} day {w}{i} was long and {i} fine for all of us" for i, w in enumerate("qr st uv wx yz ba dc fe hg ji lk nm".split())]
+    texts = [*toxic, *clean, clean[0]]
+    docs = spark.createDataFrame([*enumerate(texts), (0, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < len(toxic))) for i in range(len(texts))] + [(0, None), (None, 1), (99, 1)], "doc_id long, toxic int")
+    model = op2_toxicity.learn(docs.where("text <> ''"), labels)
+    words = [re.findall(r"\w+", t.lower()) for t in texts]
+    n1, n0 = sum(map(len, words[: len(toxic)])), sum(map(len, words[len(toxic) :]))
+    seen = {(w, own[i - 1] if i else None, n < len(toxic)) for n, own in enumerate(words) for i, whole in enumerate(own) for w in (whole, *(whole[:k] + "*" for k in op2_toxicity.STEMS if len(whole) > k))}
+    want = {}
+    for w in {w for w, _, _ in seen}:
+        y1, y0 = (sum(x == w and bad == side for x, _, bad in seen) for side in (True, False))
+        a, p = op2_toxicity.PRIOR * (y1 + y0) / (n1 + n0), n1 / (n1 + n0)
+        odds = math.log((y1 + a) / (n1 + op2_toxicity.PRIOR - y1 - a)) - math.log((y0 + a) / (n0 + op2_toxicity.PRIOR - y0 - a))
+        g = 2 * sum(y * math.log(y / ((y1 + y0) * share)) for y, share in ((y1, p), (y0, 1 - p)) if y)
+        if y1 >= op2_toxicity.MIN_CONTEXTS and g >= op2_toxicity.G and odds > 0:
+            want[w] = odds
+    assert want and model.scores == pytest.approx(want)
+    best = [max((s for _, _, s in op2_toxicity.maximal_segments(*op2_toxicity.hits(t, model)[1:], model.gap)), default=0.0) for t in clean + clean[:1]]
+    levels = np.unique(np.quantile(list(want.values()), np.linspace(0, 1, 11)))
+    assert model.log_k == pytest.approx(max(math.log((sum(b >= s for b in best) + 0.5) / n0) + s for s in levels))
+    evidence = np.array([op2_toxicity.passages(t, model)[1] for t in texts])
+    p = 1 / (1 + np.exp(-(model.logit[0] + model.logit[1] * evidence)))
+    y = np.arange(len(texts)) < len(toxic)
+    assert abs((y - p).sum() - 1e-3 * model.logit[0]) < 1e-3 and abs(((y - p) * evidence).sum() - 1e-2 * model.logit[1]) < 1e-3
+    for r in op2_toxicity.detect(docs, model).collect():
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-(model.logit[0] + model.logit[1] * op2_toxicity.passages(r["text"], model)[1]))))
 
 
 def test_language_on_held_out_documents(spark):
@@ -115,11 +149,22 @@ def test_bundles_match_the_definition():
         assert got == pytest.approx(profiles @ v / np.linalg.norm(v), abs=1e-5)
 
 
+def test_prototypes_bundle_all_learning_texts(spark):
+    rows = [("one two", "en"), ("three", "en"), ("uno dos", "es"), (None, "en"), ("no language", None), ("", "es")]
+    names, profiles = op3_language_id.learn(spark.createDataFrame(rows, "text string, lang string"), dimensions=64, seed=7)
+    assert names == ["en", "es"]
+    for name, own in zip(names, profiles, strict=True):
+        v = sum(slow_bundle(t, 64, 7) for t, lang in rows if t and lang == name)
+        assert own == pytest.approx(v / np.linalg.norm(v), abs=1e-5)
+
+
 def test_language_edges(spark):
     docs = odd_rows(spark).withColumn("lang", F.when(F.col("doc_id") == 4, "en"))
     model = op3_language_id.learn(docs)
     rows = op3_language_id.identify(docs.select("doc_id", "text"), model).collect()
     assert sorted(r["lang_pred"] for r in rows) == ["en"] * 4 + ["und"] * 3
+    whole = op3_language_id.identify(docs, model)
+    assert whole.columns == ["doc_id", "text", "predicted", "row", "lang", "lang_pred", "score"] and all(isinstance(r["score"], float) for r in whole.collect())
     none = op3_language_id.learn(docs.limit(0))
     assert {r["lang_pred"] for r in op3_language_id.identify(docs.select("doc_id", "text"), none).collect()} == {"und"}
 

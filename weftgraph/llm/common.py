@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -18,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only in a single process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="weft-shared-")
@@ -53,6 +56,23 @@ def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def joined_by(left: DataFrame, names: DataFrame, key: str, n: str, share: int = 1_000) -> DataFrame:
+    """left joined with names, which has one row a key and, as ``n``, how many rows of left that key has; ``n`` is not returned.
+
+    Keys that hold over 1/share of the rows are under ``share`` in number, so they
+    are broadcast and their rows stay where they are; only rows of other keys are shuffled.
+    """
+    total = names.agg(F.coalesce(F.sum(n), F.lit(0)).alias("total")).first()["total"]
+    hot = F.broadcast(names.where(F.col(n) * share > total).drop(n))
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(names.where(F.col(n) * share <= total).drop(n), key))
+
+
+def without(df: DataFrame, names: Iterable[str], keep: Iterable[str] = ()) -> DataFrame:
+    """df less the columns whose names, whatever their case, results are about to take; those in ``keep`` stay."""
+    taken = {x.lower() for x in names} - {x.lower() for x in keep}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
 def slot_free(names: Iterable[str], base: str) -> str:
     """A column name that starts as ``base`` and clashes with none of ``names``."""
     taken = {n.lower() for n in names}

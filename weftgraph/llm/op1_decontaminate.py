@@ -6,10 +6,11 @@ its re-parameterised copy have one template. Templates are cut into windows of
 and the words compared. Matches on one diagonal (document place less item place,
 neighbouring diagonals merged) are one occurrence of the item. It counts if it
 covers ``COVERAGE`` of the item's windows and its slots are consistent: a value
-of the item stands for one value of the document. Where enough windows without
-slots match word by word, slots don't matter.
+of the item stands for one value of the document, and of names also a value of
+the document for one of the item (two amounts may become equal, two people not).
+Where enough windows without slots match word by word, slots don't matter.
 
-Placeholders: numbers; units behind a number; names, that is capitalised words
+Placeholders: numbers, also in words; units behind a number in digits; names, that is capitalised words
 that begin no sentence (a lower-case letter or , ; : and a blank stand before, and
 a lower-case letter behind the first). Two more templates find what this misses:
 one takes every capitalised word as a name, so names that begin sentences count;
@@ -43,7 +44,11 @@ UNITS = (
     "mm|cm|km|m|ft|in|mi|miles?|inch|inches|feet|foot|yards?|meters?|metres?|kilometers?|kilometres?|centimeters?|centimetres?|mg|kg|g|lbs?|oz|grams?|kilograms?|pounds?|ounces?|tons?|tonnes?|ml|l|liters?|litres?|gallons?|cups?|"
     "ms|s|sec|seconds?|min|minutes?|h|hrs?|hours?|days?|weeks?|months?|years?|mph|kph|km/h|hz|khz|mhz|ghz|kb|mb|gb|tb|w|kw|kwh|v|volts?|watts?|amps?|degrees?|percent|dollars?|euros?|cents?|usd|eur"
 )
-NUMBER = r"[0-9](?<![\p{L}\p{N}].)[0-9]*(?:[.,:/][0-9]+)*"
+# Numbers in words.
+NUMBER_WORDS = (
+    "zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million|billion|dozen"
+)
+NUMBER = rf"(?:[0-9](?<![\p{{L}}\p{{N}}].)[0-9]*(?:[.,:/][0-9]+)*|(?<![\p{{L}}\p{{N}}])(?i:{NUMBER_WORDS})(?![\p{{L}}\p{{N}}]))"
 NAME = r"\p{Lu}(?<=[\p{Ll},;:] .)\p{Ll}[\p{L}'-]*(?![\p{L}\p{N}])"
 # Any capitalised word, wherever it stands.
 CAPITALISED = r"\p{Lu}(?<![\p{L}\p{N}].)\p{Ll}[\p{L}'-]*(?![\p{L}\p{N}])"
@@ -58,8 +63,8 @@ def template(text: Column, name: str | None = NAME) -> Column:
     if name is None:
         return F.lower(text)
     named = F.regexp_replace(text, name, f" {NAME_MARK} ")
-    measured = F.when(text.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(named, UNIT, f" {UNIT_MARK} "), NUMBER, f" {NUMBER_MARK} ")).otherwise(named)
-    return F.lower(measured)
+    measured = F.when(text.rlike("[0-9]"), F.regexp_replace(named, UNIT, f" {UNIT_MARK} ")).otherwise(named)
+    return F.lower(F.regexp_replace(measured, NUMBER, f" {NUMBER_MARK} "))
 
 
 def is_mark(word: Column) -> Column:
@@ -140,9 +145,12 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, k: int = K, coverage:
     )
     own = F.array_distinct(F.transform("pairs", lambda p: p["own"]))
     steady = F.filter(own, lambda v: F.size(F.filter("pairs", lambda p: p["own"] == v)) == 1)
+    named = F.filter("pairs", lambda p: p["own"].rlike(r"^\p{Lu}"))
+    others = F.array_distinct(F.transform(named, lambda p: p["other"]))
+    apart = F.filter(others, lambda v: F.size(F.filter(named, lambda p: p["other"] == v)) == 1)
     judged = spans.select(
         "doc_id", "item_id", "variant", (F.col("n_found") / F.col("windows")).alias("coverage"), (F.col("n_literal") / F.col("windows")).alias("literal"),
-        F.when(F.size("pairs") == 0, 1.0).otherwise(F.size(steady) / F.size(own)).alias("consistency"), F.forall("pairs", lambda p: p["own"].eqNullSafe(p["other"])).alias("equal"), "first_word", "last_word",
+        F.when(F.size("pairs") == 0, 1.0).otherwise(F.least(F.size(steady) / F.size(own), F.when(F.size(others) == 0, 1.0).otherwise(F.size(apart) / F.size(others)))).alias("consistency"), F.forall("pairs", lambda p: p["own"].eqNullSafe(p["other"])).alias("equal"), "first_word", "last_word",
     ).where((F.col("coverage") >= coverage) & ((F.col("consistency") >= coverage) | (F.col("literal") >= coverage)))
     kind = F.when(F.col("equal"), "exact").when(F.col("consistency") >= coverage, "reparameterised").otherwise("literal")
     best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "consistency", kind.alias("kind"), (-F.col("variant")).alias("v"), (-F.col("first_word")).alias("f"), "last_word")).alias("b"))

@@ -18,14 +18,16 @@ passages. Their S - ln(K n) are summed and a logistic curve, fitted to the
 learning texts, turns the sum into the score.
 
 The learning texts are those of at most ``MAX_LABELS`` labelled rows, drawn by
-the hash of doc_id; the model has at most ``MAX_TOKENS`` tokens, those furthest
-above zero. Labels, lang, source and doc_id are no inputs of a score.
+the hash of doc_id, one text for each: that bounds the model and what the driver
+gets. Labels, lang, source and doc_id are no inputs of a score.
 
 Defined cases: null text counts as empty; a text without passages gets the
 score of no evidence, under 0.5. Each input row gives one output row, repeated
 rows and null keys included. A key with several labels counts as toxic if one of
-them says so; null labels teach nothing. Without learning rows of both classes
-every score is the share of toxic ones (0 if none). Other columns pass through.
+them says so; of its several texts the one with the smallest hash teaches; null
+labels teach nothing. Without learning rows of both classes every score is the
+share of toxic ones (0 if none). Other columns pass through, but for those that
+are named as a result, which give way to it.
 """
 
 from __future__ import annotations
@@ -41,10 +43,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import bounded_batches, bounded_broadcast, crc32_mod
+from weftgraph.llm.common import bounded_batches, bounded_broadcast, crc32_mod, without, written
 
 MAX_LABELS = 20_000
-MAX_TOKENS = 20_000
 PRIOR = 500.0
 G = 22.0
 MIN_CONTEXTS = 4
@@ -53,6 +54,7 @@ SIGNIFICANT = 1.0
 WORD = re.compile(r"\w+")
 SPARK_WORD = r"(?U)\W+"
 ROWS = 512
+BROADCAST_ROWS = 1_000_000
 
 
 @dataclass
@@ -129,7 +131,7 @@ def passages(text: str | None, model: Model) -> tuple[list[tuple[int, int, float
     return found, sum(s - chance for _, _, s, _ in found)
 
 
-def token_scores(docs: DataFrame, max_tokens: int = MAX_TOKENS) -> tuple[dict[str, float], float]:
+def token_scores(docs: DataFrame) -> tuple[dict[str, float], float]:
     """(scores, gap) from (text, toxic)."""
     words = docs.select("toxic", F.split(F.lower("text"), SPARK_WORD).alias("words"))
     placed = words.select("toxic", "words", F.posexplode("words").alias("pos", "word")).where(F.col("word") != "")
@@ -143,8 +145,8 @@ def token_scores(docs: DataFrame, max_tokens: int = MAX_TOKENS) -> tuple[dict[st
     tokens = placed.select("toxic", before, F.explode(F.array("word", *stems)).alias("w")).where(F.col("w").isNotNull())
     # What plain counts don't show as frequent in toxic texts, contexts won't; few tokens are left.
     plain = tokens.groupBy("w").agg(bad.alias("y1"), F.count("*").alias("y"))
-    likely = plain.where((F.col("y1") >= MIN_CONTEXTS) & (F.col("y1") / n1 > 2 * (F.col("y") - F.col("y1")) / n0)).orderBy(F.desc(F.col("y1") / (F.col("y") - F.col("y1") + 1)), "w").limit(4 * max_tokens)
-    contexts = tokens.join(F.broadcast(likely.select("w")), "w").distinct()
+    likely = plain.where((F.col("y1") >= MIN_CONTEXTS) & (F.col("y1") / n1 > 2 * (F.col("y") - F.col("y1")) / n0))
+    contexts = tokens.join(bounded_broadcast(likely.select("w"), BROADCAST_ROWS), "w").distinct()
     up, down = F.col("y1") + F.col("a"), F.col("y0") + F.col("a")
     part = F.lit(n1 / (n1 + n0))
     side = lambda y, share: F.when(F.col(y) > 0, F.col(y) * F.log(F.col(y) / ((F.col("y1") + F.col("y0")) * share))).otherwise(0.0)
@@ -154,7 +156,7 @@ def token_scores(docs: DataFrame, max_tokens: int = MAX_TOKENS) -> tuple[dict[st
         .withColumn("odds", F.log(up / (n1 + PRIOR - up)) - F.log(down / (n0 + PRIOR - down)))
         .withColumn("g", 2 * (side("y1", part) + side("y0", 1 - part)))
         .where((F.col("y1") >= MIN_CONTEXTS) & (F.col("g") >= G) & (F.col("odds") > 0))
-        .orderBy(F.desc("g"), "w").limit(max_tokens).collect()
+        .collect()  # of at most max_labels texts
     )
     whole = [r for r in scored if not r["w"].endswith("*")]
     share = sum(r["y1"] for r in whole) / n1, sum(r["y0"] for r in whole) / n0
@@ -189,14 +191,15 @@ def _logit(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0]), max(0.0, float(beta[1]))
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_labels: int = MAX_LABELS, max_tokens: int = MAX_TOKENS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_labels: int = MAX_LABELS) -> Model:
     """The model from docs that labels name; the caller leaves out the rows it holds out."""
     bounded_batches(docs.sparkSession)
     drawn = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.max("toxic") > 0).cast("int").alias("toxic")).orderBy(F.xxhash64("k"), "k").limit(max_labels)
-    known = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(bounded_broadcast(drawn, max_labels), "k").select("text", "toxic")
-    scores, gap = token_scores(known, max_tokens)
+    texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(bounded_broadcast(drawn, max_labels), "k")
+    known = written(texts.groupBy("k").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic"), "known")
+    scores, gap = token_scores(known)
     first = Model(scores, gap)
-    seen = _evidence(known, first).toPandas()  # at most max_labels rows, unless keys repeat
+    seen = _evidence(known, first).toPandas()  # at most max_labels rows
     clean, toxic = seen[seen["toxic"] == 0], seen[seen["toxic"] == 1]
     if not scores or not len(clean) or not len(toxic):
         share = len(toxic) / max(1, len(seen))
@@ -211,6 +214,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def detect(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with score, predicted and passages (first_word, last_word, score, expected) for every row."""
     bounded_batches(docs.sparkSession)
+    docs = without(docs, ("score", "predicted", "passages"), (text,))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     passage = pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())]))
 

@@ -13,8 +13,10 @@ a language, whatever the input's size.
 Defined cases: a text that is null or has no letter gets ``und`` and score 0, as
 does any text where nothing could be learned. Rows with a null text or language
 teach nothing. Ties go to the language whose name sorts first. Each input row
-gives one output row. Other columns are ignored. Letters outside a-z share
-``SYMBOLS - 27`` vectors by code point.
+gives one output row. Other columns pass through, but for those that are named as
+a result, which give way to it. Letters outside a-z share ``SYMBOLS - 27`` vectors
+by code point: neighbours in one alphabet have different ones, letters of
+different scripts may have the same.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import bounded_batches, crc32_mod
+from weftgraph.llm.common import bounded_batches, crc32_mod, without
 from weftgraph.llm.pretokens import LETTER, classes
 
 SYMBOLS = 64
@@ -146,6 +148,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     """docs with lang_pred and score (the cosine, 0 at least) for every row."""
     names, profiles = model
     bounded_batches(docs.sparkSession)
+    docs = without(docs, ("lang_pred", "score"), (text,))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

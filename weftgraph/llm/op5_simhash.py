@@ -13,6 +13,8 @@ Equal fingerprints are one entry. A posting list emits, of the links found, only
 a forest that connects the same fingerprints, never all pairs. A list longer than ``BLOCK`` is dealt in
 pairs of blocks, so no task holds it whole and no link is lost. Components come
 from repeated star contraction of the links, with a written table for each round.
+Names are joined back without a shuffle for fingerprints and components that hold
+more than a thousandth of the rows (at most a thousand of them are broadcast).
 
 Fingerprint: lower-case A-Z, words between ASCII white space, ``width``-word
 shingles with repeats (fewer words: the whole sequence), XXH64 with seed 42; a
@@ -42,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import bounded_batches, bounded_broadcast, written
+from weftgraph.llm.common import bounded_batches, bounded_broadcast, joined_by, written
 
 WIDTH, BITS, SEED = 4, 4, 42
 BLOCK = 2_048
@@ -326,15 +328,15 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, bits: int = BITS, similarity: float | None = None) -> DataFrame:
     """(key, print, component_id): component_id is the smallest key in reach; with ``similarity`` through similar shingle sets too."""
     own = written(fingerprints(docs, key, text, width) if similarity is None else sketches(docs, key, text, width), "prints")
-    distinct = own.groupBy("print").agg(F.min(key).alias("low"))
+    distinct = written(own.groupBy("print").agg(F.min(key).alias("low"), F.count("*").alias("n")), "distinct")
     found = links(distinct.select("print"), bits)
     if similarity is not None:
         found = found.unionByName(set_links(own, similarity)).distinct()
     reach = components(found).withColumnRenamed("node", "print")
-    rooted = distinct.join(reach, "print", "left").withColumn("root", F.coalesce("root", "print"))
-    names = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(names, "root").select("print", "component_id")
-    return own.join(named, "print").select(key, "print", "component_id")
+    rooted = written(distinct.join(reach, "print", "left").withColumn("root", F.coalesce("root", "print")), "rooted")
+    names = written(rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("of_root")), "names")
+    named = written(joined_by(rooted, names, "root", "of_root").select("print", "component_id", "n"), "named")
+    return joined_by(own.select(key, "print"), named, "print", "n").select(key, "print", "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,17 @@
 """The corpus pipeline: toxicity, language, near-duplicates, benchmark passages, token ids.
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read
-again as the next one's docs. Stages number the rows they get, so documents
-without an id or with a repeated one are judged one by one. All stages but the
-last return the columns of documents, whatever those are.
+again as the next one's docs. All stages but the last return the columns of
+documents, whatever those are.
+
+Defined cases, for every stage: rows without an id or with a repeated one are
+judged one by one (stages number the rows they get, in a written table). A null
+text counts as empty. Toxicity keeps empty texts (no evidence); language drops
+texts without a letter, so empty ones too; near_duplicates takes all empty texts
+for copies of each other, as it does repeated rows, and of documents that tie for
+the smallest id keeps the first row; decontamination keeps empty texts; token_ids
+gives them no ids. Texts of any length are taken whole. No rows give no rows, and
+where nothing is there to learn from, toxicity keeps every row and language none.
 """
 
 from __future__ import annotations
@@ -14,14 +22,15 @@ from pyspark.sql import functions as F
 from weftgraph.llm import op1_decontaminate, op2_toxicity, op3_language_id, op4_byte_bpe, op5_simhash
 from weftgraph.llm.common import bounded_broadcast, slot_free, written
 
-MIN_LANGUAGE_SCORE = 0.01
+MIN_LANGUAGE_SCORE, SURE_LANGUAGE_SCORE = 0.01, 0.5
 MIN_SIMILARITY = 0.8
 BROADCAST_ROWS = 1_000_000
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with numbers of rows, written: every later reader sees the same ones."""
     row = slot_free(docs.columns, "row_number")
-    return docs.withColumn(row, F.monotonically_increasing_id()), row
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,16 +38,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     learn = ~op2_toxicity.held_out(F.col("doc_id"))
     model = op2_toxicity.learn(docs.where(learn), labels.where(learn))
-    numbered, row = _numbered(docs)
-    judged = op2_toxicity.detect(numbered.select(F.col(row).alias("key"), F.struct(*docs.columns).alias("doc"), F.col("text")), model)
+    judged = op2_toxicity.detect(docs.select(F.struct(*docs.columns).alias("doc"), F.col("text")), model)
     return judged.where(F.col("predicted") == 0).select("doc.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those that resemble no learned language at all."""
+    """Drops documents without a letter, those that resemble no learned language at all, and those that say they are in one learned language but surely (score of 0.5 or more) are in another."""
     model = op3_language_id.learn(docs.where(~op3_language_id.held_out(F.col("doc_id"))))
     judged = op3_language_id.identify(docs.select(F.struct(*docs.columns).alias("doc"), F.col("text")), model)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("doc.*")
+    said = F.col("doc.lang")
+    wrong = said.isin(*model[0]) & (said != F.col("lang_pred")) & (F.col("score") >= SURE_LANGUAGE_SCORE)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE) & ~F.coalesce(wrong, F.lit(False))).select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import SparkSession
 def with_checkpoints(spark: SparkSession) -> SparkSession:
     """Makes checkpoint() usable: the folder named in spark.checkpoint.dir, a temporary one only where none is set (tests)."""
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.conf.get("spark.checkpoint.dir", None) and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weft-checkpoints-"))
     return spark
 

@@ -144,11 +144,12 @@ def cosines(texts: list[str], profiles: np.ndarray, seed: int) -> tuple[np.ndarr
     return np.bincount(of, minlength=len(texts)) > 0, bundles @ profiles.T / np.maximum(lengths, 1e-12)[:, None]
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", seed: int = SEED) -> DataFrame:
-    """docs with lang_pred and score (the cosine, 0 at least) for every row."""
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", seed: int = SEED, stated: str | None = None) -> DataFrame:
+    """docs with lang_pred and score (the cosine, 0 at least) for every row; with ``stated``, a column of languages, also the cosine with that one's prototype as stated_score (null if it was not learned)."""
     names, profiles = model
     bounded_batches(docs.sparkSession)
-    docs = without(docs, ("lang_pred", "score"), (text,))
+    made = ["lang_pred", "score", *["stated_score"] * bool(stated)]
+    docs = without(docs, made, (text,))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,9 +161,13 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
                 else:
                     letters, best, score = np.zeros(len(texts), bool), np.zeros(len(texts), int), np.zeros(len(texts))
                 said = pa.array([names[b] if ok else "und" for b, ok in zip(best, letters, strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.slice(begin, len(texts)).columns, said, pa.array(np.where(letters, score, 0.0), pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+                part = batch.slice(begin, len(texts))
+                columns = [*part.columns, said, pa.array(np.where(letters, score, 0.0), pa.float64())]
+                if stated:
+                    columns.append(pa.array([float(near[at, names.index(x)]) if x in names else None for at, x in enumerate(part.column(stated).to_pylist())], pa.float64()))
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *made])
 
-    return docs.mapInArrow(predict, f"{kinds}, lang_pred string, score double")
+    return docs.mapInArrow(predict, f"{kinds}, lang_pred string, score double{', stated_score double' if stated else ''}")
 
 
 def held_out(key: Column) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm import op1_decontaminate, op2_toxicity, op3_language_id, op4_byte_bpe, op5_simhash
 from weftgraph.llm.common import bounded_broadcast, slot_free, written
 
-MIN_LANGUAGE_SCORE, SURE_LANGUAGE_SCORE = 0.01, 0.5
+MIN_LANGUAGE_SCORE, SURE_LANGUAGE_SCORE, STATED_SHARE = 0.01, 0.5, 0.3
 MIN_SIMILARITY = 0.8
 BROADCAST_ROWS = 1_000_000
 
@@ -43,11 +43,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, those that resemble no learned language at all, and those that say they are in one learned language but surely (score of 0.5 or more) are in another."""
+    """Drops documents without a letter, those that resemble no learned language at all, and those that say they are in one learned language but surely are in another (score of 0.5 or more, and not three tenths of it for the stated one). Texts in several languages stay."""
     model = op3_language_id.learn(docs.where(~op3_language_id.held_out(F.col("doc_id"))))
-    judged = op3_language_id.identify(docs.select(F.struct(*docs.columns).alias("doc"), F.col("text")), model)
-    said = F.col("doc.lang")
-    wrong = said.isin(*model[0]) & (said != F.col("lang_pred")) & (F.col("score") >= SURE_LANGUAGE_SCORE)
+    judged = op3_language_id.identify(docs.select(F.struct(*docs.columns).alias("doc"), F.col("text"), F.col("lang").alias("said")), model, stated="said")
+    wrong = (F.col("score") >= SURE_LANGUAGE_SCORE) & (F.col("stated_score") < STATED_SHARE * F.col("score"))
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE) & ~F.coalesce(wrong, F.lit(False))).select("doc.*")
 
 

@@ -1,11 +1,15 @@
-"""Text functions as column expressions: no Python runs for any of them."""
+"""Text functions as column expressions: no Python runs for any of them but ``norm_label``."""
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Word lists and patterns that results depend on.
 CLAIM_STOPWORDS = ("the", "and", "for", "that", "this", "with", "are", "was", "from", "has", "not", "all", "but")
@@ -181,3 +185,36 @@ def normalized_url(c: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "#.*$", ""), r"([?&])utm_[a-z]+=[^&]*", "$1"), r"[?&]+$", "")
     host = F.lower(F.regexp_extract(bare, r"^([a-zA-Z]+://[^/?]+)", 1))
     return F.regexp_replace(F.concat(host, F.regexp_replace(bare, r"^[a-zA-Z]+://[^/?]+", "")), "/$", "")
+
+
+@F.pandas_udf(StringType())
+def norm_label(c: pd.Series) -> pd.Series:
+    """White space as single blanks, compatibility forms decomposed, accents dropped, lower case."""
+    return c.map(lambda s: "".join(x for x in unicodedata.normalize("NFKD", " ".join(s.split())) if unicodedata.category(x) != "Mn").lower() if s is not None else None)
+
+
+def fenced_json(c: Column) -> Column:
+    """The JSON in a text: what stands in its first fence, else from the first brace or bracket to the last."""
+    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    return F.trim(F.when(fenced != "", fenced).otherwise(F.regexp_extract(c, r"(?s)([{\[].*[}\]])", 1)))
+
+
+def every_ms(text: str) -> int:
+    """Milliseconds of an interval such as 15m, 2h or 1d."""
+    m = re.fullmatch(r"(\d+)([mhd])", text.strip().lower())
+    if not m:
+        raise ValueError(f"no interval: {text}")
+    return int(m[1]) * {"m": 60_000, "h": 3_600_000, "d": 86_400_000}[m[2]]
+
+
+def hours_since(at: Column, now: Column) -> Column:
+    return F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(at)) / 3.6e9)
+
+
+def iso_date(c: Column) -> Column:
+    """A date in any form that Spark reads, as ISO 8601 in UTC; null if it is none."""
+    return F.date_format(F.try_to_timestamp(c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def similarity_sentence(reasons: Column) -> Column:
+    return F.concat(F.lit("Shares "), F.array_join(F.transform(reasons, lambda r: F.replace(r, F.lit("shared_"), F.lit(""))), " and "), F.lit("."))

@@ -56,3 +56,38 @@ def overview(nodes: DataFrame, budget: int = 1_500, limit: int = 5_000, pinned:
     top = nodes.withColumn("rn", order).where(F.col("rn") <= budget).join(sizes, "community_id")
     first = F.col("id").isin(*(pinned or [""]))
     return top.orderBy(F.desc(first), F.desc("own"), "community_id", "rn").limit(budget).select("id")
+
+
+def task_score(tasks: DataFrame, target: str = "", goal: str = "", task_id: str | None = None) -> DataFrame:
+    """tasks (id, title, goal, target, status, decisions, follow_ups, changed_paths) that a pack takes, with score and reason."""
+    low = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+    t, g = " ".join(target.lower().split()), " ".join(goal.lower().split())
+    near = lambda c: (c != "") & (c.contains(t) | F.contains(F.lit(t), c))
+    direct = (near(low(F.col("target"))) | F.exists("changed_paths", lambda p: near(low(p)))) if t else F.lit(False)
+    said = low(F.concat_ws(" ", "goal", "title", F.array_join("decisions", " ")))
+    rules = [
+        (F.col("id").eqNullSafe(F.lit(task_id)) if task_id else F.lit(False), 126, "active memory task"), (direct & (F.col("status") == "completed"), 108, "directly related memory task"), (direct, 116, "directly related memory task"),
+        (said.contains(g) if g else F.lit(False), 96, "memory task matches goal"), (F.col("status").isin("active", "blocked") & (F.size("follow_ups") > 0), 90, "unresolved memory follow-ups"), (F.size("decisions") > 0, 82, "recent memory decisions"),
+    ]
+    score, reason = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for test, points, why in reversed(rules):
+        score, reason = F.when(test, points).otherwise(score), F.when(test, why).otherwise(reason)
+    return tasks.withColumn("score", score).withColumn("reason", reason).where("score is not null")
+
+
+def shrink_first(items: DataFrame, budget: int, used: int = 0, least: int = 80) -> DataFrame:
+    """items (id, score, title, excerpt, tokens) of which the first, if it alone is over the budget, has its excerpt cut to three characters for each token left (160 at least); it is not cut below ``least`` tokens."""
+    left = budget - used
+    first = items.orderBy(F.desc("score"), "title", "id").limit(1).select(F.col("id").alias("_first"))
+    cut = F.when(F.length("excerpt") <= max(160, left * 3), F.col("excerpt")).otherwise(F.concat(F.substring("excerpt", 1, max(160, left * 3) - 3), F.lit("...")))
+    wanted = F.col("_first").isNotNull() & (F.col("tokens") > left) & F.lit(left >= least) & (F.length("excerpt") > 0)
+    shorter = F.least(F.col("tokens"), F.ceil(F.length(cut) / 4.0).cast("long"))
+    return items.join(F.broadcast(first), items["id"] == F.col("_first"), "left").withColumns({"tokens": F.when(wanted & (shorter <= left), shorter).otherwise(F.col("tokens")), "excerpt": F.when(wanted & (shorter <= left), cut).otherwise(F.col("excerpt"))}).drop("_first")
+
+
+def render(items: DataFrame, form: str = "markdown") -> DataFrame:
+    """(id, text): included items (id, kind, title, excerpt, score) as Markdown, as llms entries or as JSON."""
+    if form == "json":
+        return items.select("id", F.to_json(F.struct("id", "kind", "title", "excerpt", "score")).alias("text"))
+    head = F.concat(F.lit("### "), "title", F.lit(" ("), "kind", F.lit(")\n\n")) if form == "markdown" else F.concat(F.lit("- "), "title", F.lit(": "))
+    return items.select("id", F.concat(head, F.coalesce("excerpt", F.lit(""))).alias("text"))

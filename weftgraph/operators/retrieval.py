@@ -165,3 +165,91 @@ def cached_embeddings(items: DataFrame, cache: DataFrame) -> tuple[DataFrame, Da
     """(hits with their vector, misses) of items(kind, item_id, content_hash)."""
     keys = ["kind", "item_id", "content_hash"]
     return items.join(cache.select(*keys, "embedding"), keys), items.join(cache.select(*keys), keys, "left_anti")
+
+
+def search_many(pages: DataFrame, questions: DataFrame, limit: int = 5, key: str = "doc_id", body: str = "text", where: Column | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, rank, key, score): the best pages for each of questions (query_id, text), by score and key.
+
+    One join of the questions' terms with the postings; a term's frequency is
+    counted where the postings are grouped by term already. Best rows are ranked
+    in each task first. An empty question finds nothing.
+    """
+    asked = questions.select("query_id", F.explode(F.array_distinct(T.tokens(F.coalesce(F.col("text"), F.lit(""))))).alias("term"))
+    postings, lengths = build_index(pages, key, body)
+    corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
+    hits = postings.join(asked.select("term").distinct(), "term", "left_semi")
+    weighed = hits.join(hits.groupBy("term").agg(F.count("*").alias("df")), "term").join(lengths, key).crossJoin(corpus)
+    part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
+    kept = weighed if where is None else weighed.join(pages.where(where).select(key), key, "left_semi")
+    scored = asked.join(kept.select("term", key, part.alias("part")), "term").groupBy("query_id", key).agg(F.sum("part").alias("score"))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key)))
+    return ranked.where(F.col("rank") <= limit).select("query_id", "rank", key, "score")
+
+
+def _nearest(least: float, limit: int):
+    def compare(q: pa.Table, v: pa.Table) -> pa.Table:
+        made: list[tuple] = []
+        if q.num_rows and v.num_rows:
+            a, b = (np.array(t.column("v").to_pylist(), np.float64) for t in (q, v))
+            inner, na, nb = np.zeros((len(a), len(b))), np.zeros(len(a)), np.zeros(len(b))
+            for d in range(a.shape[1]):  # element by element, as ``cosine`` sums
+                inner += np.multiply.outer(a[:, d], b[:, d])
+                na, nb = na + a[:, d] * a[:, d], nb + b[:, d] * b[:, d]
+            size = np.multiply.outer(np.sqrt(na), np.sqrt(nb))
+            near = np.divide(inner, size, out=np.zeros_like(inner), where=size > 0)
+            ids, keys = q.column("query_id").to_pylist(), v.column("key").to_pylist()
+            for i, row in enumerate(near):
+                at = np.flatnonzero(row >= least)
+                made += [(ids[i], keys[j], float(row[j])) for j in sorted(at.tolist(), key=lambda j: (-row[j], keys[j]))[:limit]]
+        kinds = (q.schema.field("query_id").type, v.schema.field("key").type, pa.float64())
+        return pa.table([pa.array([r[i] for r in made], t) for i, t in enumerate(kinds)], names=["query_id", "key", "score"])
+
+    return compare
+
+
+def semantic_many(vectors: DataFrame, questions: DataFrame, least: float = 0.25, limit: int = 5, key: str = "vec_id", vector: str = "embedding", block: int = 8_192) -> DataFrame:
+    """(query_id, rank, key, score): the nearest vectors of each of questions (query_id, vector), by cosine and key.
+
+    Vectors and questions are dealt in blocks by hash; each pair of blocks of one
+    length is a task's product, of which only the best of each question leave.
+    """
+    v = vectors.where(F.size(vector) > 0).select(F.col(key).alias("key"), F.col(vector).alias("v"), F.size(vector).alias("n"))
+    q = questions.where(F.size(vector) > 0).select("query_id", F.col(vector).alias("v"), F.size(vector).alias("n"))
+    rows, columns = (max(1, -(-df.count() // block)) for df in (q, v))
+    deal = lambda df, own, mine, all_: df.select(*own, "v", "n", F.pmod(F.xxhash64(own[0]), F.lit(mine)).alias("_own"), F.explode(F.sequence(F.lit(0), F.lit(all_ - 1))).alias("_other"))
+    left = deal(q, ["query_id"], rows, columns).select("query_id", "v", "n", F.col("_own").cast("int").alias("i"), F.col("_other").cast("int").alias("j"))
+    right = deal(v, ["key"], columns, rows).select("key", "v", "n", F.col("_other").cast("int").alias("i"), F.col("_own").cast("int").alias("j"))
+    kinds = f"query_id {q.schema['query_id'].dataType.simpleString()}, key {v.schema['key'].dataType.simpleString()}, score double"
+    near = left.groupBy("n", "i", "j").cogroup(right.groupBy("n", "i", "j")).applyInArrow(_nearest(least, limit), kinds)
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))).where(F.col("rank") <= limit)
+    return ranked.select("query_id", "rank", F.col("key").alias(key), "score")
+
+
+def fuse_many(lists: list[DataFrame], key: str, k: int = 60) -> DataFrame:
+    """(query_id, key, score) of ranked lists (query_id, key, rank): reciprocal ranks summed for each question."""
+    whole = lists[0].select("query_id", key, "rank")
+    for x in lists[1:]:
+        whole = whole.unionByName(x.select("query_id", key, "rank"))
+    return whole.groupBy("query_id", key).agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"))
+
+
+def excerpts(found: DataFrame, pages: DataFrame, key: str = "doc_id", body: str = "text", page_chars: int = 1_200, raw_chars: int = 800) -> DataFrame:
+    """found (query_id, rank, key) with the page's opening and that of its raw text, white space as single blanks."""
+    said = T.normalize_whitespace(F.coalesce(F.col(body), F.lit("")))
+    return found.join(pages.select(key, T.truncate(said, page_chars).alias("excerpt"), T.truncate(said, raw_chars).alias("raw_excerpt")), key)
+
+
+def answers(quoted: DataFrame, question: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(query_id, related, answer): the pages that support an answer in order, and their excerpts as one text; a question without a hit says so."""
+    parts = quoted.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col(key).alias("k"), "excerpt"))).alias("x"))  # a few pages each
+    text = F.array_join(F.transform("x", lambda r: F.concat(F.lit("- "), r["excerpt"])), "\n")
+    return question.select("query_id").join(parts, "query_id", "left").select("query_id", F.transform(F.coalesce("x", F.array().cast(parts.schema["x"].dataType)), lambda r: r["k"]).alias("related"), F.coalesce(text, F.lit("No matching page.")).alias("answer"))
+
+
+def related_outputs(targets: DataFrame, outputs: DataFrame) -> DataFrame:
+    """(target, output, rank): outputs (id, title, related_page_ids, related_node_ids, related_source_ids) that name the target page (3), share a node (2) or a source (1) with targets (id, node_ids, source_ids); the highest counts."""
+    by = lambda target, output, rank: target.join(output, "k").select("target", "output", F.lit(rank).alias("rank"))
+    one = lambda df, name, c: df.select(F.col("id").alias(name), F.explode(c).alias("k")).distinct()
+    met = by(targets.select(F.col("id").alias("target"), F.col("id").alias("k")), one(outputs, "output", "related_page_ids"), 3)
+    met = met.unionByName(by(one(targets, "target", "node_ids"), one(outputs, "output", "related_node_ids"), 2)).unionByName(by(one(targets, "target", "source_ids"), one(outputs, "output", "related_source_ids"), 1))
+    return met.groupBy("target", "output").agg(F.max("rank").alias("rank"))

@@ -16,9 +16,10 @@ def steps(edges: DataFrame) -> DataFrame:
     return out.unionByName(back)
 
 
-def reach(edges: DataFrame, start: str, depth: int, direction: str = "both") -> DataFrame:
+def reach(edges: DataFrame, start: str, depth: int, direction: str = "both", until: str | None = None) -> DataFrame:
     """(id, depth, parent): least number of steps from start, up to depth; of several parents the smallest id. One join a step, on the frontier only."""
     spark = edges.sparkSession
+    edges = edges.select([c for c in ("id", "source", "target", "relation", "confidence") if c in edges.columns]).checkpoint()  # once, not at each step
     ways = {"both": steps(edges), "out": edges.selectExpr("source as id", "target as neighbor"), "in": edges.selectExpr("target as id", "source as neighbor")}[direction].select("id", "neighbor")
     seen = spark.createDataFrame([(start, 0, None)], "id string, depth int, parent string")
     frontier = seen.select("id")
@@ -28,12 +29,14 @@ def reach(edges: DataFrame, start: str, depth: int, direction: str = "both") ->
         if found.isEmpty():
             break
         seen, frontier = seen.unionByName(found), found.select("id")
+        if until is not None and not found.where(F.col("id") == until).isEmpty():
+            break
     return seen
 
 
-def shortest_path(edges: DataFrame, start: str, end: str, limit: int = 12) -> list[str]:
-    """Ids from start to end, [] if there is no path of at most ``limit`` steps."""
-    found = reach(edges, start, limit)
+def shortest_path(edges: DataFrame, start: str, end: str, limit: int = 1_000) -> list[str]:
+    """Ids from start to end, [] if there is no path; the search ends where it finds end, or nothing new."""
+    found = reach(edges, start, limit, until=end)
     path, at = [], end
     while at is not None:
         row = found.where(F.col("id") == at).select("parent").first()

@@ -21,13 +21,13 @@ SELECT 'e:c:' || CAST(c_custkey AS STRING) AS id, 'customer:' || CAST(c_custkey
 UNION ALL SELECT 'e:s:' || CAST(s_suppkey AS STRING), 'supplier:' || CAST(s_suppkey AS STRING), 'nation:' || CAST(s_nationkey AS STRING), 'mentions', 'extracted', LEAST(1.0, GREATEST(0.0, s_acctbal / 10000.0)) FROM {supplier}
 UNION ALL SELECT 'e:n:' || CAST(n_nationkey AS STRING), 'region:' || CAST(n_regionkey AS STRING), 'nation:' || CAST(n_nationkey AS STRING), 'contains', 'extracted', 1.0 FROM {nation}
 UNION ALL SELECT 'e:p:' || CAST(l_suppkey AS STRING) || ':' || CAST(l_partkey AS STRING), 'supplier:' || CAST(l_suppkey AS STRING), 'part:' || CAST(l_partkey AS STRING), 'defines', 'inferred', 0.9
-  FROM (SELECT DISTINCT l_suppkey, l_partkey FROM {lineitem} WHERE l_linenumber = 1) d
+  FROM (SELECT DISTINCT l_suppkey, l_partkey FROM {lineitem}) d
 UNION ALL SELECT 'e:i:' || CAST(a AS STRING) || ':' || CAST(b AS STRING), 'supplier:' || CAST(a AS STRING), 'supplier:' || CAST(b AS STRING), 'imports', 'extracted', 1.0
-  FROM (SELECT DISTINCT x.l_suppkey AS a, y.l_suppkey AS b FROM {lineitem} x JOIN {lineitem} y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber = 6 AND y.l_linenumber = 7 WHERE x.l_suppkey <> y.l_suppkey) i
+  FROM (SELECT DISTINCT a, b FROM (SELECT l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS b FROM {lineitem}) x WHERE a <> b) i
 """
 TABLES = ("customer", "supplier", "nation", "region", "part", "lineitem")
 #: For the oracle: WITH nodes AS (...), edges AS (...).
-WITH = f"WITH RECURSIVE nodes AS ({NODES.format(**{t: t for t in TABLES})}), edges AS ({EDGES.format(**{t: t for t in TABLES})})"
+WITH = f"WITH RECURSIVE nodes AS MATERIALIZED ({NODES.format(**{t: t for t in TABLES})}), edges AS MATERIALIZED ({EDGES.format(**{t: t for t in TABLES})})"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,7 +19,6 @@ from weftgraph.streaming import refresh as X
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-QUESTION = "the erble with onthat as tion"
 TOKEN = "'[a-z0-9][a-z0-9-]{1,}'"
 NOW = "2024-02-01 00:00:00"
 
@@ -34,22 +33,27 @@ def query(oracle: str | None = None):
     return add
 
 
-BM25 = f"""w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), {TOKEN})) AS term FROM documents), l AS (SELECT doc_id, len(regexp_extract_all(lower(text), {TOKEN})) AS dl FROM documents), c AS (SELECT count(*) AS n, avg(dl) AS mean FROM l),
-q AS (SELECT unnest(list_distinct(regexp_extract_all('{QUESTION}', {TOKEN}))) AS term), p AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-bm AS (SELECT p.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score FROM p JOIN df USING (term) JOIN l ON l.doc_id = p.doc_id, c GROUP BY p.doc_id)"""
-VECTOR = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
-COSINE = f"list_cosine_similarity(embedding::DOUBLE[], {VECTOR})"
+MANY = f"""w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), {TOKEN})) AS term FROM documents), l AS (SELECT doc_id, len(regexp_extract_all(lower(text), {TOKEN})) AS dl FROM documents), co AS (SELECT count(*) AS n, avg(dl) AS mean FROM l), p AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM p GROUP BY term), q AS (SELECT doc_id AS query_id, term FROM p WHERE doc_id % 100 = 0), s AS (SELECT query_id, p.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score FROM q JOIN p USING (term) JOIN df USING (term) JOIN l ON l.doc_id = p.doc_id, co GROUP BY ALL)"""
+NEAREST = "WITH n AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)"
 
 
-@query(f"WITH {BM25} SELECT doc_id, round(score, 6)::DOUBLE AS score FROM bm ORDER BY round(score, 9) DESC, doc_id LIMIT 20")
+def _asked(spark, d):
+    docs = read(spark, d, "documents")
+    return docs, docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
+
+
+@query(f"WITH {MANY} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::BIGINT AS rank, doc_id, round(score, 6)::DOUBLE AS score FROM s QUALIFY rank <= 20")
 def bm25_search(spark, d):
-    return R.search(read(spark, d, "documents"), QUESTION, 20).select("doc_id", F.round("score", 6).alias("score"))
+    """Every document whose id is divisible by 100, as a question to all documents."""
+    docs, asked = _asked(spark, d)
+    return R.search_many(docs, asked, 20).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {BM25} SELECT bm.doc_id, round(score, 6)::DOUBLE AS score FROM bm JOIN documents USING (doc_id) WHERE lang = 'en' AND source = 'src1' ORDER BY round(score, 9) DESC, bm.doc_id LIMIT 5")
+@query(f"WITH {MANY} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::BIGINT AS rank, doc_id, round(score, 6)::DOUBLE AS score FROM s JOIN documents USING (doc_id) WHERE lang = 'en' AND source = 'src1' QUALIFY rank <= 5")
 def filtered_search(spark, d):
-    docs = read(spark, d, "documents")
-    return R.search(docs, QUESTION, 5, where=(F.col("lang") == "en") & (F.col("source") == "src1")).select("doc_id", F.round("score", 6).alias("score"))
+    docs, asked = _asked(spark, d)
+    return R.search_many(docs, asked, 5, where=(F.col("lang") == "en") & (F.col("source") == "src1")).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), {TOKEN})) AS term FROM documents) GROUP BY ALL")
@@ -57,29 +61,30 @@ def inverted_index(spark, d):
     return R.build_index(read(spark, d, "documents"))[0].select("doc_id", "term", "tf")
 
 
-def _vector(spark, d):
-    return read(spark, d, "embeddings").where("vec_id = 0").first()["embedding"]
+def _vectors(spark, d):
+    rows = read(spark, d, "embeddings")
+    return rows, rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-@query(f"SELECT vec_id, round({COSINE}, 6)::DOUBLE AS score FROM embeddings WHERE {COSINE} >= 0.25 ORDER BY {COSINE} DESC, vec_id LIMIT 10")
+@query(f"{NEAREST} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id)::BIGINT AS rank, vec_id, round(c, 6)::DOUBLE AS score FROM n WHERE c >= 0.25 QUALIFY rank <= 10")
 def semantic_search(spark, d):
-    return R.semantic_search(read(spark, d, "embeddings"), _vector(spark, d), limit=10).select("vec_id", F.round("score", 6).alias("score"))
+    return R.semantic_many(*_vectors(spark, d), limit=10).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT vec_id, round(100 * {COSINE}, 2)::DOUBLE AS score FROM embeddings WHERE round(100 * {COSINE}, 2) >= 18 ORDER BY 2 DESC, vec_id LIMIT 8")
+@query(f"{NEAREST} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id)::BIGINT AS rank, vec_id, round(100 * c, 2)::DOUBLE AS score FROM n WHERE c >= 0.17995 QUALIFY rank <= 8")
 def semantic_graph_matches(spark, d):
-    return R.graph_matches(read(spark, d, "embeddings"), _vector(spark, d))
+    return R.semantic_many(*_vectors(spark, d), least=0.17995, limit=8).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round(100 * F.col("score"), 2).alias("score"))
 
 
-@query(f"""WITH {BM25}, a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm ORDER BY rank LIMIT 15), b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY {COSINE} DESC, vec_id) AS rank FROM embeddings WHERE {COSINE} >= 0.25 ORDER BY rank LIMIT 15)
-SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9)::DOUBLE AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id""")
+@query(f"""{NEAREST}, {MANY}, a AS (SELECT query_id, doc_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s QUALIFY rank <= 15), b AS (SELECT query_id, vec_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rank FROM n WHERE c >= 0.25 QUALIFY rank <= 15)
+SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9)::DOUBLE AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL""")
 def hybrid_search(spark, d):
-    words = R.ranked(R.search(read(spark, d, "documents"), QUESTION, 15), F.desc(F.round("score", 9)), "doc_id").select(F.col("doc_id").alias("id"), "rank")
-    near = R.ranked(R.semantic_search(read(spark, d, "embeddings"), _vector(spark, d), limit=15), F.desc("score"), "vec_id").select(F.col("vec_id").alias("id"), "rank")
-    return R.fuse([words, near], "id").withColumn("score", F.round("score", 9))
+    words = R.search_many(*_asked(spark, d), 15).withColumnRenamed("doc_id", "id")
+    near = R.semantic_many(*_vectors(spark, d), limit=15).withColumnRenamed("vec_id", "id")
+    return R.fuse_many([words, near], "id").withColumn("score", F.round("score", 9))
 
 
-@query("""WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE (SELECT count(*) FROM embeddings) <= 2500)
+@query("""WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
 SELECT a, b, round(c, 3)::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS rn FROM p WHERE c >= 0.82) WHERE rn <= 3""")
 def embedding_edges(spark, d):
     return R.embedding_edges(read(spark, d, "embeddings"))
@@ -101,14 +106,14 @@ def decayed_pages(spark, d):
     return aged.select("id", F.round("decay_score", 6).alias("decay_score"), "freshness", "newly_stale")
 
 
-@query("SELECT CASE WHEN o_orderstatus = 'P' OR nxt IS NOT NULL THEN 'stale' ELSE 'fresh' END AS freshness, count(*)::BIGINT AS n, count(*) FILTER (WHERE nxt IS NOT NULL)::BIGINT AS superseded FROM (SELECT *, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nxt FROM orders) GROUP BY 1")
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' OR nxt IS NOT NULL THEN 'stale' ELSE 'fresh' END AS freshness, nxt::VARCHAR AS superseded_by, CASE WHEN nxt IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS decay_score FROM (SELECT *, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nxt FROM orders)")
 def superseded_pages(spark, d):
     from pyspark.sql.window import Window
 
     orders = read(spark, d, "orders")
     pairs = orders.select(F.col("o_orderkey").alias("old"), F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).cast("string").alias("new")).where("new is not null")
     pages = _pages(spark, d).withColumn("decay_score", F.lit(1.0)).withColumn("freshness", F.when(F.col("superseded_by").isNotNull(), "stale").otherwise("fresh")).withColumn("superseded_by", F.lit(None).cast("string"))
-    return L.supersede(pages, pairs).groupBy("freshness").agg(F.count("*").alias("n"), F.count("superseded_by").alias("superseded"))
+    return L.supersede(pages, pairs).select("id", "freshness", "superseded_by", "decay_score")
 
 
 @query("""SELECT 'part:' || l_partkey::VARCHAR AS node_id, count(DISTINCT o_orderkey)::BIGINT AS episodes, round(least(1.0, 0.5 + 0.1 * count(DISTINCT o_orderkey)), 6)::DOUBLE AS confidence FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderdate >= TIMESTAMP '1998-08-01 00:00:00' - INTERVAL 90 DAY GROUP BY l_partkey HAVING count(DISTINCT o_orderkey) >= 3""")
@@ -161,12 +166,12 @@ def stale_pages(spark, d):
     return X.stale_pages(pages, read(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("source_id"))).select("id", "freshness")
 
 
-@query("SELECT CASE WHEN l.quality IS NULL THEN 'none' ELSE 'kept' END AS kind, count(*)::BIGINT AS n FROM documents d LEFT JOIN (SELECT DISTINCT doc_id, 1 AS quality FROM labels) l USING (doc_id) GROUP BY 1")
+@query("SELECT CASE WHEN l.quality IS NULL THEN 'miss' ELSE 'hit' END AS found, d.doc_id AS item_id FROM documents d LEFT JOIN (SELECT DISTINCT doc_id, 1 AS quality FROM labels) l USING (doc_id)")
 def embedding_cache(spark, d):
     items = read(spark, d, "documents").select(F.lit("page").alias("kind"), F.col("doc_id").alias("item_id"), F.sha2(F.col("doc_id").cast("string"), 256).alias("content_hash"))
     cache = read(spark, d, "labels").select("doc_id").distinct().select(F.lit("page").alias("kind"), F.col("doc_id").alias("item_id"), F.sha2(F.col("doc_id").cast("string"), 256).alias("content_hash"), F.array(F.lit(1.0)).alias("embedding"))
     hit, miss = R.cached_embeddings(items, cache)
-    return hit.select(F.lit("kept").alias("kind")).unionByName(miss.select(F.lit("none").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
+    return hit.select(F.lit("hit").alias("found"), "item_id").unionByName(miss.select(F.lit("miss").alias("found"), "item_id"))
 
 
 @query("""WITH RECURSIVE i AS (SELECT doc_id, source, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, 100 - least(doc_id % 120, 99) AS score FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id::VARCHAR, doc_id) AS k FROM i),
@@ -178,10 +183,10 @@ def context_packs(spark, d):
     return packed.groupBy("source").agg(F.count_if("included").alias("taken"), F.coalesce(F.sum(F.when(F.col("included"), F.col("id"))), F.lit(0)).alias("ids"))
 
 
-@query("WITH s AS (SELECT doc_id, text, coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) SELECT doc_id AS id, length(substr(text, 1, (100000 - before)::BIGINT))::BIGINT AS n FROM s WHERE before < 100000")
+@query("WITH s AS (SELECT doc_id, text, coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) SELECT doc_id AS id, length(substr(text, 1, (5000000 - before)::BIGINT))::BIGINT AS n, sha256(substr(text, 1, (5000000 - before)::BIGINT)) AS content FROM s WHERE before < 5000000")
 def full_text_export(spark, d):
     pages = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.format_string("%012d", "doc_id").alias("path"), "text")
-    return P.full_text(pages, 100_000).select("id", F.length("text").cast("long").alias("n"))
+    return P.full_text(pages, 5_000_000).select("id", F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("content"))
 
 
 @query("SELECT DISTINCT page_id, href FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*?href=\"([^\"]*)\"', 1)) AS href FROM pages)")

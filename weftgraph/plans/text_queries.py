@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text as T
+from weftgraph.functions.scoring import large_graph_defaults
 from weftgraph.operators import analysis as A
 from weftgraph.plans.model import read, strings
 
@@ -91,14 +92,14 @@ def mention_edges(spark, d):
     return A.mention_edges(A.top_terms(docs), said).withColumn("confidence", F.round("confidence", 6))
 
 
-POLAR = f"(SELECT t.term AS concept, c.doc_id AS source, c.nth, {POLARITY} AS polarity, 0.5 + 0.1 * c.nth AS confidence FROM {TERMS} t JOIN {CLAIMS} c ON c.doc_id = t.doc_id WHERE t.rank <= 2 AND contains(lower(c.claim), t.term))"
+POLAR = f"(SELECT t.term AS concept, c.doc_id AS source, c.nth, {POLARITY} AS polarity, 0.5 + 0.1 * c.nth AS confidence FROM {TERMS} t JOIN {CLAIMS} c ON c.doc_id = t.doc_id WHERE contains(lower(c.claim), t.term))"
 
 
 @query(f"""WITH polar AS {POLAR}, pairs AS (SELECT p.concept, least(p.source, n.source) AS a, greatest(p.source, n.source) AS b, p.nth AS pa, n.nth AS na, least(p.confidence, n.confidence) AS confidence FROM polar p JOIN polar n ON p.concept = n.concept AND p.source <> n.source WHERE p.polarity = 'positive' AND n.polarity = 'negative')
 SELECT concept, a, b, round(confidence, 6)::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY concept, pa, na) AS rn FROM pairs) WHERE rn = 1""")
 def conflict_edges(spark, d):
     docs = read(spark, d, "documents")
-    polar = A.top_terms(docs, 2).select("doc_id", "term").join(A.claims(docs), "doc_id").where(F.contains(F.lower("claim"), F.col("term"))).select(F.col("term").alias("concept"), F.col("doc_id").alias("source"), "at", "polarity", (0.5 + 0.1 * F.col("at")).alias("confidence"))
+    polar = A.top_terms(docs).select("doc_id", "term").join(A.claims(docs), "doc_id").where(F.contains(F.lower("claim"), F.col("term"))).select(F.col("term").alias("concept"), F.col("doc_id").alias("source"), "at", "polarity", (0.5 + 0.1 * F.col("at")).alias("confidence"))
     return A.conflicts(polar).withColumn("confidence", F.round("confidence", 6))
 
 
@@ -110,22 +111,23 @@ def contradictions(spark, d):
     return A.contradictions(said).withColumn("similarity", F.round("similarity", 6))
 
 
-FEATURES = f"(SELECT doc_id AS id, lang AS type, 'shared_concept' AS reason, term AS value FROM {TERMS} JOIN documents USING (doc_id) WHERE rank <= 3 UNION SELECT doc_id, lang, 'shared_source_type', source FROM documents)"
+FEATURES = f"(SELECT doc_id AS id, lang AS type, 'shared_concept' AS reason, term AS value FROM {TERMS} JOIN documents USING (doc_id) UNION SELECT doc_id, lang, 'shared_source_type', source FROM documents)"
 
 
 @query(f"""WITH f AS {FEATURES}, total AS (SELECT count(DISTINCT id) AS n FROM f), idf AS (SELECT reason, value, ln((greatest(n, 1) + 1) / (count(*) + 1)) + 1 AS idf FROM f, total GROUP BY reason, value, n),
 hit AS (SELECT a.id AS a, b.id AS b, a.reason, idf.idf, row_number() OVER (PARTITION BY a.id, b.id, a.reason ORDER BY a.value) AS k FROM f a JOIN f b ON a.type = b.type AND a.reason = b.reason AND a.value = b.value AND a.id < b.id JOIN idf ON idf.reason = a.reason AND idf.value = a.value WHERE idf.idf >= 0.5),
 part AS (SELECT a, b, reason, sum(CASE WHEN k = 1 THEN least(2 * w, w * idf) ELSE least(0.12, 0.04 * idf) END) AS part FROM (SELECT *, CASE reason WHEN 'shared_concept' THEN 0.46 ELSE 0.1 END AS w FROM hit) GROUP BY a, b, reason),
 pair AS (SELECT a, b, least(0.96, sum(part) + CASE WHEN count(*) >= 3 THEN 0.08 WHEN count(*) = 2 THEN 0.04 ELSE 0 END) AS c FROM part GROUP BY a, b)
-SELECT a, b, round(c, 6)::DOUBLE AS confidence FROM pair WHERE c >= 0.5 ORDER BY round(c, 9) DESC, a, b LIMIT 5000""")
+SELECT a, b, round(c, 6)::DOUBLE AS confidence FROM pair WHERE c >= 0.5 QUALIFY row_number() OVER (ORDER BY round(c, 9) DESC, a, b) <= (SELECT least(5 * count(*), 20000) FROM documents)""")
 def similarity_edges(spark, d):
     docs = read(spark, d, "documents")
-    terms = A.top_terms(docs, 3).select("doc_id", "term").join(docs.select("doc_id", "lang"), "doc_id").select(F.col("doc_id").alias("id"), F.col("lang").alias("type"), F.lit("shared_concept").alias("reason"), F.col("term").alias("value"))
+    terms = A.top_terms(docs).select("doc_id", "term").join(docs.select("doc_id", "lang"), "doc_id").select(F.col("doc_id").alias("id"), F.col("lang").alias("type"), F.lit("shared_concept").alias("reason"), F.col("term").alias("value"))
     features = terms.unionByName(docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("type"), F.lit("shared_source_type").alias("reason"), F.col("source").alias("value")))
     scopes = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("page_id"), F.array(F.col("doc_id").cast("string")).alias("source_ids"))
-    return A.similarity_edges(features, scopes, limit=5000).withColumn("confidence", F.round("confidence", 6))
+    return A.similarity_edges(features, scopes, limit=large_graph_defaults(docs.count())["similarity_edges"]).withColumn("confidence", F.round("confidence", 6))
 
 
-@query(f"""SELECT doc_id, coalesce(nullif(list_aggregate({SENTENCES}[1:3], 'string_agg', ' '), ''), {NORMAL}) AS summary, coalesce((SELECT string_agg('concept:' || {SLUG('term')}, ',' ORDER BY rank) FROM {TERMS} t WHERE t.doc_id = documents.doc_id), '') AS concepts FROM documents""")
+@query(f"""WITH said AS (SELECT doc_id, string_agg(claim, chr(10) ORDER BY nth) AS claims, string_agg({POLARITY}, ',' ORDER BY nth) AS polarities FROM {CLAIMS} GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(claims, '') AS claims, coalesce(polarities, '') AS polarities, coalesce(nullif(list_aggregate({SENTENCES}[1:3], 'string_agg', ' '), ''), {NORMAL}) AS summary, coalesce((SELECT string_agg('concept:' || {SLUG('term')}, ',' ORDER BY rank) FROM {TERMS} t WHERE t.doc_id = documents.doc_id), '') AS concepts FROM documents LEFT JOIN said USING (doc_id)""")
 def heuristic_analysis(spark, d):
-    return A.heuristic_analysis(read(spark, d, "documents")).select("doc_id", "summary", F.array_join("concepts", ",").alias("concepts"))
+    return A.heuristic_analysis(read(spark, d, "documents")).select("doc_id", "summary", F.array_join("concepts", ",").alias("concepts"), F.array_join("claims", "\n").alias("claims"), F.array_join("polarities", ",").alias("polarities"))

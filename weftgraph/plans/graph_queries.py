@@ -172,7 +172,7 @@ def community_order(spark, d):
 
 @query()
 def detected_communities(spark, d):
-    """Local moving over all nodes that are no sources, until no node moves; a test holds its invariants."""
+    """Local moving over all nodes that are no sources; a test holds its invariants."""
     from weftgraph.session import with_checkpoints
 
     with_checkpoints(spark)
@@ -232,7 +232,7 @@ def path_tree(spark, d):
 
 
 @query(f"""{WITH}, m AS (SELECT home AS id, id AS node FROM nodes WHERE home IS NOT NULL), s AS (SELECT id, count(*) AS n FROM m GROUP BY id), r AS (SELECT id, n, row_number() OVER (ORDER BY n DESC, id) - 1 AS spot FROM s), g AS (SELECT greatest(1, ceil(sqrt(count(*)))) AS side FROM s), p AS (SELECT id, node, row_number() OVER (PARTITION BY id ORDER BY node) - 1 AS i FROM m)
-SELECT node AS node_id, round(spot % side * 400 + greatest(40, 12 * sqrt(n)) * cos(2 * pi() * i / n), 3)::DOUBLE AS x, round(floor(spot / side) * 400 + greatest(40, 12 * sqrt(n)) * sin(2 * pi() * i / n), 3)::DOUBLE AS y FROM p JOIN r USING (id), g""")
+SELECT node AS node_id, round(spot % side * 400 + greatest(40, 12 * sqrt(n)) * cos(2 * pi() * i / n), 4)::DOUBLE AS x, round(floor(spot / side) * 400 + greatest(40, 12 * sqrt(n)) * sin(2 * pi() * i / n), 4)::DOUBLE AS y FROM p JOIN r USING (id), g""")
 def layout(spark, d):
     groups = _homes(graph(spark, d)).groupBy(F.col("community_id").alias("id")).agg(F.sort_array(F.collect_list("id")).alias("node_ids"))
-    return G.circular_layout(groups).select("node_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+    return G.circular_layout(groups)

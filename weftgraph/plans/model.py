@@ -23,7 +23,7 @@ UNION ALL SELECT 'e:n:' || CAST(n_nationkey AS STRING), 'region:' || CAST(n_regi
 UNION ALL SELECT 'e:p:' || CAST(l_suppkey AS STRING) || ':' || CAST(l_partkey AS STRING), 'supplier:' || CAST(l_suppkey AS STRING), 'part:' || CAST(l_partkey AS STRING), 'defines', 'inferred', 0.9
   FROM (SELECT DISTINCT l_suppkey, l_partkey FROM {lineitem}) d
 UNION ALL SELECT 'e:i:' || CAST(a AS STRING) || ':' || CAST(b AS STRING), 'supplier:' || CAST(a AS STRING), 'supplier:' || CAST(b AS STRING), 'imports', 'extracted', 1.0
-  FROM (SELECT DISTINCT a, b FROM (SELECT l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS b FROM {lineitem}) x WHERE a <> b) i
+  FROM (SELECT DISTINCT a, b FROM (SELECT l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS b FROM {lineitem}) x WHERE a <> b) i
 """
 TABLES = ("customer", "supplier", "nation", "region", "part", "lineitem")
 #: For the oracle: WITH nodes AS (...), edges AS (...).

@@ -196,7 +196,7 @@ def norm_label(c: pd.Series) -> pd.Series:
 def fenced_json(c: Column) -> Column:
     """The JSON in a text: what stands in its first fence, else from the first brace or bracket to the last."""
     fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    return F.trim(F.when(fenced != "", fenced).otherwise(F.regexp_extract(c, r"(?s)([{\[].*[}\]])", 1)))
+    return F.regexp_replace(F.when(fenced != "", fenced).otherwise(F.regexp_extract(c, r"(?s)([{\[].*[}\]])", 1)), r"^\s+|\s+$", "")
 
 
 def every_ms(text: str) -> int:

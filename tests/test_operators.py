@@ -1,10 +1,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
+import math
+import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from weftgraph.functions.scoring import SIMILARITY_WEIGHTS
 from weftgraph.operators import analysis as A
 from weftgraph.operators import graph as G
 from weftgraph.operators import lifecycle as L
@@ -125,6 +130,58 @@ def test_fit_skips_and_goes_on(spark):
     assert {r["id"]: r["included"] for r in P.fit(items, 10).collect()} == {"a": True, "b": False, "c": True}
 
 
+def test_fit_equals_plain_loop_in_groups(spark):
+    draw = random.Random(5)
+    rows = [(f"i{n:04d}", draw.choice(["hot", "hot", "cold", None]), float(draw.randrange(9)), f"t{draw.randrange(50)}", draw.choice([0, 1, 2, 3, 7, 20, 21, 40, 90, None])) for n in range(600)]
+    expected = set()
+    for group in ("hot", "cold", None):
+        used = 13
+        for row in sorted((r for r in rows if r[1] == group), key=lambda r: (-r[2], r[3], r[0])):
+            if row[4] is not None and used + row[4] <= 100:
+                used += row[4]
+                expected.add(row[0])
+    items = spark.createDataFrame(rows, "id string, kind string, score double, title string, tokens int")
+    assert {r["id"] for r in P.fit(items, 100, 13, "kind").where("included").collect()} == expected
+    assert P.fit(items, 100, 13, "kind").count() == len(rows)
+    assert P.fit(items, 5, 6).where("included").isEmpty() and P.fit(items.limit(0), 5).isEmpty()
+
+
+def test_full_text_equals_plain_cut(spark):
+    draw = random.Random(6)
+    rows = [(n, f"p{draw.randrange(90):03d}", draw.choice(["", "ab", "c" * 17, None])) for n in range(300)]
+    pages = spark.createDataFrame(rows, "id long, path string, text string").repartition(7)
+    for cap in (0, 1, 500, 10_000):
+        before, expected = 0, {}
+        for n, _, text in sorted(rows, key=lambda r: (r[1], r[0])):
+            if before < cap:
+                expected[n] = None if text is None else text[: cap - before]
+            before += len(text or "")
+        assert {r["id"]: r["text"] for r in P.full_text(pages, cap).collect()} == expected
+
+
+def test_similarity_edges_equal_all_pairs(spark):
+    draw = random.Random(7)
+    reasons = {"shared_concept": 30, "shared_source_type": 2, "shared_tag": 12}
+    rows = [(n, "t", reason, f"v{min(draw.randrange(top), draw.randrange(top))}") for n in range(60) for reason, top in reasons.items() for _ in range(4)]
+    features = spark.createDataFrame(rows, "id long, type string, reason string, value string")
+    scopes = spark.createDataFrame([(n, f"p{n}", [str(n)]) for n in range(60)], "id long, page_id string, source_ids array<string>")
+    has = {n: sorted({(r[2], r[3]) for r in rows if r[0] == n}) for n in range(60)}
+    df = Counter(f for own in has.values() for f in own)
+    expected = {}
+    for a, b in itertools.combinations(range(60), 2):
+        parts = {}
+        for reason, value in has[a]:
+            idf = math.log(61 / (df[reason, value] + 1)) + 1
+            if (reason, value) in has[b] and idf >= 0.5:
+                weight = SIMILARITY_WEIGHTS.get(reason, 0.1)
+                parts[reason] = parts[reason] + min(0.12, 0.04 * idf) if reason in parts else min(2 * weight, weight * idf)
+        score = min(0.96, sum(parts.values()) + {0: 0, 1: 0, 2: 0.04}.get(len(parts), 0.08))
+        if score >= 0.5:
+            expected[a, b] = round(score, 9)
+    assert expected and len(expected) < 1_770
+    assert {(r["a"], r["b"]): round(r["confidence"], 9) for r in A.similarity_edges(features, scopes).collect()} == expected
+
+
 def test_search_and_fusion(spark):
     pages = spark.createDataFrame([(1, "repairable retrieval index"), (2, "another page"), (3, None)], "doc_id int, text string")
     assert [r["doc_id"] for r in R.search(pages, "Repairable retrieval").collect()] == [1]

@@ -25,26 +25,42 @@ def candidates(items: DataFrame) -> DataFrame:
 def fit(items: DataFrame, budget: int, used: int = 0, group: str | None = None) -> DataFrame:
     """items(id, score, title, tokens) with ``included``: in order of score and title each is taken if it still fits; later, smaller ones may.
 
-    An ordered fold inside one expression for each group (a pack's candidates).
+    What is left only shrinks, so once an item of some number of tokens does not
+    fit, no later one of that number does: those taken are the first few of each
+    number. Only these, budget / tokens of each at most, are gathered and folded,
+    so a group's fold is bounded by the budget, not by its rows. Items without
+    tokens fit whenever anything does; items of unknown size never do.
     """
     base = items if group else items.withColumn("_g", F.lit(1))
-    g = group or "_g"
-    gathered = base.groupBy(g).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "title", "id", F.col("tokens").cast("long").alias("tokens")))).alias("x"))
+    g, left = group or "_g", budget - used
+    tokens = F.col("tokens").cast("long")
+    order = F.row_number().over(Window.partitionBy(g, tokens).orderBy(F.desc("score"), "title", "id"))
+    sized = base.where((tokens > 0) & (tokens <= left)).withColumn("_at", order).where((F.col("_at") <= max(left, 1)) & (F.col("_at") * tokens <= left))
+    gathered = sized.groupBy(g).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "title", "id", tokens.alias("tokens")))).alias("x"))
     start = F.struct(F.lit(used).cast("long").alias("used"), F.array().cast("array<string>").alias("kept"))
     folded = F.aggregate(
         "x", start, lambda a, r: F.when(a["used"] + r["tokens"] <= budget, F.struct((a["used"] + r["tokens"]).alias("used"), F.array_append(a["kept"], r["id"].cast("string")).alias("kept"))).otherwise(a)
     )
-    kept = gathered.select(F.col(g).alias("_group"), F.explode(folded["kept"]).alias("_id")).withColumn("included", F.lit(True))
+    kept = gathered.select(F.col(g).alias("_group"), F.explode(folded["kept"]).alias("_id")).withColumn("_taken", F.lit(True))
     mine = F.col(g).eqNullSafe(F.col("_group")) & (F.col("id").cast("string") == F.col("_id"))
-    out = base.join(kept, mine, "left").drop("_group", "_id").withColumn("included", F.coalesce("included", F.lit(False)))
+    free = (tokens <= 0) & F.lit(left >= 0)
+    out = base.join(kept, mine, "left").withColumn("included", F.coalesce(F.col("_taken"), free, F.lit(False))).drop("_group", "_id", "_taken")
     return out if group else out.drop("_g")
 
 
 def full_text(pages: DataFrame, cap: int) -> DataFrame:
-    """Pages in order of path until the cap: the page that crosses it is cut, later ones are left out. Lengths, not texts, meet in the window."""
-    upto = F.sum("n").over(Window.orderBy("path", "id").rowsBetween(Window.unboundedPreceding, -1))
-    sized = pages.select("id", "path", F.length("text").alias("n")).withColumn("before", F.coalesce(upto, F.lit(0))).where(F.col("before") < cap)
-    return pages.join(sized.select("id", "before"), "id").select("id", "path", F.substring(F.col("text"), F.lit(1), (F.lit(cap) - F.col("before")).cast("int")).alias("text"))
+    """Pages in order of path until the cap: the page that crosses it is cut, later ones are left out.
+
+    Lengths, not texts, are summed, in two levels: within ranges of paths, and over
+    the ranges' totals (one row a partition). The ranges are checkpointed, since a
+    second evaluation could cut them elsewhere.
+    """
+    sized = pages.select("id", "path", F.length("text").alias("n")).repartitionByRange("path", "id").withColumn("_range", F.spark_partition_id()).checkpoint()
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = sized.groupBy("_range").agg(F.sum("n").alias("n")).select("_range", earlier(Window.orderBy("_range")).alias("_from")).where(F.col("_from") < cap)
+    begun = sized.join(F.broadcast(ranges), "_range")
+    placed = begun.withColumn("before", F.col("_from") + earlier(Window.partitionBy("_range").orderBy("path", "id"))).where(F.col("before") < cap)
+    return pages.join(placed.select("id", "before"), "id").select("id", "path", F.substring(F.col("text"), F.lit(1), (F.lit(cap) - F.col("before")).cast("int")).alias("text"))
 
 
 def overview(nodes: DataFrame, budget: int = 1_500, limit: int = 5_000, pinned: list[str] | None = None) -> DataFrame:

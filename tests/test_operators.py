@@ -180,6 +180,17 @@ def test_similarity_edges_equal_all_pairs(spark):
             expected[a, b] = round(score, 9)
     assert expected and len(expected) < 1_770
     assert {(r["a"], r["b"]): round(r["confidence"], 9) for r in A.similarity_edges(features, scopes).collect()} == expected
+    best = sorted(expected, key=lambda p: (-expected[p], p))
+    assert [(r["a"], r["b"]) for r in A.similarity_edges(features, scopes, limit=20).collect()] == best[:20]
+
+
+def test_similarity_edges_stop_with_the_best(spark):
+    features = spark.range(600).selectExpr("id", "'t' as type", "explode(array(concat('u', id % 40), concat('w', id % 8), concat('v', id % 20))) as value", "'shared_concept' as reason")
+    scopes = spark.range(600).selectExpr("id", "cast(id as string) as page_id", "array(cast(id as string)) as source_ids")
+    rank = lambda rows: sorted((-round(r["confidence"], 9), r["a"], r["b"]) for r in rows)
+    every = rank(A.similarity_edges(features, scopes).collect())
+    for limit in (50, 3_000, len(every) + 1):
+        assert rank(A.similarity_edges(features, scopes, limit=limit).collect()) == every[:limit]
 
 
 def test_search_and_fusion(spark):

@@ -15,11 +15,13 @@ one node. Work inside a band's group of n sets does not make n * n pairs:
    hangs together by these ties, verified or not, is a neighbourhood.
 2. Neighbourhoods of more than a block of sets are contracted first: each set is
    compared with its pivots, which cuts the neighbourhood into verified parts.
-3. Sets go to blocks: those of a neighbourhood's largest part to blocks of their
+3. Its sets go to blocks: those of a neighbourhood's largest part to blocks of their
    own, all others sorted by part. Pairs of blocks whose sets share a band are
    cells; pairs of blocks of the largest part are none, as their sets are linked
    already. In a cell, sets that share a band, are of fitting size and are not yet
-   linked are compared exactly; a cell returns a forest of its links.
+   linked are compared exactly; a cell returns a forest of its links. What is left
+   of the square is (sets outside the largest part) times (blocks that share a
+   band with them): sets that meet in many bands and yet stay under the threshold.
 
 Components come from repeated star contraction of the links (``components``).
 
@@ -50,8 +52,8 @@ from weftgraph.llm.op5_simhash import components, shingles
 
 WIDTH, PERCENT = 4, 80
 BANDS, ROWS = 40, 5
-SETS, BLOCK_SHINGLES = 256, 1_000_000
-BROADCAST_ROWS = 1_000_000
+SETS, BLOCK_SHINGLES = 1_024, 1_000_000
+BROADCAST_ROWS = 500_000
 _SLICE = 256
 # Odd factors of the two permutations and of the bands' keys: any odd numbers will do.
 _DRAWN = np.random.default_rng(12).integers(0, 1 << 64, 4 + ROWS, np.uint64) | np.uint64(1)
@@ -143,7 +145,8 @@ def _links_of_cells(percent: int):
 def _linked(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b), a < b: links found in cells (cell, node, part, left, right)."""
     spark = cells.sparkSession
-    bounded = cells.join(sets, "node").select("cell", "node", "part", "left", "right", "bands", "shingles")
+    # Cells are narrow, sets are not: up to the bound the sets are not shuffled for this join.
+    bounded = sets.join(bounded_broadcast(written(cells, "cells"), BROADCAST_ROWS), "node").select("cell", "node", "part", "left", "right", "bands", "shingles")
     limit = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     bounded_batches(spark)
     found = written(bounded.repartition("cell").sortWithinPartitions("cell").mapInArrow(_links_of_cells(percent), "a long, b long").distinct(), "links")
@@ -151,8 +154,8 @@ def _linked(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found
 
 
-def set_links(own: DataFrame, percent: int = PERCENT, block: int = SETS) -> DataFrame:
-    """(a, b), a < b: links that span every group of similar sets; own: (node, n_shingles, bands, shingles), one row for each set that is not empty."""
+def set_links(own: DataFrame, sets: DataFrame, percent: int = PERCENT, block: int = SETS) -> DataFrame:
+    """(a, b), a < b: links that span every group of similar sets; own: (node, n_shingles, bands), one row for each set that is not empty; sets: (node, bands, shingles) of these nodes, others are ignored."""
     posted = own.select("node", F.explode("bands").alias("band"))
     groups = written(posted.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "bands")
     met = written(joined_by(posted, groups, "band", "n"), "met")  # sets that share a band with another one
@@ -162,7 +165,6 @@ def set_links(own: DataFrame, percent: int = PERCENT, block: int = SETS) -> Data
     blocks_of = F.ceil(F.greatest(F.col("n") / block, F.col("total") / BLOCK_SHINGLES)).cast("int")
     sized = written(known.groupBy("home").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total")).withColumn("blocks", blocks_of), "homes")
     homed = written(joined_by(known, sized, "home", "n"), "homed")
-    sets = own.select("node", "bands", "shingles")
 
     # Small neighbourhoods are one cell.
     whole = homed.where("blocks = 1").select(F.col("home").alias("cell"), "node", F.col("node").alias("part"), F.lit(True).alias("left"), F.lit(True).alias("right"))
@@ -170,6 +172,7 @@ def set_links(own: DataFrame, percent: int = PERCENT, block: int = SETS) -> Data
     large = homed.where("blocks > 1").select("node", "home", "blocks")
     if not large.limit(1).count():
         return found
+    sets = written(sets.join(bounded_broadcast(large.select("node"), BROADCAST_ROWS), "node", "left_semi"), "large-sets")
 
     # Large ones: each set against its pivots, in blocks of a pivot's sets.
     pivots = ties.join(bounded_broadcast(large.select("node"), BROADCAST_ROWS), "node")
@@ -194,12 +197,12 @@ def set_links(own: DataFrame, percent: int = PERCENT, block: int = SETS) -> Data
     sliced = rest.join(bounded_broadcast(fat, BROADCAST_ROWS), ["home", "block"]).withColumn("block", F.xxhash64("block", F.pmod(F.xxhash64("node", F.lit("slice")), F.col("slices"))))
     placed = written(dealt.where("main").unionByName(sliced.select(*dealt.columns)), "placed")
     # Cells: pairs of blocks that share a band whose sets are in several parts.
-    seen = met.select("node", "band").join(placed, "node")
+    seen = written(met.select("node", "band").join(bounded_broadcast(placed, BROADCAST_ROWS), "node"), "seen")
     mixed = seen.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("band")
     here = written(seen.join(bounded_broadcast(written(mixed, "mixed"), BROADCAST_ROWS), "band").select("band", "home", "block", "main").distinct(), "here")
     right = here.select("band", F.col("block").alias("other"), F.col("main").alias("other_main"))
     pairs = here.where(~F.col("main")).join(right, "band").where("other_main or block <= other").select("home", "block", "other").distinct()
-    cells = written(pairs.withColumn("cell", F.xxhash64("home", "block", "other")), "cells")
+    cells = written(pairs.withColumn("cell", F.xxhash64("home", "block", "other")), "pairs")
     lefts = cells.select("cell", "home", "block", F.lit(True).alias("left"), (F.col("block") == F.col("other")).alias("right"))
     rights = cells.where("block <> other").select("cell", "home", F.col("other").alias("block"), F.lit(False).alias("left"), F.lit(True).alias("right"))
     members = placed.select("node", "home", "part", "block").join(lefts.unionByName(rights), ["home", "block"]).select("cell", "node", "part", "left", "right")
@@ -211,10 +214,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     own = sketches(docs, key, text, width)
     full = own.where("n_shingles > 0")
     # Copies of one set are one node, named by the least of their rows.
-    distinct = written(full.groupBy("sig").agg(F.min("row").alias("node"), F.min(key).alias("low"), F.count("*").alias("n")), "distinct")
-    nodes = full.join(bounded_broadcast(distinct.select(F.col("node").alias("row")), BROADCAST_ROWS), "row", "left_semi").select(F.col("row").alias("node"), "n_shingles", "bands", "shingles")
-    reach = components(set_links(nodes, percent, block).distinct()).select("node", "root").distinct()
-    rooted = written(distinct.join(reach, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    distinct = written(full.groupBy("sig").agg(F.min(F.struct("row", "n_shingles", "bands")).alias("least"), F.min(key).alias("low"), F.count("*").alias("n")).select("sig", "low", "n", F.col("least.row").alias("node"), "least.n_shingles", "least.bands"), "distinct")
+    sets = full.select(F.col("row").alias("node"), "bands", "shingles")
+    reach = components(set_links(distinct.select("node", "n_shingles", "bands"), sets, percent, block).distinct()).select("node", "root").distinct()
+    rooted = written(distinct.select("sig", "low", "n", "node").join(reach, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     names = written(rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("of_root")), "names")
     named = written(joined_by(rooted, names, "root", "of_root").select("sig", "component_id", "n"), "named")
     linked = joined_by(full.select(key, "n_shingles", "sig"), named, "sig", "n").select(key, "n_shingles", "component_id")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.operators.graph import Graph
+from weftgraph.session import written
 
 NODES = """
 SELECT 'customer:' || CAST(c_custkey AS STRING) AS id, 'source' AS type, c_name AS label, CASE c_mktsegment WHEN 'BUILDING' THEN 'first_party' WHEN 'AUTOMOBILE' THEN 'third_party' WHEN 'MACHINERY' THEN 'resource' WHEN 'HOUSEHOLD' THEN 'generated' END AS source_class,
@@ -34,7 +37,29 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of graph tables that this process has written: by session, source folder and state of its files.
+_STORED: dict[tuple[str, str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> str:
+    """Changes with any file of the tables: names, lengths and times."""
+    said, conf = [], spark._jsc.hadoopConfiguration()
+    for t in TABLES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        said += [f"{s.getPath()} {s.getLen()} {s.getModificationTime()}" for s in path.getFileSystem(conf).listStatus(path)]
+    return hashlib.sha256("\n".join(sorted(said)).encode()).hexdigest()
+
+
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph, written as tables by the first query that asks for it in a session and read by all later ones, as long as the files it comes from are the same."""
+    at = spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir)
+    if at not in _STORED:
+        made = _made(spark, sf_dir)
+        _STORED[at] = written(made.nodes, "nodes"), written(made.edges, "edges")
+    return Graph(*_STORED[at])
+
+
+def _made(spark: SparkSession, sf_dir: str) -> Graph:
     tables = {t: read(spark, sf_dir, t) for t in TABLES}
     used = lambda sql: {t: d for t, d in tables.items() if "{" + t + "}" in sql}
     nodes = spark.sql(NODES, **used(NODES)).withColumn("source_ids", F.when(F.col("home").isNull(), F.array().cast("array<string>")).otherwise(F.array("home")))

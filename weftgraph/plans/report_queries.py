@@ -18,7 +18,7 @@ from weftgraph.operators import upkeep as U
 from weftgraph.plans import graph_queries as GQ
 from weftgraph.plans import text_queries as TQ
 from weftgraph.plans.model import WITH, graph, read
-from weftgraph.plans.retrieval_queries import MANY, _asked
+from weftgraph.plans.retrieval_queries import MANY, _asked, stored_index
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -248,12 +248,6 @@ def json_ld_export(spark, d):
     return E.page_json_ld(read(spark, d, "pages").select(F.col("page_id").alias("id"), F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("title"), "url"))
 
 
-@query("SELECT 'stale' AS status, 'rebuild' AS action")
-def index_state(spark, d):
-    docs = read(spark, d, "documents")
-    return E.index_status(E.manifest(docs, "doc_id", F.col("text")), E.manifest(docs, "doc_id", F.concat("text", F.lit("."))))
-
-
 NORMAL = TQ.NORMAL
 
 
@@ -261,7 +255,7 @@ NORMAL = TQ.NORMAL
 SELECT query_id, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS related, sha256(string_agg('- ' || CASE WHEN length(t) <= 1200 THEN t ELSE substr(t, 1, 1197) || '...' END, chr(10) ORDER BY rank)) AS answer FROM r JOIN x USING (doc_id) GROUP BY query_id""")
 def question_answers(spark, d):
     docs, asked = _asked(spark, d)
-    quoted = S.excerpts(S.search_many(docs, asked), docs)
+    quoted = S.excerpts(stored_index(spark, d).search(asked), docs)
     return S.answers(quoted, asked).select("query_id", F.array_join("related", ",").alias("related"), F.sha2("answer", 256).alias("answer"))
 
 

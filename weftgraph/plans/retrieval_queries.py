@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
 from weftgraph.functions import scoring as S
@@ -11,8 +13,9 @@ from weftgraph.operators import graph as G
 from weftgraph.operators import lifecycle as L
 from weftgraph.operators import pack as P
 from weftgraph.operators import retrieval as R
+from weftgraph.operators.segments import SegmentIndex
 from weftgraph.plans.model import read
-from weftgraph.session import with_checkpoints
+from weftgraph.session import shared_dir, with_checkpoints
 from weftgraph.sources import files as SF
 from weftgraph.sources import messages as SM
 from weftgraph.sources import structured as SS
@@ -44,17 +47,23 @@ def _asked(spark, d):
     return docs, docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
 
 
+def stored_index(spark, d):
+    """The session's stored index of documents: the first search writes it, later ones compare hashes and read it."""
+    index = SegmentIndex(spark, f"{shared_dir(spark)}/documents-{spark.sparkContext.applicationId}-{zlib.crc32(d.encode()):08x}")
+    index.refresh(read(spark, d, "documents"))
+    return index
+
+
 @query(f"WITH {MANY} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::BIGINT AS rank, doc_id, round(score, 6)::DOUBLE AS score FROM s QUALIFY rank <= 20")
 def bm25_search(spark, d):
     """Every document whose id is divisible by 100, as a question to all documents."""
-    docs, asked = _asked(spark, d)
-    return R.search_many(docs, asked, 20).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
+    return stored_index(spark, d).search(_asked(spark, d)[1], 20).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {MANY} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::BIGINT AS rank, doc_id, round(score, 6)::DOUBLE AS score FROM s JOIN documents USING (doc_id) WHERE lang = 'en' AND source = 'src1' QUALIFY rank <= 5")
 def filtered_search(spark, d):
     docs, asked = _asked(spark, d)
-    return R.search_many(docs, asked, 5, where=(F.col("lang") == "en") & (F.col("source") == "src1")).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
+    return stored_index(spark, d).search(asked, 5, among=docs.where((F.col("lang") == "en") & (F.col("source") == "src1"))).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), {TOKEN})) AS term FROM documents) GROUP BY ALL")
@@ -80,7 +89,7 @@ def semantic_graph_matches(spark, d):
 @query(f"""{NEAREST}, {MANY}, a AS (SELECT query_id, doc_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s QUALIFY rank <= 15), b AS (SELECT query_id, vec_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rank FROM n WHERE c >= 0.25 QUALIFY rank <= 15)
 SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9)::DOUBLE AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL""")
 def hybrid_search(spark, d):
-    words = R.search_many(*_asked(spark, d), 15).withColumnRenamed("doc_id", "id")
+    words = stored_index(spark, d).search(_asked(spark, d)[1], 15).withColumnRenamed("doc_id", "id")
     near = R.semantic_many(*_vectors(spark, d), limit=15).withColumnRenamed("vec_id", "id")
     return R.fuse_many([words, near], "id").withColumn("score", F.round("score", 9))
 

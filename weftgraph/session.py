@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def with_checkpoints(spark: SparkSession) -> SparkSession:
@@ -17,6 +19,23 @@ def with_checkpoints(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or that of the session's checkpoints."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or with_checkpoints(spark).sparkContext.getCheckpointDir()).rstrip("/")
+
+
+def written(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends here, and lost executors lose none of it."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded_broadcast(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A broadcast hint where df has at most this many rows, else df as it is for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", str(cpus)).config("spark.driver.memory", memory).config("spark.ui.enabled", "false")

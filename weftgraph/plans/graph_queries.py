@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from weftgraph.operators import graph as G
+from weftgraph.operators import louvain as LV
 from weftgraph.operators import metrics as M
 from weftgraph.operators import traverse as Q
 from weftgraph.plans.model import WITH, graph, read
@@ -64,7 +67,8 @@ def edge_diff(spark, d):
     return G.diff(*_two(graph(spark, d)))
 
 
-@query(f"{WITH}, a AS (SELECT id, 1 AS was, round(confidence, 1) AS v FROM edges WHERE confidence >= 0.2), b AS (SELECT id, 1 AS now, round(confidence * confidence, 1) AS v FROM edges WHERE confidence < 0.9 OR relation <> 'mentions') SELECT coalesce(a.id, b.id) AS id, CASE WHEN was IS NULL THEN 'created' WHEN now IS NULL THEN 'removed' WHEN a.v = b.v THEN 'unchanged' ELSE 'updated' END AS change FROM a FULL JOIN b ON a.id = b.id")
+@query(f"""{WITH}, a AS MATERIALIZED (SELECT id, round(confidence, 1) AS v FROM edges WHERE confidence >= 0.2), b AS MATERIALIZED (SELECT id, round(confidence * confidence, 1) AS v FROM edges WHERE confidence < 0.9 OR relation <> 'mentions'),
+u AS (SELECT id, count(*) FILTER (WHERE old) AS was, count(*) FILTER (WHERE NOT old) AS now, min(v) = max(v) AS same FROM (SELECT id, v, TRUE AS old FROM a UNION ALL SELECT id, v, FALSE FROM b) GROUP BY id) SELECT id, CASE WHEN was = 0 THEN 'created' WHEN now = 0 THEN 'removed' WHEN same THEN 'unchanged' ELSE 'updated' END AS change FROM u""")
 def edge_changes(spark, d):
     a, b = _two(graph(spark, d))
     return G.changes(a.withColumn("v", F.round("confidence", 1)), b.withColumn("v", F.round(F.col("confidence") * F.col("confidence"), 1)), "id", "v")
@@ -170,15 +174,36 @@ def community_order(spark, d):
     return M.community_nodes(_homes(graph(spark, d))).select("community_id", "size", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
-def detected_communities(spark, d):
-    """Local moving over all nodes that are no sources; a test holds its invariants."""
-    from weftgraph.session import with_checkpoints
-
-    with_checkpoints(spark)
+def _detected(spark, d):
     g = graph(spark, d)
-    return M.communities(g.nodes, M.adjacency(g.nodes, g.edges))
+    return g, LV.communities(g.nodes, M.adjacency(g.nodes, g.edges))
+
 
+@query()
+def detected_communities(spark, d):
+    """Louvain with contraction and splitting; sources take their first neighbour's community. ``community_checks`` and tests hold its invariants."""
+    g, found = _detected(spark, d)
+    return LV.with_sources(g.nodes, g.edges, found.members).withColumnRenamed("community", "community_id")
+
+
+@query(f"""{WITH}, own AS (SELECT id FROM nodes WHERE type <> 'source'), near AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges)
+SELECT 'members' AS check_name, count(*)::BIGINT AS n FROM own UNION ALL SELECT 'placed_sources', count(DISTINCT a) FROM near JOIN nodes n ON n.id = a AND n.type = 'source' JOIN own ON own.id = b
+UNION ALL SELECT * FROM (VALUES ('repeated_members', 0), ('falls_of_modularity', 0), ('communities_without_their_name', 0), ('modularity_under_singletons', 0))""")
+def community_checks(spark, d):
+    """Invariants of the detected communities: each node once, modularity never falls, a community is named by its least member, sources are placed where a neighbour is."""
+    g, found = _detected(spark, d)
+    members = found.members
+    counted = lambda name, df: df.select(F.lit(name).alias("check_name"), F.col("n").cast("long").alias("n"))
+    falls = sum(b < a - 1e-9 for a, b in zip(found.modularity, found.modularity[1:], strict=False))
+    least = members.groupBy("community").agg(F.min("id").alias("low")).agg(F.count_if(F.col("low") != F.col("community")).alias("n"))
+    links = LV.simple_links(g.nodes, M.adjacency(g.nodes, g.edges)).select(F.col("a").alias("id"), F.col("b").alias("neighbor"))
+    both = M.modularity(links, members.select("id", F.col("community").alias("community_id"))).crossJoin(M.modularity(links, members.select("id", F.col("id").alias("community_id"))).withColumnRenamed("modularity", "alone"))  # one row each
+    rows = [
+        ("members", members.agg(F.count("*").alias("n"))), ("placed_sources", LV.with_sources(g.nodes, g.edges, members).join(g.nodes.where("type = 'source'").select("id"), "id", "left_semi").agg(F.count("*").alias("n"))),
+        ("repeated_members", members.groupBy("id").agg(F.count("*").alias("k")).agg(F.count_if(F.col("k") > 1).alias("n"))), ("falls_of_modularity", spark.range(1).select(F.lit(falls).alias("n"))),
+        ("communities_without_their_name", least), ("modularity_under_singletons", both.select((F.col("modularity") < F.col("alone")).cast("int").alias("n"))),
+    ]
+    return functools.reduce(lambda x, y: x.unionByName(y), [counted(*r) for r in rows])
 
 
 @query(f"{WITH}, walk AS (SELECT 'supplier:1' AS id, 0 AS depth UNION SELECT e.source, w.depth + 1 FROM walk w JOIN edges e ON e.target = w.id AND e.relation = 'imports' WHERE w.depth < 2) SELECT id, min(depth)::BIGINT AS depth FROM walk GROUP BY id HAVING min(depth) > 0")

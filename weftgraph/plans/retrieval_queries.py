@@ -95,9 +95,10 @@ def hybrid_search(spark, d):
 
 
 @query("""WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
-SELECT a, b, round(c, 3)::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS rn FROM p WHERE c >= 0.82) WHERE rn <= 3""")
+SELECT a, b, round(c, 3)::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS rn FROM p WHERE c >= 0.35) WHERE rn <= 3""")
 def embedding_edges(spark, d):
-    return R.embedding_edges(read(spark, d, "embeddings"))
+    """With a threshold under the default of 0.82, which no two of these vectors reach."""
+    return R.embedding_edges(read(spark, d, "embeddings"), least=0.35)
 
 
 CLASS = "CASE o_orderpriority WHEN '1-URGENT' THEN 'first_party' WHEN '2-HIGH' THEN 'third_party' WHEN '3-MEDIUM' THEN 'resource' WHEN '5-LOW' THEN 'generated' END"

@@ -33,14 +33,16 @@ CLAIMS = f"(SELECT doc_id, unnest(s[1:4]) AS claim, unnest(range(1, least(len(s)
 TERMS = f"""(SELECT doc_id, term, n, rank FROM (SELECT doc_id, term, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, term) AS rank
   FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), {TOKEN})) AS term FROM documents) WHERE length(term) >= 4 AND term NOT IN ({strings(T.CLOSED_CLASS)}) GROUP BY doc_id, term) WHERE rank <= 6)"""
 SLUG = lambda c: f"coalesce(nullif(substr(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), ''), 'item')"
+#: Patterns of one's own beside the built-in ones: what these tables hold.
+OWN_PATTERNS = {"email": r"[A-Za-z0-9._-]+@[a-z0-9.-]+[a-z]", "hex_token": r"token = \"[0-9a-f]{40}\"", "card": r"\b4[0-9]{15}\b", "phone": r"[+]1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"}
 PATTERN_SQL = " UNION ALL ".join(
-    "SELECT '{}' AS pattern, sum(len(regexp_extract_all(text, '{}')))::BIGINT AS n, count(*) FILTER (WHERE regexp_matches(text, '{}'))::BIGINT AS docs FROM documents".format(n, p.replace("'", "''"), p.replace("'", "''")) for n, p, _ in T.REDACTIONS
+    "SELECT '{}' AS pattern, sum(len(regexp_extract_all(text, '{}')))::BIGINT AS n, count(*) FILTER (WHERE regexp_matches(text, '{}'))::BIGINT AS docs FROM documents".format(n, p.replace("'", "''"), p.replace("'", "''")) for n, p in [*((n, p) for n, p, _ in T.REDACTIONS), *OWN_PATTERNS.items()]
 )
 
 
 @query(f"SELECT * FROM ({PATTERN_SQL}) WHERE n > 0")
 def redaction_counts(spark, d):
-    counts = T.redact(F.col("text"))[1]
+    counts = T.redact(F.col("text"), OWN_PATTERNS)[1]
     return read(spark, d, "documents").select(F.explode(counts).alias("pattern", "k")).groupBy("pattern").agg(F.sum("k").cast("long").alias("n"), F.count("*").alias("docs"))
 
 
@@ -106,10 +108,11 @@ def conflict_edges(spark, d):
 
 @query(f"""WITH c AS (SELECT doc_id * 10 + nth AS id, doc_id, {POLARITY} AS polarity, list_filter(list_distinct(regexp_extract_all(lower(claim), '[a-z][a-z0-9-]{{2,}}')), lambda t: t NOT IN ({strings(T.CLAIM_STOPWORDS)})) AS w FROM {CLAIMS}),
 s AS (SELECT a.id AS left_id, b.id AS right_id, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS t FROM c a JOIN c b ON a.id < b.id AND a.doc_id <> b.doc_id AND ((a.polarity = 'positive' AND b.polarity = 'negative') OR (a.polarity = 'negative' AND b.polarity = 'positive')))
-SELECT left_id, right_id, round(i / (t - i), 6)::DOUBLE AS similarity FROM s WHERE t > i AND i / (t - i) >= 0.3""")
+SELECT left_id, right_id, round(i / (t - i), 6)::DOUBLE AS similarity FROM s WHERE t > i AND i / (t - i) >= 0.02""")
 def contradictions(spark, d):
+    """With a threshold far below the default of 0.3: claims of these tables share few words."""
     said = A.claims(read(spark, d, "documents")).select((F.col("doc_id") * 10 + F.col("at")).alias("id"), F.col("doc_id").alias("source"), "claim", "polarity")
-    return A.contradictions(said).withColumn("similarity", F.round("similarity", 6))
+    return A.contradictions(said, 0.02).withColumn("similarity", F.round("similarity", 6))
 
 
 FEATURES = f"(SELECT doc_id AS id, lang AS type, 'shared_concept' AS reason, term AS value FROM {TERMS} JOIN documents USING (doc_id) UNION SELECT doc_id, lang, 'shared_source_type', source FROM documents)"

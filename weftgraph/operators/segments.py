@@ -7,9 +7,9 @@ Under the index's folder:
   page's slot is its place by key within the shard, a posting row holds one
   term's pages in one shard, so no list grows with the corpus.
 * ``dead/<id>`` (segment, shard, slot): tombstones of pages that changed or went.
-* ``manifests/<version>.json``: which segments and tombstones are live. Its
-  creation is the commit: a writer that stops before it leaves the old state, one
-  whose version another writer took fails with ``Conflict`` and changes nothing.
+* ``manifests/<version>.json``: which segments and tombstones are live (see
+  ``versions``): a writer that stops leaves the old state, one whose version
+  another writer took fails with ``Conflict`` and changes nothing.
 
 A refresh compares hashes of the pages with the stored ones; only new and changed
 pages are split in words. ``merge`` rewrites segments that are small, or hold
@@ -24,7 +24,6 @@ passes on the best of each question only.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -38,23 +37,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from weftgraph.functions import text as T
+from weftgraph.operators.versions import Conflict, Versions, files
 from weftgraph.session import bounded_broadcast, written
 
+__all__ = ["Conflict", "Manifest", "SegmentIndex"]
+
 # Pages in a shard; shards of a segment at least; questions in a block.
 SHARD, SHARDS, QUESTIONS = 4_096, 16, 1_024
 
 
-class Conflict(RuntimeError):
-    """Another writer has committed this version."""
-
-
-def _files(spark: SparkSession, path: str):
-    """(file system, path) of Hadoop, so that any store that Spark writes can hold an index."""
-    jvm = spark._jvm
-    made = jvm.org.apache.hadoop.fs.Path(path)
-    return made.getFileSystem(spark._jsc.hadoopConfiguration()), made
-
-
 @dataclass(frozen=True)
 class Manifest:
     version: int = 0
@@ -108,35 +99,18 @@ class SegmentIndex:
     """The index in folder ``root`` of pages (key, body), one row a key (rows without one are left out); ``title``, where named, weighs like the body. A null text counts as empty."""
 
     def __init__(self, spark: SparkSession, root: str, key: str = "doc_id", body: str = "text", title: str | None = None):
-        self.spark, self.root, self.key = spark, root.rstrip("/"), key
+        self.spark, self.root, self.key, self.versions = spark, root.rstrip("/"), key, Versions(spark, root)
         self.whole = F.coalesce(F.col(body), F.lit("")) if title is None else F.concat_ws(" ", title, body)
 
     # State
 
     def manifest(self) -> Manifest:
         """The last committed state."""
-        files, folder = _files(self.spark, f"{self.root}/manifests")
-        if not files.exists(folder):
-            return Manifest()
-        names = [s.getPath().getName() for s in files.listStatus(folder)]
-        last = max((int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0].isdigit()), default=0)
-        if not last:
-            return Manifest()
-        said = json.loads(self.spark.read.text(f"{self.root}/manifests/{last:012d}.json", wholetext=True).first()[0])
-        return Manifest(last, tuple(said["segments"]), tuple(said["dead"]))
-
-    def _commit(self, before: Manifest, segments: tuple[str, ...], dead: tuple[str, ...]) -> Manifest:
-        """Makes a state the next version: written aside, then renamed to a name that must be free."""
-        after = Manifest(before.version + 1, segments, dead)
-        files, target = _files(self.spark, f"{self.root}/manifests/{after.version:012d}.json")
-        _, aside = _files(self.spark, f"{self.root}/manifests/.{uuid.uuid4().hex}")
-        stream = files.create(aside, True)
-        stream.write(bytearray(json.dumps({"segments": segments, "dead": dead}).encode()))
-        stream.close()
-        if files.exists(target) or not files.rename(aside, target):
-            files.delete(aside, False)
-            raise Conflict(f"version {after.version} is taken")
-        return after
+        version, said = self.versions.last()
+        return Manifest(version, tuple(said.get("segments", ())), tuple(said.get("dead", ())))
+
+    def _commit(self, before: Manifest, segments: tuple[str, ...], dead: tuple[str, ...]) -> None:
+        self.versions.commit(before.version, {"segments": segments, "dead": dead})
 
     def _of(self, ids: tuple[str, ...], what: str, schema: str) -> DataFrame:
         if not ids:
@@ -253,10 +227,10 @@ class SegmentIndex:
         """Deletes folders that the last state does not name; for a time when nobody reads or writes."""
         state, n = self.manifest(), 0
         for what, live in (("segments", state.segments), ("dead", state.dead)):
-            files, folder = _files(self.spark, f"{self.root}/{what}")
-            for entry in files.listStatus(folder) if files.exists(folder) else ():
+            store, folder = files(self.spark, f"{self.root}/{what}")
+            for entry in store.listStatus(folder) if store.exists(folder) else ():
                 if entry.getPath().getName() not in live:
-                    files.delete(entry.getPath(), True)
+                    store.delete(entry.getPath(), True)
                     n += 1
         return n
 

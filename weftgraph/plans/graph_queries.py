@@ -10,7 +10,9 @@ from weftgraph.operators import graph as G
 from weftgraph.operators import louvain as LV
 from weftgraph.operators import metrics as M
 from weftgraph.operators import traverse as Q
+from weftgraph.operators import walks as W
 from weftgraph.plans.model import WITH, graph, read
+from weftgraph.session import written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -249,6 +251,34 @@ def graph_query(spark, d):
     return Q.query(g.nodes, g.edges, "Supplier#000000001", 12)
 
 
+def _asked(spark, d):
+    """The graph with nations as pages, and a question for each part whose key is divisible by 100: its name and its type."""
+    g = graph(spark, d)
+    pages = read(spark, d, "nation").select(F.concat(F.lit("page:"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("title"), F.concat(F.lit("nations/"), F.lower("n_name"), F.lit(".md")).alias("path"), F.lit("concept").alias("kind"))
+    asked = read(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    return G.Graph(g.nodes.withColumn("community_id", F.col("home")), g.edges, pages=pages), asked
+
+
+SCORE = "CASE WHEN c = q THEN 100 WHEN starts_with(c, q) THEN 80 WHEN contains(c, q) THEN 60 ELSE 10 * len(list_filter(string_split(q, ' '), lambda w: list_contains(string_split(c, ' '), w))) END"
+
+
+@query(f"""{WITH}, asked AS (SELECT p_partkey AS query_id, lower(trim(regexp_replace(p_name || ' ' || p_type, '\s+', ' ', 'g'))) AS q FROM part WHERE p_partkey % 100 = 0),
+said AS (SELECT 'node' AS kind, 1 AS o, id, label, unnest([label, id]) AS c FROM nodes UNION ALL SELECT 'page', 0, 'page:' || n_nationkey::VARCHAR, n_name, unnest([n_name, 'nations/' || lower(n_name) || '.md']) FROM nation),
+m AS (SELECT query_id, kind, o, id, label, max({SCORE}) AS score FROM asked, (SELECT * REPLACE (lower(trim(regexp_replace(c, '\s+', ' ', 'g'))) AS c) FROM said) WHERE c <> '' GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label, o, id)::BIGINT AS rank, kind, id, label, score::BIGINT AS score FROM m WHERE score > 0 QUALIFY rank <= 12""")
+def walk_matches(spark, d):
+    g, asked = _asked(spark, d)
+    return W.matches(g, asked).withColumns({"rank": F.col("rank").cast("long"), "score": F.col("score").cast("long")})
+
+
+@query()
+def graph_walks(spark, d):
+    """All questions walked at once, with what each walk costs as context; tests hold it against a plain walk of each question."""
+    g, asked = _asked(spark, d)
+    went = written(W.ask(g, asked), "asked")
+    return went.join(W.context(g, went).select("query_id", "tokens"), "query_id").select("query_id", F.array_join("visited", ",").alias("visited"), F.size("edges").alias("edges"), F.array_join("pages", ",").alias("pages"), F.array_join("communities", ",").alias("communities"), "tokens")
+
+
 @query("""WITH p AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages), s AS (SELECT string_split(path, '/') AS x FROM p), n AS (SELECT DISTINCT array_to_string(x[1:i], '/') AS path, CASE WHEN i > 1 THEN array_to_string(x[1:i-1], '/') END AS parent, i::BIGINT AS depth FROM s, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i))
 SELECT n.path, n.parent, n.depth, (SELECT count(*) FROM n c WHERE c.parent = n.path)::BIGINT AS children FROM n""")
 def path_tree(spark, d):

@@ -8,6 +8,7 @@ from weftgraph.functions import text as T
 from weftgraph.functions.scoring import large_graph_defaults
 from weftgraph.operators import analysis as A
 from weftgraph.plans.model import read, strings
+from weftgraph.sources import ignores as IG
 from weftgraph.session import with_checkpoints
 
 QUERIES: dict = {}
@@ -136,3 +137,17 @@ def similarity_edges(spark, d):
 SELECT documents.doc_id, coalesce(claims, '') AS claims, coalesce(polarities, '') AS polarities, coalesce(nullif(list_aggregate({SENTENCES}[1:3], 'string_agg', ' '), ''), {NORMAL}) AS summary, coalesce((SELECT string_agg('concept:' || {SLUG('term')}, ',' ORDER BY rank) FROM {TERMS} t WHERE t.doc_id = documents.doc_id), '') AS concepts FROM documents LEFT JOIN said USING (doc_id)""")
 def heuristic_analysis(spark, d):
     return A.heuristic_analysis(read(spark, d, "documents")).select("doc_id", "summary", F.array_join("concepts", ",").alias("concepts"), F.array_join("claims", "\n").alias("claims"), F.array_join("polarities", ",").alias("polarities"))
+
+
+PAGE_PATH = r"regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/$', '')"
+
+
+@query(rf"""WITH p AS (SELECT DISTINCT {PAGE_PATH} AS path FROM pages), s AS (SELECT path, string_split(path, '/') AS parts FROM p),
+k AS (SELECT path, regexp_matches(path, '(^|/)fr/[^/]+(/|$)') AS included, regexp_matches(path, '(^|/)m\.[^/]*/') OR len(list_filter(parts, lambda x: x LIKE '%5' AND x NOT LIKE '%25')) > 0 AS git, regexp_matches(path, '^blog\.[^/]*/en/8[^/]*(/|$)') AS own FROM s)
+SELECT path, CASE WHEN included THEN NULL WHEN git THEN 'gitignore' WHEN own THEN 'ignore' END AS reason FROM k""")
+def ignored_paths(spark, d):
+    """Paths of pages under rule files: one for all, one in the folder of each blog, and exceptions."""
+    pages = read(spark, d, "pages").selectExpr(rf"{PAGE_PATH.replace(chr(92), chr(92) * 2)} AS path").distinct()
+    top = spark.createDataFrame([("", "gitignore", "# all\nm.*/\n*5\n!*25\n"), ("", "include", "**/fr/*\n")], "dir string, kind string, text string")
+    blogs = pages.select(F.split("path", "/")[0].alias("dir")).where("dir like 'blog.%'").distinct().select("dir", F.lit("ignore").alias("kind"), F.lit("en/8*").alias("text"))
+    return IG.ignore_reasons(pages, top.unionByName(blogs)).select("path", F.col("ignore_reason").alias("reason"))

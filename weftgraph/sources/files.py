@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftgraph.functions.text import source_class_of_path
+from weftgraph.sources.ignores import ignore_reasons, rule_files
 
 # Extensions by language and by kind.
 LANGUAGES = {
@@ -48,26 +49,29 @@ def kind(path: Column) -> Column:
     return F.when(lang.isNotNull() & (lang != "html"), "code").otherwise(F.coalesce(_by_extension(path, KINDS), F.lit("binary")))
 
 
-def decide(files: DataFrame, include: str | None = None, exclude: str | None = None, classes: tuple[str, ...] = ("first_party",), most: int = 5_000) -> DataFrame:
-    """files (path) with kind, language, source_class and the reason why one is skipped (null if it is taken); the first that applies."""
-    rated = files.withColumn("kind", kind(F.col("path"))).withColumn("language", language(F.col("path"))).withColumn("source_class", source_class_of_path(F.col("path")))
+def decide(files: DataFrame, include: str | None = None, exclude: str | None = None, classes: tuple[str, ...] = ("first_party",), most: int = 5_000, rule_files: DataFrame | None = None, input_dir: str = "", git: bool = True, custom: bool = True) -> DataFrame:
+    """files (path) with kind, language, source_class and the reason why one is skipped (null if it is taken); the first that applies. rule_files (dir, kind, text): ignore and include files, see ``ignores``."""
+    ruled = ignore_reasons(files, rule_files, input_dir, git, custom) if rule_files is not None else files.withColumn("ignore_reason", F.lit(None).cast("string"))
+    rated = ruled.withColumn("kind", kind(F.col("path"))).withColumn("language", language(F.col("path"))).withColumn("source_class", source_class_of_path(F.col("path")))
     parts = F.split("path", "/")
     reason = F.when(F.arrays_overlap(parts, F.array(F.lit(".git"), F.lit(".venv"))), "ignored")
     if exclude:
         reason = reason.when(F.col("path").rlike(exclude), "excluded")
+    reason = reason.when(F.col("ignore_reason").isNotNull(), F.col("ignore_reason"))
     if include:
         reason = reason.when(~F.col("path").rlike(include), "not_included")
     reason = reason.when(F.col("kind") == "binary", "unsupported").when(~F.col("source_class").isin(*classes), "source_class")
-    chosen = rated.withColumn("reason", reason)
+    chosen = rated.withColumn("reason", reason).drop("ignore_reason")
     # Places by path are needed only for the files that are taken; the ones within the limit are found with a top-k.
     taken = chosen.where("reason is null").select("path").orderBy("path").limit(most).withColumn("_in", F.lit(True))
     return chosen.join(taken, "path", "left").withColumn("reason", F.when(F.col("reason").isNull() & F.col("_in").isNull(), "max_files").otherwise(F.col("reason"))).drop("_in")
 
 
 def scan(spark: SparkSession, root: str, **options) -> DataFrame:
-    """All files under root with their content, and the decision on each."""
+    """All files under root with their content, and the decision on each, by its ignore files too. Names that begin with a dot are not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).withColumn("path", F.regexp_replace("path", "^[a-z]+:/*" + root.strip("/") + "/", ""))
-    return found.join(decide(found.select("path"), **options), "path")
+    deepest = found.agg(F.max(F.size(F.split("path", "/")))).first()[0] or 1
+    return found.join(decide(found.select("path"), rule_files=rule_files(spark, root, deepest - 1), **options), "path")
 
 
 def parts(rows: DataFrame, group: str, order: str) -> DataFrame:

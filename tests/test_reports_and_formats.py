@@ -26,11 +26,20 @@ def packed(**files: str) -> bytes:
 def test_tables_and_sheets(spark):
     files = spark.createDataFrame([("a.csv", 'name,n\n"x, y",1\nz,2\n'), ("b.tsv", "1\t2\n3\t4"), ("c.csv", None)], "path string, text string")
     rows = SF.csv_rows(files)
+    assert [r["path"] for r in rows.where("problem is not null").collect()] == ["c.csv"]
+    rows = rows.where("problem is null")
     assert sorted((r["path"], r["at"], r["cells"]) for r in rows.collect()) == [("a.csv", 0, ["name", "n"]), ("a.csv", 1, ["x, y", "1"]), ("a.csv", 2, ["z", "2"]), ("b.tsv", 0, ["1", "2"]), ("b.tsv", 1, ["3", "4"])]
     assert {r["path"]: r["names"] for r in header_names(rows, key="path").collect()} == {"a.csv": ["name", "n"], "b.tsv": ["column_1", "column_2"]}
     assert {r["path"]: r["n_rows"] for r in SF.preview(rows).collect()} == {"a.csv": 3, "b.tsv": 2}
     book = packed(**{"xl/workbook.xml": '<w xmlns="u"><sheet name="S"/></w>', "xl/sharedStrings.xml": '<s xmlns="u"><si><t>head</t></si></s>', "xl/worksheets/sheet1.xml": '<s xmlns="u"><row><c t="s"><v>0</v></c><c><v>7</v></c></row></s>'})
-    assert [(r["sheet"], r["cells"]) for r in SF.sheet_rows(spark.createDataFrame([("x", bytearray(book)), ("y", bytearray(b"no zip"))], "path string, content binary")).collect()] == [("S", ["head", "7"])]
+    sheets = SF.sheet_rows(spark.createDataFrame([("x", bytearray(book)), ("y", bytearray(b"no zip"))], "path string, content binary")).orderBy("path").collect()
+    assert [(r["sheet"], r["cells"], r["problem"]) for r in sheets[:1]] == [("S", ["head", "7"], None)] and (sheets[1]["path"], sheets[1]["sheet"]) == ("y", None) and sheets[1]["problem"].startswith("BadZipFile")
+    linked = packed(**{
+        "xl/workbook.xml": '<w xmlns="u" xmlns:r="v"><sheet name="A" r:id="r2"/><sheet name="B" r:id="r1"/></w>', "xl/_rels/workbook.xml.rels": '<q xmlns="u"><p Id="r1" Target="worksheets/sheet1.xml"/><p Id="r2" Target="/xl/worksheets/sheet2.xml"/></q>',
+        "xl/worksheets/sheet1.xml": '<s xmlns="u"><row><c r="A1"><v>1</v></c><c r="C1"><v>3</v></c><c r="AB1"><v>28</v></c></row></s>', "xl/worksheets/sheet2.xml": '<s xmlns="u"><row><c><v>x</v></c></row></s>',
+    })
+    got = SF.sheet_rows(spark.createDataFrame([("z", bytearray(linked))], "path string, content binary")).orderBy("sheet").collect()
+    assert [(r["sheet"], r["cells"]) for r in got] == [("A", ["x"]), ("B", ["1", "", "3", *[""] * 24, "28"])]
 
 
 def test_books_and_office_files(spark):
@@ -59,6 +68,8 @@ def test_semantic_hash_ignores_cosmetics(spark):
 def test_rationales_and_chunks(spark):
     files = spark.createDataFrame([("m", "# Top\n- NOTE: keep this\n## Sub\n> WHY: because\nplain TODO: no")], "path string, text string")
     assert [(r["kind"], r["text"], r["heading"]) for r in SF.markdown_rationales(files).orderBy("at").collect()] == [("note", "keep this", "Top"), ("why", "because", "Sub")]
+    long = spark.createDataFrame([("m", "> NOTE: first line\n> goes on here\n> WHY: another\nplain\n> no marker\n> NOTE: in a later line")], "path string, text string")
+    assert [(r["kind"], r["text"]) for r in SF.markdown_rationales(long).orderBy("at").collect()] == [("note", "first line goes on here"), ("why", "another"), ("note", "in a later line")]
     texts = spark.createDataFrame([(1, "a" * 50 + "\n\n" + "b" * 50 + "\n\n" + "c" * 90), (2, "short"), (3, None)], "doc_id long, text string")
     got = SF.chunks(texts, target=105, most=120).collect()
     assert [(r["doc_id"], r["part_index"], r["part_count"], len(r["chunk"])) for r in sorted(got)] == [(1, 1, 2, 102), (1, 2, 2, 90), (2, 1, 1, 5), (3, 1, 1, 0)]
@@ -81,6 +92,9 @@ def test_upserts_crawls_and_quarantine(spark):
     assert (rows["a"]["source_id"], rows["a"]["change"], rows["b"]["change"]) == ("old-1", "updated", "created") and rows["b"]["source_id"].startswith("my-b-")
     again = B.upsert_sources(B.upsert_sources(known, new), new.withColumn("text", F.replace("text", F.lit("ABCDEF"), F.lit("FEDCBA"))))
     assert {r["change"] for r in again.collect()} == {"unchanged"}
+    same = spark.createDataFrame([("a/2", "T", "same"), ("a/1", "T", "same"), ("a/3", "Other title", "same")], "origin string, title string, text string")
+    met = {r["origin"]: (r["source_id"], r["change"]) for r in B.upsert_sources(known, same).collect()}
+    assert [met[o][1] for o in ("a/1", "a/2", "a/3")] == ["created", "unchanged", "unchanged"] and len({m[0] for m in met.values()}) == 1
     links = spark.createDataFrame([("http://h/a", "http://h/b"), ("http://h/a", "http://other/c"), ("http://h/b", "http://h/d#x"), ("http://h/d", "http://h/e")], "url string, href string")
     assert {(r["url"], r["depth"]) for r in B.crawl(links, "http://h/a").collect()} == {("http://h/a", 0), ("http://h/b", 1), ("http://h/d", 2)}
     good, bad = B.quarantine(new, {"blank": F.trim("text") == "", "short": F.length("text") < 5})
@@ -90,6 +104,12 @@ def test_upserts_crawls_and_quarantine(spark):
 def test_changes_of_pages_and_exports(spark):
     pairs = spark.createDataFrame([(1, "a\nb\nc", "a\nc\nd\ne"), (2, None, "x"), (3, "x", None), (4, "x", "x")], "id long, before string, after string")
     assert {r["id"]: (r["added"], r["removed"], r["summary"]) for r in U.line_changes(pairs).collect()} == {1: (2, 1, "added 1 line(s)"), 2: (1, 0, "New page"), 3: (0, 1, "Removed page"), 4: (0, 0, "no visible changes")}
+    before = "---\ntitle: Old\ntags: [a, b]\npage_id: p1\n---\none\ntwo\n"
+    pages = spark.createDataFrame([(1, before, "---\ntitle: New\ntags: [b, c, d]\npage_id: p2\n---\none\n2\nthree\n"), (2, None, before), (3, before, before), (4, "x", "y")], "id long, before string, after string")
+    got = {r["id"]: r for r in U.page_changes(pages).collect()}
+    assert [(f["key"], f["before"], f["after"], f["protected"]) for f in got[1]["fields"]] == [("page_id", "p1", "p2", True), ("tags", "a,b", "b,c,d", False), ("title", "Old", "New", False)]
+    assert (got[1]["added"], got[1]["removed"], got[1]["summary"]) == (2, 1, "added 2 tag(s), removed 1 tag(s), updated title, added 1 line(s)")
+    assert [got[k]["summary"] for k in (2, 3, 4)] == ["New page", "no visible changes", "modified content"] and got[3]["fields"] == []
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, text string")
     assert E.changed_rows(rows.where("id = 1").unionByName(spark.createDataFrame([(2, "c")], "id long, text string")), rows, "id").collect()[0]["id"] == 2
     now = E.manifest(rows, "id", F.col("text"))

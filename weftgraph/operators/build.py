@@ -110,8 +110,12 @@ def upsert_sources(known: DataFrame, incoming: DataFrame) -> DataFrame:
     by_hash = known.groupBy("content_hash").agg(F.min("source_id").alias("_c"))
     met = once.join(by_origin, "origin", "left").join(by_hash, "content_hash", "left")
     fresh = F.concat(T.slugify(F.col("title")), F.lit("-"), F.substring("content_hash", 1, 8))
-    change = F.when(F.col("_o").isNull() & F.col("_c").isNull(), "created").when(F.col("_o").isNull() | (F.col("_h") == F.col("content_hash")), "unchanged").otherwise("updated")
-    return met.select(F.coalesce("_o", "_c", fresh).alias("source_id"), "origin", "content_hash", change.alias("change"))
+    # New origins with one text are one source: that of the first of them, the others find it there.
+    is_new = F.col("_o").isNull() & F.col("_c").isNull()
+    first = met.where(is_new).groupBy("content_hash").agg(F.min(F.struct("origin", fresh.alias("fresh"))).alias("_first"))
+    found = met.join(first, "content_hash", "left")
+    change = F.when(is_new & (F.col("_first.origin") == F.col("origin")), "created").when(F.col("_o").isNull() | (F.col("_h") == F.col("content_hash")), "unchanged").otherwise("updated")
+    return found.select(F.coalesce("_o", "_c", "_first.fresh").alias("source_id"), "origin", "content_hash", change.alias("change"))
 
 
 def quarantine(rows: DataFrame, problems: dict[str, Column]) -> tuple[DataFrame, DataFrame]:

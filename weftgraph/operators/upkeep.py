@@ -9,13 +9,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftgraph.functions.diff import common
 from weftgraph.functions.text import truncate
 from weftgraph.operators.lifecycle import lint_pages, promotion
 from weftgraph.operators.reports import placed
+from weftgraph.sources.formats import front_matter
 
 SEVERITY = {"stale_working_tier": "info", "broken_consolidation_basis": "warning", "semantic_without_episodic_basis": "warning", "contradiction": "warning", "stale_page": "warning", "orphan_page": "info", "broken_supersession": "error", "inconsistent_decay": "warning", "coverage_gap": "warning", "missing_citation": "warning", "follow_up_question": "info"}
 
 
+# Front-matter keys that only the engine writes.
+PROTECTED = ("page_id", "source_ids", "node_ids", "freshness", "source_hashes", "source_semantic_hashes", "schema_hash")
+
+
 def _found(df: DataFrame, code: str, item: str = "id") -> DataFrame:
     return df.select(F.lit(code).alias("code"), F.col(item).cast("string").alias("item"))
 
@@ -143,14 +149,10 @@ def line_changes(pairs: DataFrame, before: str = "before", after: str = "after")
             n = len((text or "").split("\n"))
             return (n, 0, "New page") if a is None else (0, n, "Removed page")
         x, y = a.split("\n"), b.split("\n")
-        row = [0] * (len(y) + 1)
-        for line in x:
-            old = 0
-            for j, other in enumerate(y, 1):
-                old, row[j] = row[j], old + 1 if line == other else max(row[j], row[j - 1])
+        same = common(x, y)
         more = len(b.strip().split("\n")) - len(a.strip().split("\n"))
         said = f"added {more} line(s)" if more > 0 else f"removed {-more} line(s)" if more < 0 else "modified content" if a != b else "no visible changes"
-        return len(y) - row[-1], len(x) - row[-1], said
+        return len(y) - same, len(x) - same, said
 
     @F.pandas_udf("added long, removed long, summary string")
     def compare(a: pd.Series, b: pd.Series) -> pd.DataFrame:
@@ -159,6 +161,31 @@ def line_changes(pairs: DataFrame, before: str = "before", after: str = "after")
     return pairs.withColumn("_c", compare(before, after)).select(*pairs.columns, "_c.added", "_c.removed", "_c.summary")
 
 
+def page_changes(pairs: DataFrame, before: str = "before", after: str = "after") -> DataFrame:
+    """pairs with the structured change of a page: added and removed lines of the body, changes of the front matter (key, before, after, protected) by key, and a summary; null before: a new page, null after: a removed one."""
+
+    def change(a: str | None, b: str | None) -> tuple:
+        (old, body), (new, text) = front_matter(a), front_matter(b)
+        x, y = body.split("\n"), text.split("\n")
+        same = common(x, y)
+        fields = [{"key": k, "before": old.get(k), "after": new.get(k), "protected": k in PROTECTED} for k in sorted(old.keys() | new.keys()) if old.get(k) != new.get(k)]
+        if a is None or b is None:
+            said = "New page" if a is None else "Removed page"
+        else:
+            tags = [set(t for t in d.get("tags", "").split(",") if t) for d in (old, new)]
+            delta = len(text.strip().split("\n")) - len(body.strip().split("\n"))
+            parts = [f"added {len(tags[1] - tags[0])} tag(s)"] * bool(tags[1] - tags[0]) + [f"removed {len(tags[0] - tags[1])} tag(s)"] * bool(tags[0] - tags[1]) + ["updated title"] * (old.get("title") != new.get("title"))
+            parts += [f"added {delta} line(s)"] if delta > 0 else [f"removed {-delta} line(s)"] if delta < 0 else ["modified content"] if body != text else []
+            said = ", ".join(parts) or "no visible changes"
+        return len(y) - same, len(x) - same, fields, said
+
+    @F.pandas_udf("added long, removed long, fields array<struct<key:string,before:string,after:string,protected:boolean>>, summary string")
+    def compare(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([change(None if pd.isna(p) else p, None if pd.isna(q) else q) for p, q in zip(a, b, strict=True)], columns=["added", "removed", "fields", "summary"])
+
+    return pairs.withColumn("_c", compare(before, after)).select(*pairs.columns, "_c.added", "_c.removed", "_c.fields", "_c.summary")
+
+
 def review_buckets(pages: DataFrame, scope: DataFrame, conflicts: DataFrame) -> DataFrame:
     """(id, bucket) of pages (id, source_ids) that touch scope (source_id): conflicting if in conflicts (id), new if all their sources are in scope, else reinforcing."""
     inside = pages.select("id", F.explode(F.array_distinct("source_ids")).alias("source_id")).join(scope.select("source_id").distinct().withColumn("_in", F.lit(1)), "source_id", "left").groupBy("id").agg(F.count("*").alias("n"), F.count("_in").alias("own"))

@@ -25,21 +25,23 @@ PARAGRAPHS = ("p", "h")
 
 
 def _rows(files: DataFrame, read: Callable, columns: str, key: str, content: str) -> DataFrame:
-    """Rows that ``read`` makes of each file's content, with the file's key first; a file that it can't read gives none."""
+    """Rows that ``read`` makes of each file's content, with the file's key first and ``problem`` null; a file that it can't read gives one row of nulls that says why."""
     kind = files.schema[key].dataType.simpleString()
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["k", *re.findall(r"(\w+) [\w<>]+(?:, |$)", columns)]
+        pairs = re.findall(r"(\w+) ([\w<>]+)(?:, |$)", columns)
+        names, types = ["k", *[n for n, _ in pairs], "problem"], ["", *[t for _, t in pairs], "string"]
         for batch in batches:
             made = []
             for k, c in zip(batch["k"], batch["c"], strict=True):
                 try:
-                    made += [(k, *row) for row in read(c)]
-                except (ValueError, KeyError, TypeError, AttributeError, zipfile.BadZipFile, ElementTree.ParseError, csv.Error):
-                    continue
-            yield pd.DataFrame(made, columns=names)
+                    made += [(k, *row, None) for row in read(c)]
+                except (ValueError, KeyError, TypeError, AttributeError, zipfile.BadZipFile, ElementTree.ParseError, csv.Error) as error:
+                    made.append((k, *[None] * (len(names) - 2), f"{type(error).__name__}: {error}"[:200]))
+            frame = pd.DataFrame(made, columns=names)
+            yield frame.astype({n: "Int64" for n, t in zip(names, types, strict=True) if t == "long"})
 
-    return files.select(F.col(key).alias("k"), F.col(content).alias("c")).mapInPandas(work, f"k {kind}, {columns}").withColumnRenamed("k", key)
+    return files.select(F.col(key).alias("k"), F.col(content).alias("c")).mapInPandas(work, f"k {kind}, {columns}, problem string").withColumnRenamed("k", key)
 
 
 def csv_rows(files: DataFrame, key: str = "path", content: str = "text") -> DataFrame:
@@ -55,20 +57,38 @@ def csv_rows(files: DataFrame, key: str = "path", content: str = "text") -> Data
 def preview(rows: DataFrame, key: str = "path", most: int = PREVIEW_ROWS) -> DataFrame:
     """(key, n_rows, table): the first rows as a table of Markdown."""
     head = F.transform(F.array_sort(F.collect_list(F.when(F.col("at") < most, F.struct("at", "cells")))), lambda r: F.concat(F.lit("| "), F.array_join(r["cells"], " | "), F.lit(" |")))
-    return rows.groupBy(key).agg(F.count("*").alias("n_rows"), F.array_join(head, "\n").alias("table"))
+    return rows.where("at is not null").groupBy(key).agg(F.count("*").alias("n_rows"), F.array_join(head, "\n").alias("table"))
+
+
+def _column(reference: str | None, after: int) -> int:
+    """The place of a cell by its reference (``C7`` is 2); without one, the place after the last."""
+    letters = re.match(r"[A-Z]+", reference or "")
+    if not letters:
+        return after
+    place = 0
+    for sign in letters[0]:
+        place = place * 26 + ord(sign) - 64
+    return place - 1
 
 
 def sheet_rows(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """(key, sheet, at, cells) of the first ten sheets of xlsx workbooks."""
+    """(key, sheet, at, cells) of the first ten sheets of xlsx workbooks; cells stand by their references, empty ones between are empty."""
 
     def read(data: bytes) -> Iterator[tuple]:
         with zipfile.ZipFile(io.BytesIO(data)) as book:
-            words = [_text(x) for x in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in book.namelist() else []
-            names = [x.get("name") for x in ElementTree.fromstring(book.read("xl/workbook.xml")).iter() if x.tag.endswith("}sheet")]
-            sheets = sorted((n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
-            for name, sheet in list(zip(names, sheets, strict=False))[:SHEETS]:
-                for at, row in enumerate(x for x in ElementTree.fromstring(book.read(sheet)).iter() if x.tag.endswith("}row")):
-                    yield name, at, [words[int(_text(c))] if c.get("t") == "s" and _text(c) else _text(c) for c in row]
+            there = set(book.namelist())
+            words = [_text(x) for x in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in there else []
+            sheets = [x for x in ElementTree.fromstring(book.read("xl/workbook.xml")).iter() if x.tag.endswith("}sheet")]
+            links = {x.get("Id"): x.get("Target", "") for x in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))} if "xl/_rels/workbook.xml.rels" in there else {}
+            for number, sheet in enumerate(sheets[:SHEETS], 1):
+                target = links.get(next((v for k, v in sheet.items() if k.endswith("}id")), None), f"worksheets/sheet{number}.xml")
+                for at, row in enumerate(x for x in ElementTree.fromstring(book.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}")).iter() if x.tag.endswith("}row")):
+                    cells: list[str] = []
+                    for c in row:
+                        place = _column(c.get("r"), len(cells))
+                        cells += [""] * (place + 1 - len(cells))
+                        cells[place] = words[int(_text(c))] if c.get("t") == "s" and _text(c) else _text(c)
+                    yield sheet.get("name"), at, cells
 
     return _rows(files, read, "sheet string, at long, cells array<string>", key, content)
 
@@ -232,8 +252,14 @@ def markdown_rationales(files: DataFrame, key: str = "path", content: str = "tex
     lines = files.select(key, F.posexplode(F.split(content, "\n")).alias("at", "line"))
     head = F.regexp_extract("line", r"^#{1,6}\s+(.*?)\s*#*$", 1)
     known = lines.withColumn("heading", F.last(F.nullif(head, F.lit("")), ignorenulls=True).over(Window.partitionBy(key).orderBy("at")))
-    marked = known.where(F.col("line").rlike(r"^\s*(?:>|[-*+]\s|\d+[.)]\s)")).withColumn("bare", F.regexp_replace("line", r"^\s*(?:>\s*)?(?:[-*+]\s+|\d+[.)]\s+)?", ""))
-    return marked.select(key, "at", F.lower(T.rationale_marker(F.col("bare"))).alias("kind"), T.rationale_text(F.col("bare")).alias("text"), "heading").where("kind is not null and text <> ''")
+    quote = F.col("line").rlike(r"^\s*>")
+    marked = known.where(F.col("line").rlike(r"^\s*(?:>|[-*+]\s|\d+[.)]\s)")).withColumn("bare", F.trim(F.regexp_replace("line", r"^\s*(?:>\s*)?(?:[-*+]\s+|\d+[.)]\s+)?", ""))).withColumn("quote", quote)
+    # Lines of a quote that follow each other are one text, up to a line with a marker of its own.
+    by = Window.partitionBy(key).orderBy("at")
+    goes_on = F.col("quote") & F.lag("quote").over(by) & (F.lag("at").over(by) == F.col("at") - 1) & T.rationale_marker(F.col("bare")).isNull()
+    block = marked.withColumn("block", F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(by))
+    whole = block.groupBy(key, "block").agg(F.min("at").alias("at"), F.first("heading").alias("heading"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "bare"))), lambda x: x["bare"]), " ").alias("bare"))
+    return whole.select(key, "at", F.lower(T.rationale_marker(F.col("bare"))).alias("kind"), T.rationale_text(F.col("bare")).alias("text"), "heading").where("kind is not null and text <> ''")
 
 
 def chunks(texts: DataFrame, key: str = "doc_id", text: str = "text", target: int = 14_000, most: int = 18_000) -> DataFrame:

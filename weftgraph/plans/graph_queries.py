@@ -262,9 +262,9 @@ def _asked(spark, d):
 SCORE = "CASE WHEN c = q THEN 100 WHEN starts_with(c, q) THEN 80 WHEN contains(c, q) THEN 60 ELSE 10 * len(list_filter(string_split(q, ' '), lambda w: list_contains(string_split(c, ' '), w))) END"
 
 
-@query(f"""{WITH}, asked AS (SELECT p_partkey AS query_id, lower(trim(regexp_replace(p_name || ' ' || p_type, '\s+', ' ', 'g'))) AS q FROM part WHERE p_partkey % 100 = 0),
+@query(f"""{WITH}, asked AS (SELECT p_partkey AS query_id, lower(trim(regexp_replace(p_name || ' ' || p_type, '\\s+', ' ', 'g'))) AS q FROM part WHERE p_partkey % 100 = 0),
 said AS (SELECT 'node' AS kind, 1 AS o, id, label, unnest([label, id]) AS c FROM nodes UNION ALL SELECT 'page', 0, 'page:' || n_nationkey::VARCHAR, n_name, unnest([n_name, 'nations/' || lower(n_name) || '.md']) FROM nation),
-m AS (SELECT query_id, kind, o, id, label, max({SCORE}) AS score FROM asked, (SELECT * REPLACE (lower(trim(regexp_replace(c, '\s+', ' ', 'g'))) AS c) FROM said) WHERE c <> '' GROUP BY ALL)
+m AS (SELECT query_id, kind, o, id, label, max({SCORE}) AS score FROM asked, (SELECT * REPLACE (lower(trim(regexp_replace(c, '\\s+', ' ', 'g'))) AS c) FROM said) WHERE c <> '' GROUP BY ALL)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label, o, id)::BIGINT AS rank, kind, id, label, score::BIGINT AS score FROM m WHERE score > 0 QUALIFY rank <= 12""")
 def walk_matches(spark, d):
     g, asked = _asked(spark, d)

@@ -114,6 +114,19 @@ def test_toxicity_learns_by_its_definition(spark):
         assert r["score"] == pytest.approx(1 / (1 + math.exp(-(model.logit[0] + model.logit[1] * op2_toxicity.passages(r["text"], model)[1]))))
 
 
+@pytest.mark.parametrize("copies", [1, 40])
+def test_toxicity_counts_a_repeated_clean_passage_once(spark, copies):
+    """A token in thirty contexts of toxic texts is learned, however often one clean passage with it is repeated."""
+    toxic = [f"a{i} zork b{i} c{i} d{i}" for i in range(30)]
+    clean = ["the zork passage repeats here " * copies + f"e{i} f{i} g{i} h{i}" for i in range(10)] + [f"i{i} j{i} k{i} l{i}" for i in range(60)]
+    docs = spark.createDataFrame(enumerate([*toxic, *clean]), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(100)], "doc_id long, toxic int")
+    model = op2_toxicity.learn(docs, labels)
+    assert model.scores["zork"] > 0 and model.logit[0] < 0
+    rows = {r["doc_id"]: r for r in op2_toxicity.detect(docs.unionByName(spark.createDataFrame([(200, "nothing known"), (201, None)], docs.schema)), model).collect()}
+    assert rows[0]["score"] >= rows[200]["score"] == rows[201]["score"] < 0.5
+
+
 def test_language_on_held_out_documents(spark):
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{BIG}/documents.parquet").collect()}
     rows = op3_language_id.op3_language_id(spark, BIG).collect()

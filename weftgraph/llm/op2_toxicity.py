@@ -15,7 +15,8 @@ score S in a text of n tokens is expected K n exp(-S) times by chance (scores
 are log-likelihood ratios, so the extreme-value scale is 1; K is fitted to the
 clean learning texts). Segments with expectation under ``SIGNIFICANT`` are the
 passages. Their S - ln(K n) are summed and a logistic curve, fitted to the
-learning texts, turns the sum into the score.
+learning texts, turns the sum into the score; its intercept is at most
+``NO_EVIDENCE``, so that no evidence is never toxic.
 
 The learning texts are those of at most ``MAX_LABELS`` labelled rows, drawn by
 the hash of doc_id, one text for each: that bounds the model and what the driver
@@ -51,6 +52,7 @@ G = 22.0
 MIN_CONTEXTS = 4
 STEMS = (7, 6, 5)
 SIGNIFICANT = 1.0
+NO_EVIDENCE = -0.01
 WORD = re.compile(r"\w+")
 SPARK_WORD = r"(?U)\W+"
 ROWS = 512
@@ -143,9 +145,9 @@ def token_scores(docs: DataFrame) -> tuple[dict[str, float], float]:
     stems = [F.when(F.length("word") > n, F.concat(F.substring("word", 1, n), F.lit("*"))) for n in STEMS]
     before = F.when(F.col("pos") > 0, F.get("words", F.col("pos") - 1)).alias("before")
     tokens = placed.select("toxic", before, F.explode(F.array("word", *stems)).alias("w")).where(F.col("w").isNotNull())
-    # What plain counts don't show as frequent in toxic texts, contexts won't; few tokens are left.
-    plain = tokens.groupBy("w").agg(bad.alias("y1"), F.count("*").alias("y"))
-    likely = plain.where((F.col("y1") >= MIN_CONTEXTS) & (F.col("y1") / n1 > 2 * (F.col("y") - F.col("y1")) / n0))
+    # A token has at most as many contexts in toxic texts as it has places there: others cannot pass.
+    plain = tokens.groupBy("w").agg(bad.alias("y1"))
+    likely = plain.where(F.col("y1") >= MIN_CONTEXTS)
     contexts = tokens.join(bounded_broadcast(likely.select("w"), BROADCAST_ROWS), "w").distinct()
     up, down = F.col("y1") + F.col("a"), F.col("y0") + F.col("a")
     part = F.lit(n1 / (n1 + n0))
@@ -188,7 +190,7 @@ def _logit(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         beta += step
         if np.abs(step).max() < 1e-8:
             break
-    return float(beta[0]), max(0.0, float(beta[1]))
+    return min(NO_EVIDENCE, float(beta[0])), max(0.0, float(beta[1]))
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_labels: int = MAX_LABELS) -> Model:

@@ -235,7 +235,7 @@ def bands(own: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """(key, print, sig, bands, shingles): the fingerprint, a hash of the shingle set, its bands, the set itself."""
+    """(key, print, sig, bands, shingles, row): the fingerprint, a hash of the shingle set, its bands, the set itself, and a number that holds once this is written."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,7 +249,7 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
 
     bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("text")).mapInArrow(make, f"k {kind}, print long, sig long, bands array<long>, shingles binary").withColumnRenamed("k", key)
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("text")).mapInArrow(make, f"k {kind}, print long, sig long, bands array<long>, shingles binary").withColumnRenamed("k", key).withColumn("row", F.monotonically_increasing_id())
 
 
 def _links_of_sets(similarity: float):
@@ -299,7 +299,9 @@ def set_links(own: DataFrame, similarity: float = LEAST, block: int = SETS) -> D
     reach = written(components(posted.join(lows, "list").where("low < sig").select(F.col("low").alias("a"), F.col("sig").alias("b")).distinct()).select(F.col("node").alias("sig"), "root").distinct(), "reach")
     counted = reach.groupBy("root").agg(F.count("*").alias("size")).withColumn("parts", F.ceil(F.col("size") / block).cast("int"))
     named = written(reach.join(counted, "root").select("sig", "root", "parts"), "reach")
-    sets = own.select("sig", "print", "shingles").join(bounded_broadcast(named, BROADCAST_ROWS), "sig").dropDuplicates(["sig", "print"])
+    # One row for each set and fingerprint, found by numbers of rows: the sets themselves are not moved for that.
+    first = written(own.groupBy("sig", "print").agg(F.min("row").alias("row")).join(named, "sig"), "rows")
+    sets = own.select("row", "shingles").join(bounded_broadcast(first, BROADCAST_ROWS), "row")
     parts = sets.withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
     # Cell (i, j), i <= j: a block goes to every cell of its row and column.
     cells = parts.select("root", "part", "print", "shingles", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(

@@ -348,7 +348,7 @@ def test_near_duplicates_stage_catches_similar_texts(spark):
     names = lambda df: {r["node"]: r["root"] for r in op5_simhash.components(df).collect()}
     whole = names(spark.createDataFrame(sorted(want), "a long, b long"))
     for block in (256, 1):
-        assert names(op5_simhash.set_links(own, block=block)) == whole
+        assert names(op5_simhash.set_links(own, docs, block=block)) == whole
 
 
 def test_numbers_in_words_and_people_are_slots(spark):

@@ -235,7 +235,7 @@ def bands(own: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """(key, print, sig, bands, shingles, row): the fingerprint, a hash of the shingle set, its bands, the set itself, and a number that holds once this is written."""
+    """(key, print, sig, bands): the fingerprint, a hash of the shingle set, its bands."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,12 +244,26 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
             sets = [shingles(t) for t in texts]
             sigs = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets), np.uint64, len(sets)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("k"), pa.array(prints), pa.array(sigs), pa.array([bands(x) for x in sets], pa.list_(pa.int64())), pa.array([x.tobytes() for x in sets], pa.binary())], ["k", "print", "sig", "bands", "shingles"]
+                [batch.column("k"), pa.array(prints), pa.array(sigs), pa.array([bands(x) for x in sets], pa.list_(pa.int64()))], ["k", "print", "sig", "bands"]
             )
 
     bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("text")).mapInArrow(make, f"k {kind}, print long, sig long, bands array<long>, shingles binary").withColumnRenamed("k", key).withColumn("row", F.monotonically_increasing_id())
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("text")).mapInArrow(make, f"k {kind}, print long, sig long, bands array<long>").withColumnRenamed("k", key)
+
+
+def _with_sets(chosen: DataFrame) -> DataFrame:
+    """chosen (sig, print, root, parts, text) with the text's set made again; rows of a repeated key whose text is another one go."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t).tobytes() for t in batch.column("text").to_pylist()]
+            signs = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in sets), np.uint64, len(sets)).view(np.int64)
+            own = pa.array(signs == batch.column("sig").to_numpy(zero_copy_only=False))
+            columns = ["sig", "print", "root", "parts"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(sets, pa.binary())], [*columns, "shingles"]).filter(own)
+
+    return chosen.mapInArrow(make, "sig long, print long, root long, parts int, shingles binary")
 
 
 def _links_of_sets(similarity: float):
@@ -290,8 +304,8 @@ def _links_of_sets(similarity: float):
     return link
 
 
-def set_links(own: DataFrame, similarity: float = LEAST, block: int = SETS) -> DataFrame:
-    """(a, b), a < b: fingerprints of texts (from ``sketches``, written) whose shingle sets are that similar; they span every group of these."""
+def set_links(own: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = LEAST, block: int = SETS) -> DataFrame:
+    """(a, b), a < b: fingerprints of texts (own: ``sketches`` of docs, written) whose shingle sets are that similar; they span every group of these. Sets are made again, for one text each, where they meet another one."""
     if similarity < LEAST:
         raise ValueError(f"the bands are made for a similarity of {LEAST} or more")
     posted = own.select("sig", "bands").dropDuplicates(["sig"]).select("sig", F.explode("bands").alias("list"))
@@ -299,9 +313,9 @@ def set_links(own: DataFrame, similarity: float = LEAST, block: int = SETS) -> D
     reach = written(components(posted.join(lows, "list").where("low < sig").select(F.col("low").alias("a"), F.col("sig").alias("b")).distinct()).select(F.col("node").alias("sig"), "root").distinct(), "reach")
     counted = reach.groupBy("root").agg(F.count("*").alias("size")).withColumn("parts", F.ceil(F.col("size") / block).cast("int"))
     named = written(reach.join(counted, "root").select("sig", "root", "parts"), "reach")
-    # One row for each set and fingerprint, found by numbers of rows: the sets themselves are not moved for that.
-    first = written(own.groupBy("sig", "print").agg(F.min("row").alias("row")).join(named, "sig"), "rows")
-    sets = own.select("row", "shingles").join(bounded_broadcast(first, BROADCAST_ROWS), "row")
+    first = written(own.groupBy("sig", "print").agg(F.min(key).alias("_k")).join(named, "sig").select("_k", "sig", "print", "root", "parts"), "chosen")
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
+    sets = _with_sets(texts.join(bounded_broadcast(first, BROADCAST_ROWS), F.col("_key").eqNullSafe(F.col("_k"))).select("sig", "print", "root", "parts", "text"))
     parts = sets.withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
     # Cell (i, j), i <= j: a block goes to every cell of its row and column.
     cells = parts.select("root", "part", "print", "shingles", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
@@ -333,7 +347,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     distinct = written(own.groupBy("print").agg(F.min(key).alias("low"), F.count("*").alias("n")), "distinct")
     found = links(distinct.select("print"), bits)
     if similarity is not None:
-        found = found.unionByName(set_links(own, similarity)).distinct()
+        found = found.unionByName(set_links(own, docs, key, text, similarity)).distinct()
     reach = components(found).withColumnRenamed("node", "print")
     rooted = written(distinct.join(reach, "print", "left").withColumn("root", F.coalesce("root", "print")), "rooted")
     names = written(rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("of_root")), "names")

@@ -67,6 +67,21 @@ def test_small_functions(spark):
     assert [one(spark, T.source_class_of_path(F.lit(p))) for p in ("a/node_modules/b", "dist/x", "i.xcassets/y", "src/z")] == ["third_party", "generated", "resource", "first_party"]
 
 
+@pytest.mark.parametrize(
+    ("claim", "polarity"), [("Elñtañta ñdoes asas.", "positive"), ("Noñíueci.", "negative"), ("cióno.", "negative"), ("ciónot.", "negative"), ("Él no va.", "negative"), ("it_is", "neutral"), ("nothing", "neutral"), ("It IS so", "positive"), ("is3 4is", "neutral")]
+)
+def test_polarity_has_ascii_boundaries(spark, claim, polarity):
+    """As in the oracle: an accented letter ends a word."""
+    import duckdb
+
+    sql = f"SELECT CASE WHEN regexp_matches(?, '(?i){T.NEGATIVE.replace(chr(39), chr(39) * 2)}') THEN 'negative' WHEN regexp_matches(?, '(?i){T.POSITIVE}') THEN 'positive' ELSE 'neutral' END"
+    assert one(spark, T.polarity(F.col("c")), c=claim) == polarity == duckdb.execute(sql, [claim, claim]).fetchone()[0]
+
+
+def test_redaction_has_ascii_boundaries(spark):
+    assert one(spark, T.redact(F.col("t"), {"card": r"\b4[0-9]{3}\b"})[1], t="ñ4123é 4123 x4123 4123_") == {"card": 2}
+
+
 def test_decay(spark):
     now = dt.datetime(2024, 6, 1)
     score = lambda days, cls: one(spark, S.decay(F.col("c"), F.lit(now).cast("timestamp"), F.col("k")), c=F.lit(None if days is None else now - dt.timedelta(days=days)).cast("timestamp"), k=F.lit(cls).cast("string"))

@@ -98,3 +98,24 @@ def test_hubs_keep_what_a_walk_can_see(spark):
     edges = spark.createDataFrame(rows, "id string, source string, target string, relation string, evidence_class string, confidence double")
     hub = W.neighbours(edges, 5).where(F.col("id") == "hub").first()["near"]
     assert len(hub) == 15 and [x["neighbor"] for x in hub] == [f"x{k:04d}" for k in range(7, 1_500, 100)]
+
+
+def test_matches_meet_as_distinct_texts(spark, tmp_path):
+    """400 questions of two texts and 400 nodes of three names: rows made grow with the distinct texts, not with questions times nodes."""
+    names = ["red door", "red lamp", "blue"]
+    nodes = [(f"n{i:03d}", names[i % 3]) for i in range(400)]
+    g = Graph(spark.createDataFrame(nodes, "id string, label string"), spark.createDataFrame([], "id string, source string, target string, relation string, confidence double"))
+    asked = spark.createDataFrame([(k, ["red  Door", "lamp n399"][k % 2]) for k in range(400)], "query_id int, text string")
+    made = []
+    kept, W.written = W.written, lambda df, label: made.append((label, kept(df, label))) or made[-1][1]
+    try:
+        got = [tuple(r) for r in W.matches(g, asked).orderBy("query_id", "rank").collect()]
+    finally:
+        W.written = kept
+    want = []
+    for k in range(400):
+        q = ["red door", "lamp n399"][k % 2]
+        found = sorted((-max(score(q, label), score(q, i)), label, i) for i, label in nodes)
+        want += [(k, n + 1, "node", i, label, -s) for n, (s, label, i) in enumerate([f for f in found if f[0] < 0][:12])]
+    assert got == want
+    assert dict(made)["met"].count() == 4

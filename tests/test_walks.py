@@ -119,3 +119,23 @@ def test_matches_meet_as_distinct_texts(spark, tmp_path):
         want += [(k, n + 1, "node", i, label, -s) for n, (s, label, i) in enumerate([f for f in found if f[0] < 0][:12])]
     assert got == want
     assert dict(made)["met"].count() == 4
+
+
+def test_questions_of_one_text_share_a_walk(spark):
+    """Ninety questions of three texts: three states are walked, and only the nodes that they wait for are looked up."""
+    g, nodes, edges, pages, hyper = made(spark, 4)
+    texts = ["red door", "Red   DOOR ", "lamp", None]
+    asked = spark.createDataFrame([(k, texts[k % 4]) for k in range(90)], "query_id int, text string")
+    sizes, looked = [], []
+    kept, found = W.written, W.neighbours
+    W.written = lambda df, label: (made_ := kept(df, label), sizes.append((label, made_.count())))[0]
+    W.neighbours = lambda edges, budget, of=None: (looked.append(of is not None and of.count()), found(edges, budget, of))[1]
+    try:
+        got = {r["query_id"]: r for r in W.ask(g, asked).collect()}
+    finally:
+        W.written, W.neighbours = kept, found
+    assert sorted(got) == list(range(90)) and max(n for label, n in sizes if label == "walks") == 3
+    assert all(0 < n <= 24 for n in looked[1:]) and len(looked) > 1
+    for k in range(90):
+        starts, *want = plain(texts[k % 4], nodes, edges, pages, hyper, 12, False)
+        assert [list(got[k]["visited"]), sorted(got[k]["edges"]), list(got[k]["pages"]), list(got[k]["communities"]), sorted(got[k]["hyperedges"])] == want

@@ -34,6 +34,17 @@ def small(spark):
     return G.Graph(nodes, edges)
 
 
+def test_reach_keeps_only_ends_of_edges(spark, monkeypatch):
+    """What is stored for the steps is source and target; a small frontier is broadcast."""
+    stored, bounded = [], []
+    kept, bound = type(spark.range(0)).checkpoint, Q.bounded_broadcast
+    monkeypatch.setattr(type(spark.range(0)), "checkpoint", lambda df, *a: (stored.append(df.columns), kept(df, *a))[1])
+    monkeypatch.setattr(Q, "bounded_broadcast", lambda df: (bounded.append(df.count()), bound(df))[1])
+    rows = sorted(tuple(r) for r in Q.reach(small(spark).edges, "source:auth", 3).collect())
+    assert rows == [("concept:auth", 2, "module:auth"), ("module:auth", 1, "source:auth"), ("source:auth", 0, None), ("source:brief", 3, "concept:auth")]
+    assert stored[0] == ["source", "target"] and bounded == [1, 1, 1]
+
+
 def test_path_and_reach(spark):
     g = small(spark)
     assert Q.shortest_path(g.edges, "concept:auth", "source:brief") == ["concept:auth", "source:brief"]

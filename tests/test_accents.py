@@ -10,7 +10,7 @@ from weftgraph.plans import registry
 TEXTS = ["Gateway ñis gateway.", "Gateway ciónot gateway. Relay is relay.", "Gateway ñdoes gateway server.", "Relay Noñ relay.", "", "Plain words gateway."]
 
 
-@pytest.mark.parametrize("name", ["heuristic_analysis", "conflict_edges"])
+@pytest.mark.parametrize("name", ["heuristic_analysis", "conflict_edges", "document_graph"])
 def test_accents(spark, tmp_path, name):
     docs = [(k, t, "es", "web", len(t)) for k, t in enumerate(TEXTS)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")

@@ -34,6 +34,18 @@ def small(spark):
     return G.Graph(nodes, edges)
 
 
+def test_set_join_makes_no_pairs_of_sets_that_must_differ(spark):
+    """Sixty sets of one word: only those of other source and polarity are paired, before their items are fetched."""
+    said = spark.createDataFrame([(k, k // 2, "positive" if k % 20 else "negative", ["w", f"x{k}"]) for k in range(60)], "id int, source int, polarity string, items array<string>")
+    found = A.set_join(said, 0.02, apart=("source", "polarity"))
+    rows = {k: (k // 2, bool(k % 20)) for k in range(60)}
+    want = {(a, b) for a in rows for b in rows if a < b and rows[a][0] != rows[b][0] and rows[a][1] != rows[b][1]}
+    assert {(r["left_id"], r["right_id"]) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    deepest = [line for line in plan.splitlines() if "Join Inner" in line and "item" in line and "polarity" in line]
+    assert deepest, plan
+
+
 def test_reach_keeps_only_ends_of_edges(spark, monkeypatch):
     """What is stored for the steps is source and target; a small frontier is broadcast."""
     stored, bounded = [], []

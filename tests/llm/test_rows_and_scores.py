@@ -127,6 +127,21 @@ def test_toxicity_counts_a_repeated_clean_passage_once(spark, copies):
     assert rows[0]["score"] >= rows[200]["score"] == rows[201]["score"] < 0.5
 
 
+def test_toxicity_does_not_learn_frequent_words(spark):
+    """Contexts of a word in every text run out in the larger class first, and one long text has many of a word of its own: neither is learned."""
+    words = [f"v{i}" for i in range(40)]
+    draw = np.random.default_rng(3)
+    plain = [" ".join(f"{w} of" for w in draw.choice(words, 12)) for _ in range(440)]
+    toxic = [f"{t} {words[i]} zorkface {draw.choice(words)}" for i, t in enumerate(plain[:40])]
+    toxic[0] += "".join(f" {w} odd" for w in words)
+    docs = spark.createDataFrame(enumerate([*toxic, *plain[40:]]), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(440)], "doc_id long, toxic int")
+    model = op2_toxicity.learn(docs, labels)
+    assert "zorkface" in model.scores and not {"of", "odd"} & set(model.scores)
+    caught = {r["doc_id"] for r in op2_toxicity.detect(docs, model).where("predicted = 1").collect()}
+    assert caught == set(range(40))
+
+
 def test_language_on_held_out_documents(spark):
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{BIG}/documents.parquet").collect()}
     rows = op3_language_id.op3_language_id(spark, BIG).collect()

@@ -7,7 +7,12 @@ words and, for inflected and compound words that were never seen, their first
 distinct contexts - a token with the word before it, once for each class - so a
 passage that many copies repeat counts once. Tokens that are more frequent in
 toxic texts by a likelihood ratio of ``G`` or more carry their log-odds; every
-other word carries the classes' common, negative, background score.
+other word carries the classes' common, negative, background score. The contexts
+of a frequent word run out in the larger class before they do in the smaller one,
+and a long text has many of its own: so texts with the token must be more
+frequent among toxic ones as well, ``TIMES`` their share among clean ones and by a
+ratio of ``G_TEXTS``, and ``MIN_TEXTS`` at least. Texts whose first place of the
+token has the same two words on either side count once there.
 
 Scoring: one linear scan finds all maximal scoring segments (Ruzzo and Tompa),
 over the scored tokens with the background between them summed. A segment of
@@ -49,6 +54,7 @@ from weftgraph.llm.common import bounded_batches, bounded_broadcast, crc32_mod,
 MAX_LABELS = 20_000
 PRIOR = 500.0
 G = 22.0
+G_TEXTS, TIMES, MIN_TEXTS = 3.84, 2.0, 2
 MIN_CONTEXTS = 4
 STEMS = (7, 6, 5)
 SIGNIFICANT = 1.0
@@ -135,29 +141,36 @@ def passages(text: str | None, model: Model) -> tuple[list[tuple[int, int, float
 
 def token_scores(docs: DataFrame) -> tuple[dict[str, float], float]:
     """(scores, gap) from (text, toxic)."""
-    words = docs.select("toxic", F.split(F.lower("text"), SPARK_WORD).alias("words"))
-    placed = words.select("toxic", "words", F.posexplode("words").alias("pos", "word")).where(F.col("word") != "")
+    words = docs.select("toxic", F.xxhash64("text").alias("doc"), F.split(F.lower("text"), SPARK_WORD).alias("words"))
+    placed = words.select("toxic", "doc", "words", F.posexplode("words").alias("pos", "word")).where(F.col("word") != "")
     bad = F.sum("toxic").cast("double")
     totals = placed.agg(bad.alias("n1"), (F.count("*") - bad).alias("n0")).first()
     n1, n0 = totals["n1"] or 0.0, totals["n0"] or 0.0
     if not n1 or not n0:
         return {}, -0.01
+    of = words.groupBy("toxic").agg(F.count_distinct("doc").alias("n")).collect()  # two rows
+    d1, d0 = (float(sum(r["n"] for r in of if r["toxic"] == k)) for k in (1, 0))
     stems = [F.when(F.length("word") > n, F.concat(F.substring("word", 1, n), F.lit("*"))) for n in STEMS]
     before = F.when(F.col("pos") > 0, F.get("words", F.col("pos") - 1)).alias("before")
-    tokens = placed.select("toxic", before, F.explode(F.array("word", *stems)).alias("w")).where(F.col("w").isNotNull())
+    around = F.xxhash64(*[F.when(F.col("pos") + k >= 0, F.get("words", F.col("pos") + k)) for k in (-2, -1, 1, 2)], F.col("pos") > 0).alias("around")
+    tokens = placed.select("toxic", "doc", "pos", before, around, F.explode(F.array("word", *stems)).alias("w")).where(F.col("w").isNotNull())
     # A token has at most as many contexts in toxic texts as it has places there: others cannot pass.
     plain = tokens.groupBy("w").agg(bad.alias("y1"))
     likely = plain.where(F.col("y1") >= MIN_CONTEXTS)
-    contexts = tokens.join(bounded_broadcast(likely.select("w"), BROADCAST_ROWS), "w").distinct()
+    able = tokens.join(bounded_broadcast(likely.select("w"), BROADCAST_ROWS), "w")
+    texts = able.groupBy("toxic", "w", "doc").agg(F.min_by("around", "pos").alias("around")).select("toxic", "w", "around").distinct()
+    side = lambda y, both, share: F.when(F.col(y) > 0, F.col(y) * F.log(F.col(y) / (both * share))).otherwise(0.0)
+    ratio = lambda a, b, n, m: 2 * (side(a, F.col(a) + F.col(b), n / (n + m)) + side(b, F.col(a) + F.col(b), m / (n + m)))
+    in_texts = texts.groupBy("w").agg(bad.alias("d1"), (F.count("*") - bad).cast("double").alias("d0"))
+    spread = written(in_texts.where((F.col("d1") >= MIN_TEXTS) & (ratio("d1", "d0", d1, d0) >= G_TEXTS) & (F.col("d1") / d1 >= TIMES * F.col("d0") / d0)).select("w"), "spread")
+    # Contexts are gathered of the few tokens that are left.
+    contexts = tokens.select("toxic", "before", "w").join(bounded_broadcast(spread, BROADCAST_ROWS), "w").distinct()
     up, down = F.col("y1") + F.col("a"), F.col("y0") + F.col("a")
-    part = F.lit(n1 / (n1 + n0))
-    side = lambda y, share: F.when(F.col(y) > 0, F.col(y) * F.log(F.col(y) / ((F.col("y1") + F.col("y0")) * share))).otherwise(0.0)
     scored = (
         contexts.groupBy("w").agg(bad.alias("y1"), (F.count("*") - bad).alias("y0"))
         .withColumn("a", PRIOR * (F.col("y1") + F.col("y0")) / (n1 + n0))
         .withColumn("odds", F.log(up / (n1 + PRIOR - up)) - F.log(down / (n0 + PRIOR - down)))
-        .withColumn("g", 2 * (side("y1", part) + side("y0", 1 - part)))
-        .where((F.col("y1") >= MIN_CONTEXTS) & (F.col("g") >= G) & (F.col("odds") > 0))
+        .where((F.col("y1") >= MIN_CONTEXTS) & (ratio("y1", "y0", n1, n0) >= G) & (F.col("odds") > 0))
         .collect()  # of at most max_labels texts
     )
     whole = [r for r in scored if not r["w"].endswith("*")]

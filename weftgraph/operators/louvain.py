@@ -11,10 +11,15 @@ state it started from; a state that is worse than the one before it is taken
 back and fewer nodes move. Contraction: a community becomes one node, weights
 between communities are summed, those inside become its loop. Levels end when
 nothing merges any more. Names decide ties, so results do not depend on partitioning.
+
+``communities`` works on the ranks of names. Links lie in buckets of their first
+end; where the nodes were counted to be at most ``BROADCAST_NODES``, a round sends
+two numbers of each node to all tasks and shuffles no link.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -24,12 +29,13 @@ from pyspark.sql.window import Window
 from weftgraph.functions import text as T
 from weftgraph.operators import metrics as M
 from weftgraph.operators.graph import Graph, prune_dangling
-from weftgraph.session import written
+from weftgraph.session import bounded_broadcast, shared_dir, written
 
 # A community is split if it is larger than this share of all nodes (and than LEAST), or large and loose.
 SHARE, LEAST, LOOSE, LOOSE_SIZE = 0.25, 10, 0.05, 50
 ROUNDS, LEVELS, LESS = 10, 10, 3
 SMALL = 1e-9
+BROADCAST_NODES = 8_000_000
 
 
 @dataclass
@@ -53,18 +59,36 @@ def auto_resolution(nodes: int, edges: int) -> float:
     return 0.5 if nodes <= 20 else 0.8 if edges / max(1, nodes) < 2 else 1.0
 
 
-def _scored(state: DataFrame, links: DataFrame, resolution: float) -> DataFrame:
-    """state (scope, node, comm, k, loop, m2) with the best community ``to``, its advantage over staying, and the weight of links into the own one; written."""
-    total = state.groupBy("comm").agg(F.sum("k").alias("total"))
-    ties = links.join(state.select(F.col("node").alias("b"), F.col("comm").alias("to")), "b").groupBy(F.col("a").alias("node"), "to").agg(F.sum("w").alias("w"))
-    stays = state.select("node", F.col("comm").alias("to"), F.lit(0.0).alias("w"))
-    both = ties.unionByName(stays).groupBy("node", "to").agg(F.sum("w").alias("w")).join(state, "node").join(total.withColumnRenamed("comm", "to"), "to")
-    here = F.col("to") == F.col("comm")
-    gain = F.col("w") - F.when(F.col("m2") > 0, resolution * F.col("k") * (F.col("total") - F.when(here, F.col("k")).otherwise(0.0)) / F.col("m2")).otherwise(0.0)
-    best = both.withColumn("gain", gain).groupBy("scope", "node", "comm", "k", "loop", "m2").agg(
-        F.min_by("to", F.struct(-F.round("gain", 9), "to")).alias("to"), (F.max("gain") - F.max(F.when(here, F.col("gain")))).alias("more"), F.max(F.when(here, F.col("w"))).alias("inner")
+def _ranked(ids: DataFrame) -> DataFrame:
+    """(id, rank): the places of distinct ids in the order of names, from 0; written."""
+    placed = written(ids.orderBy("id").withColumn("_at", F.monotonically_increasing_id()), "placed")  # the range of names, and the place within it
+    part = F.shiftright("_at", 33).alias("_part")
+    offsets = placed.groupBy(part).agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("_part")) - F.col("n"))  # one row a range
+    return written(placed.select("id", "_at", part).join(F.broadcast(offsets), "_part").select("id", (F.col("before") + F.col("_at").bitwiseAND(2**33 - 1)).alias("rank")), "ranks")
+
+
+def _bucketed(links: DataFrame) -> DataFrame:
+    """links (a, b, w) as a table in buckets of a: what is grouped by a needs no shuffle."""
+    spark, name = links.sparkSession, f"weft_links_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    links.repartition(buckets, "a").write.bucketBy(buckets, "a").sortBy("a").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
+def _scored(state: DataFrame, links: DataFrame, resolution: float, few: bool) -> DataFrame:
+    """state (scope, node, comm, k, loop, m2) with the best community ``to``, its advantage over staying, and the weight of links into the own one; written. With few nodes, theirs are sent to all tasks."""
+    side = F.broadcast if few else (lambda df: df)
+    total = side(state.groupBy("comm").agg(F.sum("k").alias("total")))
+    ties = links.join(side(state.select(F.col("node").alias("b"), F.col("comm").alias("to"))), "b").groupBy(F.col("a").alias("node"), "to").agg(F.sum("w").alias("w"))
+    cost = lambda others: F.when(F.col("m2") > 0, resolution * F.col("k") * others / F.col("m2")).otherwise(0.0)
+    both = ties.join(state.select("node", "comm", "k", "m2"), "node").join(total.withColumnRenamed("comm", "to"), "to")
+    here, gain = F.col("to") == F.col("comm"), F.col("w") - cost(F.col("total"))
+    best = both.select("node", "w", here.alias("here"), F.when(~here, F.col("to")).alias("to"), F.when(~here, gain).alias("gain")).groupBy("node").agg(
+        F.min_by("to", F.when(~F.col("here"), F.struct(-F.round("gain", 9), "to"))).alias("to"), F.max("gain").alias("gain"), F.max(F.when(F.col("here"), F.col("w"))).alias("inner")
     )
-    return written(best.withColumn("to", F.when(F.col("more") > SMALL, F.col("to"))), "moves")
+    inner = F.coalesce("inner", F.lit(0.0))
+    moves = state.join(best, "node", "left").join(total, "comm").withColumn("more", F.col("gain") - (inner - cost(F.col("total") - F.col("k"))))
+    return written(moves.select("scope", "node", "comm", "k", "loop", "m2", F.when(F.col("more") > SMALL, F.col("to")).alias("to"), "more", inner.alias("inner")), "moves")
 
 
 def _measured(scored: DataFrame, resolution: float) -> tuple[float, int]:
@@ -87,9 +111,10 @@ def detect(ids: DataFrame, links: DataFrame, resolution: float = 1.0, rounds: in
     nodes = ids.select("scope", F.col("id").alias("node")).join(degree, "node", "left").withColumn("k", F.coalesce("k", F.lit(0.0)))
     m2 = nodes.groupBy("scope").agg(F.sum("k").alias("m2"))
     state = written(nodes.join(m2, "scope").select("scope", "node", F.col("node").alias("comm"), "k", F.lit(0.0).alias("loop"), "m2"), "state")
-    members, links, history = ids.select("scope", "id", F.col("id").alias("at")), written(links, "links"), []
+    members, links, history = ids.select("scope", "id", F.col("id").alias("at")), _bucketed(links), []
+    few = ids.count() <= BROADCAST_NODES
     for level in range(levels):
-        scored = _scored(state, links, resolution)
+        scored = _scored(state, links, resolution, few)
         q, movers = _measured(scored, resolution)
         if not history:
             history.append(q)
@@ -97,7 +122,7 @@ def detect(ids: DataFrame, links: DataFrame, resolution: float = 1.0, rounds: in
         for r in range(rounds):
             if not movers:
                 break
-            after = _scored(_moved(scored, level * 1_000 + r, less), links, resolution)
+            after = _scored(_moved(scored, level * 1_000 + r, less), links, resolution, few)
             q_after, movers_after = _measured(after, resolution)
             if q_after < q - SMALL:  # too many moved at once
                 less += 2
@@ -119,7 +144,7 @@ def detect(ids: DataFrame, links: DataFrame, resolution: float = 1.0, rounds: in
         loops = between.where("ca = cb").select(F.col("ca").alias("node"), F.col("w").alias("added"))
         merged = scored.groupBy("scope", F.col("comm").alias("node")).agg(F.sum("k").alias("k"), F.sum("loop").alias("loop"), F.first("m2").alias("m2")).join(loops, "node", "left")
         state = written(merged.select("scope", "node", F.col("node").alias("comm"), "k", (F.col("loop") + F.coalesce("added", F.lit(0.0))).alias("loop"), "m2"), "state")
-        links = between.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"), "w")
+        links = _bucketed(between.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"), "w"))
     names = members.groupBy("scope", "at").agg(F.min("id").alias("community"))
     return Detected(written(members.join(names, ["scope", "at"]).select("scope", "id", "community"), "communities"), history)
 
@@ -136,21 +161,23 @@ def _split(members: DataFrame, links: DataFrame, chosen: DataFrame, resolution:
 
 def communities(nodes: DataFrame, near: DataFrame, resolution: float | None = None) -> Detected:
     """Communities of all nodes that are no sources: detected, then split while one is larger than max(10, a quarter of the nodes) and falls apart, then those of fifty and more with a cohesion under 0.05 once more."""
-    links = written(simple_links(nodes, near), "links")
-    ids = nodes.where("type <> 'source'").select("id").distinct()
-    n = ids.count()
+    ranks = _ranked(nodes.where("type <> 'source'").select("id").distinct())
+    n, end = ranks.count(), bounded_broadcast(ranks, BROADCAST_NODES // 4)
+    named = simple_links(nodes, near)
+    links = written(named.join(end.withColumnRenamed("id", "a"), "a").select(F.col("rank").alias("_a"), "b", "w").join(end.withColumnRenamed("id", "b"), "b").select(F.col("_a").alias("a"), F.col("rank").alias("b"), "w"), "links")
+    ids = ranks.select(F.col("rank").alias("id"))
     if resolution is None:
         resolution = auto_resolution(n, links.count() // 2)
     found = detect(ids.select(F.lit("").alias("scope"), "id"), links, resolution)
     members, most = found.members.select("id", "community"), max(LEAST, int(max(1, n) * SHARE))
-    whole: list[str] = []
+    whole: list[int] = []
     while True:  # each turn splits at least one community, of which fewer than four are that large
         large = [r["community"] for r in members.groupBy("community").agg(F.count("*").alias("size")).where(F.col("size") > most).select("community").collect()]
         large = sorted(set(large) - set(whole))
         if not large:
             break
         before = members
-        members, apart = _split(members, links, members.sparkSession.createDataFrame([(c,) for c in large], "community string"), resolution)
+        members, apart = _split(members, links, members.sparkSession.createDataFrame([(c,) for c in large], "community long"), resolution)
         still = members.where(F.col("community").isin(large)).groupBy("community").count()
         was = {r["community"]: r["count"] for r in before.where(F.col("community").isin(large)).groupBy("community").count().collect()}
         whole += [r["community"] for r in still.collect() if r["count"] == was[r["community"]]]
@@ -161,7 +188,9 @@ def communities(nodes: DataFrame, near: DataFrame, resolution: float | None = No
     loose = written(loose, "loose")
     if loose.limit(1).count():
         members, _ = _split(members, links, loose, resolution)
-    return Detected(members, found.modularity)
+    community = ranks.select(F.col("rank").alias("community"), F.col("id").alias("_name"))
+    back = members.join(ranks.withColumnRenamed("id", "_id").withColumnRenamed("rank", "id"), "id").join(community, "community")
+    return Detected(written(back.select(F.col("_id").alias("id"), F.col("_name").alias("community")), "named"), found.modularity)
 
 
 def with_sources(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:

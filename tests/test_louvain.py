@@ -143,3 +143,13 @@ def test_no_nodes_and_no_links(spark):
     assert L.communities(nodes, M.adjacency(nodes, edges)).members.count() == 0
     nodes, edges = graph(spark, [], alone=["a", "b"])
     assert sorted(tuple(r) for r in L.communities(nodes, M.adjacency(nodes, edges)).members.collect()) == [("a", "a"), ("b", "b")]
+
+
+def test_rounds_shuffle_no_links(spark):
+    """Ranks follow names, and links in buckets are grouped by their first end without an exchange."""
+    ids = spark.createDataFrame([("b",), ("a",), ("d",), ("c",)], "id string").repartition(3)
+    assert {r["id"]: r["rank"] for r in L._ranked(ids).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
+    links = L._bucketed(spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0), (2, 3, 1.0), (3, 2, 1.0)], "a long, b long, w double"))
+    ends = spark.createDataFrame([(k, k % 2) for k in range(4)], "b long, to long")
+    ties = links.join(F.broadcast(ends), "b").groupBy("a", "to").agg(F.sum("w").alias("w"))
+    assert "Exchange hashpartitioning" not in ties._jdf.queryExecution().executedPlan().toString() and ties.count() == 4

@@ -7,10 +7,12 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.operators.segments import Conflict, SegmentIndex
+from weftgraph.operators import segments
+from weftgraph.operators.segments import Conflict, SegmentIndex, split
 
 PAGES = "doc_id long, text string"
 WORDS = ["alpha", "beta", "gamma", "delta", "eps-ilon", "z9", "the", "the", "the"]
@@ -138,3 +140,35 @@ def test_title_counts_and_other_columns_do_not_matter(spark, tmp_path):
     asked = spark.createDataFrame([(1, "alpha beta")], "query_id int, text string")
     assert {r["id"] for r in index.search(asked, 5).collect()} == {"x", "y"}
     assert index.pages().where(F.col("dl") == 0).count() == 1
+
+
+def test_split_finds_the_tokens_of_the_pattern():
+    draw = random.Random(5)
+    texts = [None, "", "-", "a", "--ab", "x" * 9, *("".join(draw.choice("ab9- -.é\n") for _ in range(draw.randint(0, 40))) for _ in range(300))]
+    for begin, end in ((0, len(texts)), (7, 90), (1, 3)):
+        words, sizes = split(pa.array(texts).slice(begin, end - begin))
+        each = [re.findall(r"[a-z0-9][a-z0-9-]+", t or "") for t in texts[begin:end]]
+        assert sizes.tolist() == [len(w) for w in each] and [w.decode() for w in words.to_pylist()] == [w for ws in each for w in ws]
+
+
+def test_a_shard_is_stored_and_moved_as_one_row(spark, tmp_path):
+    index = SegmentIndex(spark, f"file://{tmp_path}/ix")
+    pages = {k: f"alpha w{k} beta w{k // 2}" for k in range(300)}
+    index.refresh(frame(spark, {k: pages[k] for k in range(200)}))
+    index.refresh(frame(spark, pages))
+    assert all(spark.read.parquet(f"file://{tmp_path}/ix/segments/{s}/postings").count() <= 16 for s in index.manifest().segments)
+    assert index.merge(most=1) == 2
+    (one,) = index.manifest().segments
+    assert [r["n"] for r in spark.read.parquet(f"file://{tmp_path}/ix/segments/{one}/pages").groupBy("shard").agg(F.count("*").alias("n")).collect()] == [300]  # 32 small shards fit one
+    asked = {str(k): pages[k] for k in range(0, 300, 7)}
+    assert found(index, asked, 5) == plain_search(pages, asked, 5)
+
+
+def test_common_and_rare_terms_copies_and_dead_pages_in_any_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments, "TOGETHER", 3)
+    index, draw = SegmentIndex(spark, f"file://{tmp_path}/ix"), random.Random(8)
+    pages = {k: " ".join(draw.choice(WORDS) if draw.random() < 0.5 else f"w{draw.randint(0, 400)}" for _ in range(25)) for k in range(400)} | {k: "alpha beta w7" for k in range(400, 460)}
+    index.refresh(frame(spark, pages))
+    index.refresh(frame(spark, {k: t for k, t in pages.items() if k % 9}))
+    live, asked = {k: t for k, t in pages.items() if k % 9}, {str(k): pages[k] for k in range(0, 460, 20)}
+    assert found(index, asked, 6) == found(index, asked, 6, block=4) == plain_search(live, asked, 6)

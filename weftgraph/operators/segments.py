@@ -2,36 +2,38 @@
 
 Under the index's folder:
 
-* ``segments/<id>/pages`` (shard, slot, key, dl, hash) and ``segments/<id>/postings``
-  (shard, term, slots, tfs, dls): pages are dealt to shards of a bounded number, a
-  page's slot is its place by key within the shard, a posting row holds one
-  term's pages in one shard, so no list grows with the corpus.
+* ``segments/<id>/postings``: one row a shard, with its pages (keys, dls, hashes) in
+  order of key, so that a page's place is its slot, and its terms in order: how
+  many pages each has (sizes), and their slots and frequencies end to end as
+  32-bit numbers. A shard has a bounded number of pages, so no row grows with the corpus.
+* ``segments/<id>/pages`` (segment, shard, slot, key, dl, hash): the same pages, one row each.
 * ``dead/<id>`` (segment, shard, slot): tombstones of pages that changed or went.
 * ``manifests/<version>.json``: which segments and tombstones are live (see
   ``versions``): a writer that stops leaves the old state, one whose version
   another writer took fails with ``Conflict`` and changes nothing.
 
 A refresh compares hashes of the pages with the stored ones; only new and changed
-pages are split in words. ``merge`` rewrites segments that are small, or hold
-many dead pages, as one, from their postings, without reading texts. Numbers of
-pages, lengths and frequencies are sums over live pages, so a search after any
-updates and merges gives what it gives over an index made anew.
-
-Searches take sets of questions. Postings of the questions' terms meet blocks of
-questions shard by shard; a task adds up the weights of its shard's pages and
-passes on the best of each question only.
+pages are split in words, and move once, as texts. ``merge`` rewrites segments that
+are small, or hold many dead pages, as one, from their postings, without reading
+texts: whole shards come together. Numbers of pages, lengths and frequencies are
+sums over live pages, so a search after any updates and merges gives what it gives
+over an index made anew.
+
+Searches take sets of questions. Shards and copies of the questions meet in cells,
+of which there are a few for each core, however many shards there are: a shard moves
+once, as it is stored. A cell passes on the best pages of each question only.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
@@ -42,8 +44,273 @@ from weftgraph.session import bounded_broadcast, written
 
 __all__ = ["Conflict", "Manifest", "SegmentIndex"]
 
-# Pages in a shard; shards of a segment at least; questions in a block.
-SHARD, SHARDS, QUESTIONS = 4_096, 16, 1_024
+# Pages and bytes of text in a shard; shards of a segment at least; questions and their terms in a block; cells for each core.
+SHARD, SHARD_BYTES, SHARDS, QUESTIONS, TERMS, CELLS = 4_096, 64_000_000, 16, 32_768, 8_000_000, 4
+# Bytes split at a time; questions scored at a time; a term that one in so many pages has is multiplied, others are added up.
+BYTES, TOGETHER, DENSE = 4_000_000, 64, 16
+
+_INSIDE = np.zeros(256, bool)
+for _low, _high in ("09", "az", "--"):
+    _INSIDE[ord(_low) : ord(_high) + 1] = True
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of lower-case texts as ``text.tokens`` finds them, and how many each text has."""
+    whole = texts.cast(pa.large_binary())
+    ends = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    data = np.frombuffer(whole.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    inside = _INSIDE[data]
+    opens, closes = inside.copy(), inside.copy()
+    opens[1:] &= ~inside[:-1]
+    closes[:-1] &= ~inside[1:]
+    first = ends[(ends > 0) & (ends < len(data))]
+    opens[first], closes[first - 1] = inside[first], inside[first - 1]
+    begin, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    if (dashed := np.flatnonzero(data[begin] == ord("-"))).size:  # a token begins with a letter or digit
+        solid = np.append(np.flatnonzero(inside & (data != ord("-"))), len(data))
+        begin[dashed] = solid[np.searchsorted(solid, begin[dashed])]
+    long_enough = end - begin >= 2
+    begin, end = begin[long_enough], end[long_enough]
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[begin] += 1
+    edge[end] -= 1
+    offsets = np.append(0, np.cumsum(end - begin)).astype(np.int32)
+    kept = data[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(kept)]), np.diff(np.searchsorted(begin, ends))
+
+
+def spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices of several runs, one after the other."""
+    total = np.cumsum(size)
+    return np.repeat(begin - (total - size), size) + np.arange(total[-1] if len(total) else 0)
+
+
+def runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(begin, end) of each run of equal values."""
+    begin = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+    yield from zip(begin.tolist(), np.append(begin[1:], len(values)).tolist(), strict=True)
+
+
+def _row(number: int, keys: pa.Array, dls: np.ndarray, hashes: pa.Array, terms: pa.Array, term: np.ndarray, slot: np.ndarray, tf: np.ndarray) -> pa.RecordBatch:
+    """A shard's row of its postings (term as its place in terms, slot, tf) in any order."""
+    used, term = np.unique(term, return_inverse=True)
+    terms = terms.take(pa.array(used)).cast(pa.binary())
+    by_name = pc.sort_indices(terms).to_numpy()
+    place = np.empty(len(used), np.int64)
+    place[by_name] = np.arange(len(used))
+    order = np.argsort(place[term] * max(1, len(keys)) + slot)
+    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    sizes = pa.array(np.bincount(place[term], minlength=len(used)), pa.int32())
+    columns = {
+        "shard": pa.array([number], pa.int32()), "keys": one(keys), "dls": one(pa.array(dls, pa.int32())), "hashes": one(hashes), "terms": one(terms.take(pa.array(by_name)).cast(pa.string())), "sizes": one(sizes),
+        "slots": pa.array([slot[order].astype("<i4").tobytes()], pa.binary()), "tfs": pa.array([tf[order].astype("<i4").tobytes()], pa.binary()),
+    }
+    return pa.RecordBatch.from_pydict(columns)
+
+
+class _Build:
+    """The pages of one shard, as they come in order of key."""
+
+    def __init__(self, number: int):
+        self.number, self.n, self.known = number, 0, {}
+        self.keys, self.hashes, self.dls, self.term, self.slot, self.tf = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def add(self, keys: pa.Array, hashes: pa.Array, texts: pa.Array) -> None:
+        self.keys.append(keys)
+        self.hashes.append(hashes)
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        for begin, end in runs(size // BYTES):
+            words, length = split(texts.slice(begin, end - begin))
+            coded, n = words.dictionary_encode(), end - begin
+            own = np.fromiter((self.known.setdefault(w, len(self.known)) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+            pair, tf = np.unique(own[coded.indices.to_numpy(zero_copy_only=False)] * n + np.repeat(np.arange(n), length), return_counts=True)
+            self.term.append(pair // n)
+            self.slot.append(pair % n + self.n)
+            self.tf.append(tf)
+            self.dls.append(length)
+            self.n += n
+
+    def row(self) -> pa.RecordBatch:
+        whole = [np.concatenate(x) for x in (self.dls, self.term, self.slot, self.tf)]
+        return _row(self.number, pa.concat_arrays(self.keys), whole[0], pa.concat_arrays(self.hashes), pa.array(list(self.known), pa.binary()), *whole[1:])
+
+
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, key, hash, low) by shard and key as rows of shards."""
+    made = None
+    for batch in batches:
+        shards = batch.column("shard").to_numpy(zero_copy_only=False)
+        for begin, end in runs(shards):
+            if made is None or made.number != shards[begin]:
+                if made:
+                    yield made.row()
+                made = _Build(int(shards[begin]))
+            made.add(*(batch.column(c).slice(begin, end - begin) for c in ("key", "hash", "low")))
+    if made:
+        yield made.row()
+
+
+def _parts(batch: pa.RecordBatch, i: int) -> dict:
+    """A shard's row without a copy of what it holds."""
+    one = {c: batch.column(c)[i] for c in batch.schema.names}
+    gone = one["gone"].values if one["gone"].is_valid else pa.array([], pa.int32())
+    return {
+        **{c: one[c].values for c in ("keys", "hashes", "terms") if c in one}, **{c: one[c].values.to_numpy(zero_copy_only=False).astype(np.int64) for c in ("dls", "sizes")},
+        **{c: np.frombuffer(one[c].as_py(), "<i4").astype(np.int64) for c in ("slots", "tfs")}, "gone": gone.to_numpy(zero_copy_only=False),
+    }
+
+
+def _together(number: int, shards: list[dict]) -> pa.RecordBatch:
+    """The live pages of several shards as one."""
+    sizes = [len(x["dls"]) for x in shards]
+    bases = np.cumsum([0, *sizes])
+    alive = np.ones(bases[-1], bool)
+    for base, x in zip(bases, shards, strict=False):
+        alive[base + x["gone"]] = False
+    kept = np.flatnonzero(alive)
+    keys = pa.concat_arrays([x["keys"] for x in shards]).take(pa.array(kept))
+    by_key = pc.sort_indices(keys).to_numpy()
+    slot_of = np.full(bases[-1], -1)
+    slot_of[kept[by_key]] = np.arange(len(kept))
+    coded = pa.concat_arrays([x["terms"] for x in shards]).dictionary_encode()
+    term = np.repeat(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([x["sizes"] for x in shards]))
+    slot, tf = slot_of[np.concatenate([base + x["slots"] for base, x in zip(bases, shards, strict=False)])], np.concatenate([x["tfs"] for x in shards])
+    here = slot >= 0
+    hashes = pa.concat_arrays([x["hashes"] for x in shards]).take(pa.array(kept[by_key]))
+    return _row(number, keys.take(pa.array(by_key)), np.concatenate([x["dls"] for x in shards])[kept[by_key]], hashes, coded.dictionary, term[here], slot[here], tf[here])
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of shards by their new shard ``to``, as rows of those."""
+    held, now = [], None
+    for batch in batches:
+        for i, to in enumerate(batch.column("to").to_pylist()):
+            if held and to != now:
+                yield _together(now, held)
+                held = []
+            now = to
+            held.append(_parts(batch, i))
+    if held:
+        yield _together(now, held)
+
+
+def _live_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, df) of each shard: how many live pages have a term."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            x = _parts(batch, i)
+            alive = np.ones(len(x["dls"]), bool)
+            alive[x["gone"]] = False
+            df = np.bincount(np.repeat(np.arange(len(x["sizes"])), x["sizes"]), alive[x["slots"]], len(x["sizes"])).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([x["terms"].filter(pa.array(df > 0)), pa.array(df[df > 0])], ["term", "df"])
+
+
+class _Cell:
+    """A block's questions over the shards of one cell, one after the other."""
+
+    def __init__(self, limit: int, mean: float, k1: float, b: float):
+        self.limit, self.mean, self.k1, self.b, self.asks, self.top = limit, mean, k1, b, [], None
+
+    def begin(self) -> None:
+        asks = pa.Table.from_batches(self.asks)
+        flat = lambda c: asks.column(c).combine_chunks().flatten()
+        self.ids, coded = asks.column("query_id").combine_chunks(), flat("terms").dictionary_encode()
+        self.ends, self.codes, self.vocabulary = np.cumsum(pc.list_value_length(asks.column("terms").combine_chunks()).to_numpy(zero_copy_only=False)), coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        self.idf = np.zeros(len(self.vocabulary))
+        self.idf[self.codes] = flat("idfs").to_numpy(zero_copy_only=False)
+        self.top, self.least, self.asks = [[] for _ in range(asks.num_rows)], np.zeros(asks.num_rows), []
+
+    def search(self, x: dict) -> None:
+        if self.top is None:
+            self.begin()
+        n = len(x["dls"])
+        code = pc.index_in(x["terms"], value_set=self.vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
+        alive = np.ones(n, bool)
+        alive[x["gone"]] = False
+        kept = np.repeat(code >= 0, x["sizes"]) & alive[x["slots"]]
+        slots, tfs = x["slots"][kept], x["tfs"][kept]
+        sizes = np.bincount(np.repeat(np.arange(len(code)), x["sizes"])[kept], minlength=len(code))[code >= 0]
+        code = code[code >= 0]
+        weight = self.idf[np.repeat(code, sizes)] * (tfs * (self.k1 + 1) / (tfs + self.k1 * (1 - self.b + self.b * x["dls"][slots] / self.mean)))
+        begins, row_of = np.cumsum(sizes) - sizes, np.full(len(self.vocabulary), -1)
+        row_of[code] = np.arange(len(code))
+        common = np.flatnonzero(sizes * DENSE >= n)
+        dense_of = np.full(len(code), -1)
+        dense_of[common] = np.arange(len(common))
+        dense, at = np.zeros((len(common), n), np.float32), spans(begins[common], sizes[common])
+        dense[np.repeat(np.arange(len(common)), sizes[common]), slots[at]] = weight[at]
+        # The same by page, terms in order: sums run in one order everywhere, so equal pages have equal scores.
+        by_page = np.argsort(slots, kind="stable")
+        page_rows, page_weight, page_size = np.repeat(np.arange(len(code)), sizes)[by_page], weight[by_page], np.bincount(slots, minlength=n)
+        page_begin = np.cumsum(page_size) - page_size
+        has = np.zeros((TOGETHER, len(code)), bool)
+        for low in range(0, len(self.ends), TOGETHER):
+            high = min(low + TOGETHER, len(self.ends))
+            m, first = high - low, self.ends[low - 1] if low else 0
+            rows = row_of[self.codes[first : self.ends[high - 1]]]
+            of = np.repeat(np.arange(m), np.diff(self.ends[low:high], prepend=first))[rows >= 0]
+            rows = rows[rows >= 0]
+            column = dense_of[rows]
+            asked = np.zeros((m, len(common)), np.float32)
+            asked[of[column >= 0], column[column >= 0]] = 1
+            thin, thin_of = rows[column < 0], of[column < 0]
+            at = spans(begins[thin], sizes[thin])
+            total = np.bincount(np.repeat(thin_of * n, sizes[thin]) + slots[at], weight[at], m * n).reshape(m, n) + asked @ dense
+            # float32 is off by less than a ten thousandth of a sum.
+            least = self.least[low:high].copy()
+            if n > self.limit and (fresh := np.flatnonzero(least == 0)).size:
+                least[fresh] = np.partition(total[fresh], n - self.limit, axis=1)[:, n - self.limit]
+            near = np.flatnonzero(total >= np.maximum(least * (1 - 1e-4) - 1e-8, 1e-300)[:, None])
+            if not len(near):
+                continue
+            which, slot = near // n, near % n
+            has[of, rows] = True
+            pair, at = np.repeat(np.arange(len(which)), page_size[slot]), spans(page_begin[slot], page_size[slot])
+            score = np.bincount(pair, page_weight[at] * has[which[pair], page_rows[at]], len(which))
+            has[of, rows] = False
+            order = np.lexsort([slot, -np.round(score, 9), which])
+            which, slot, score = which[order], slot[order], score[order]
+            for begin, end in runs(which):
+                end = min(end, begin + self.limit)
+                q = low + int(which[begin])
+                found = zip((-np.round(score[begin:end], 9)).tolist(), x["keys"].take(pa.array(slot[begin:end])).to_pylist(), score[begin:end].tolist(), strict=True)
+                self.top[q] = sorted([*self.top[q], *found])[: self.limit]
+                if len(self.top[q]) == self.limit:
+                    self.least[q] = -self.top[q][-1][0]
+
+    def found(self, query_kind: pa.DataType, key_kind: pa.DataType) -> pa.RecordBatch:
+        top = self.top or []
+        place = pa.array(np.repeat(np.arange(len(top)), [len(x) for x in top]).astype(np.int64))
+        ids = self.ids.take(place) if top else pa.array([], query_kind)
+        return pa.RecordBatch.from_arrays([ids, pa.array([k for x in top for _, k, _ in x], key_kind), pa.array([s for x in top for _, _, s in x], pa.float64())], ["query_id", "key", "score"])
+
+
+def _scorer(limit: int, mean: float, k1: float, b: float, query_kind: pa.DataType, key_kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows by cell, questions before shards, as the cells' best pages of each question."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, now = None, None
+        for batch in batches:
+            cells, is_shard = batch.column("cell").to_numpy(zero_copy_only=False), batch.column("is_shard").to_numpy(zero_copy_only=False)
+            for begin, end in runs(cells):
+                if cell is None or cells[begin] != now:
+                    if cell:
+                        yield cell.found(query_kind, key_kind)
+                    cell, now = _Cell(limit, mean, k1, b), cells[begin]
+                shards = begin + int(np.count_nonzero(~is_shard[begin:end]))
+                if shards > begin:
+                    cell.asks.append(batch.slice(begin, shards - begin).select(["query_id", "terms", "idfs"]))
+                for i in range(shards, end):
+                    if cell.asks or cell.top:
+                        cell.search(_parts(batch, i))
+        if cell:
+            yield cell.found(query_kind, key_kind)
+
+    return score
+
+
+SHARD_ROW = "shard int, keys array<{kind}>, dls array<int>, hashes array<string>, terms array<string>, sizes array<int>, slots binary, tfs binary"
 
 
 @dataclass(frozen=True)
@@ -53,48 +320,6 @@ class Manifest:
     dead: tuple[str, ...] = ()
 
 
-def _score_cell(limit: int, mean: float, k1: float, b: float, query_kind: pa.DataType) -> Callable[[pa.Table], pa.Table]:
-    """One shard's postings, each with the questions of one block that ask for its term (a row without term: slots not to return); the best slots of each question."""
-
-    def score(cell: pa.Table) -> pa.Table:
-        segment, shard = cell.column("segment")[0], cell.column("shard")[0]
-        hides = pc.is_null(cell.column("term"))
-        hidden = cell.filter(hides).column("slots").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        rows = cell.filter(pc.invert(hides)).sort_by("term")  # sums run in one order everywhere: equal pages have equal scores
-        flat = lambda c: rows.column(c).combine_chunks().flatten()
-        asks = flat("asks")
-        found_ids, found_slots, found_scores = [], [], []
-        if len(asks):
-            slots, tfs, dls = (flat(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("slots", "tfs", "dls"))
-            ends = np.cumsum(pc.list_value_length(rows.column("slots").combine_chunks()).to_numpy(zero_copy_only=False))
-            begins = np.concatenate([[0], ends[:-1]])
-            weight = tfs * (k1 + 1) / (tfs + k1 * (1 - b + b * dls / mean))
-            row_of = np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows.column("asks").combine_chunks()).to_numpy(zero_copy_only=False))
-            named = asks.field("query_id").dictionary_encode()
-            idf, question = asks.field("idf").to_numpy(zero_copy_only=False), named.indices.to_numpy(zero_copy_only=False)
-            order = np.argsort(question, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], np.diff(question[order]) != 0]))
-            top = int(slots.max()) + 1
-            hidden = hidden[hidden < top]
-            for mine in np.split(order, first[1:]):
-                spans = [(begins[r], ends[r]) for r in row_of[mine]]
-                scores = np.bincount(np.concatenate([slots[x:y] for x, y in spans]), np.concatenate([weight[x:y] * i for (x, y), i in zip(spans, idf[mine], strict=True)]), top)
-                scores[hidden] = 0.0
-                found = np.flatnonzero(scores > 0)
-                if len(found) > limit:  # what is clearly under the limit's score is not among the best
-                    found = found[scores[found] >= np.partition(scores[found], len(found) - limit)[len(found) - limit] - 1e-8]
-                best = found[np.lexsort([found, -np.round(scores[found], 9)])][:limit]
-                found_ids.append(np.full(len(best), question[mine[0]]))
-                found_slots.append(best)
-                found_scores.append(scores[best])
-        n = sum(map(len, found_slots))
-        ids = named.dictionary.take(pa.array(np.concatenate(found_ids))) if n else pa.array([], query_kind)
-        join = lambda parts, kind: pa.array(np.concatenate(parts).astype(kind) if n else np.zeros(0, kind))
-        return pa.table({"segment": pa.array([segment.as_py()] * n, pa.string()), "shard": pa.array([shard.as_py()] * n, pa.int32()), "query_id": ids, "slot": join(found_slots, np.int32), "score": join(found_scores, np.float64)})
-
-    return score
-
-
 class SegmentIndex:
     """The index in folder ``root`` of pages (key, body), one row a key (rows without one are left out); ``title``, where named, weighs like the body. A null text counts as empty."""
 
@@ -132,31 +357,31 @@ class SegmentIndex:
         stored = self._of(state.segments, "pages", f"shard int, slot int, key {self._key_kind(state) if state.segments else kind}, dl int, hash string")
         return stored.join(bounded_broadcast(self.dead(state)), ["segment", "shard", "slot"], "left_anti") if state.dead else stored
 
-    def postings(self, state: Manifest) -> DataFrame:
-        """(segment, shard, term, slots, tfs, dls) as stored: dead slots are still there."""
-        return self._of(state.segments, "postings", "shard int, term string, slots array<int>, tfs array<int>, dls array<int>")
-
-    def _dead_slots(self, state: Manifest) -> DataFrame:
-        """(segment, shard, gone): dead slots of each shard, which has a bounded number."""
-        return self.dead(state).groupBy("segment", "shard").agg(F.collect_set("slot").alias("gone"))
+    def shards(self, state: Manifest, hidden: DataFrame | None = None) -> DataFrame:
+        """The rows of shards as stored, dead slots included, and as ``gone`` which of them are in hidden (segment, shard, slot)."""
+        kind = self._key_kind(state)
+        stored = self._of(state.segments, "postings", SHARD_ROW.format(kind=kind))
+        if hidden is None:
+            return stored.withColumn("gone", F.lit(None).cast("array<int>"))
+        return stored.join(hidden.groupBy("segment", "shard").agg(F.collect_set("slot").alias("gone")), ["segment", "shard"], "left")
 
     # Writing
 
-    def _write_segment(self, pages: DataFrame) -> str:
-        """A segment of pages (key, words or text in ``whole``, hash)."""
-        shards = max(SHARDS, -(-pages.count() // SHARD))
-        name = f"{uuid.uuid4().hex}"
-        dealt = pages.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).repartition(shards, "shard")
-        slot = (F.row_number().over(Window.partitionBy("shard").orderBy("key")) - 1).cast("int")
-        words = dealt.withColumn("slot", slot).select("shard", "slot", "key", "hash", T.tokens(F.col("whole")).alias("w"))
-        split = written(words.select(F.lit(name).alias("segment"), "shard", "slot", "key", F.size("w").alias("dl"), "hash", "w"), "words")
-        split.drop("w").write.parquet(f"{self.root}/segments/{name}/pages")
-        # Dealt by shard once: counting and gathering need no further shuffle.
-        each = split.repartition(shards, "shard").select("shard", "slot", "dl", F.explode("w").alias("term")).groupBy("shard", "term", "slot").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
-        lists = each.groupBy("shard", "term").agg(F.array_sort(F.collect_list(F.struct("slot", "tf", "dl"))).alias("p"))
-        lists.select(F.lit(name).alias("segment"), "shard", "term", F.col("p.slot").alias("slots"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls")).sortWithinPartitions("shard", "term").write.parquet(f"{self.root}/segments/{name}/postings")
+    def _store(self, shards: DataFrame) -> str:
+        """A segment of these rows of shards; its pages are read from them."""
+        name = uuid.uuid4().hex
+        shards.withColumn("segment", F.lit(name)).write.parquet(f"{self.root}/segments/{name}/postings")
+        stored = self.spark.read.schema(f"segment string, shard int, {shards.select('keys', 'dls', 'hashes').schema.simpleString()[7:-1].replace(':', ' ')}").parquet(f"{self.root}/segments/{name}/postings")
+        each = stored.select("segment", "shard", F.posexplode(F.arrays_zip("keys", "dls", "hashes")).alias("slot", "p"))
+        each.select("segment", "shard", "slot", F.col("p.keys").alias("key"), F.col("p.dls").alias("dl"), F.col("p.hashes").alias("hash")).write.parquet(f"{self.root}/segments/{name}/pages")
         return name
 
+    def _write_segment(self, pages: DataFrame, count: int, size: int) -> str:
+        """A segment of so many pages (key, whole, hash) of so many bytes. Texts move once; a task splits and counts the words of its shard."""
+        shards = max(SHARDS, -(-count // SHARD), -(-size // SHARD_BYTES))
+        dealt = pages.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "key", "hash", F.lower("whole").alias("low")).repartitionById(shards, F.col("shard"))
+        return self._store(dealt.sortWithinPartitions("shard", "key").mapInArrow(_build, SHARD_ROW.format(kind=pages.schema["key"].dataType.simpleString())))
+
     def _hashed(self, pages: DataFrame) -> DataFrame:
         return pages.where(F.col(self.key).isNotNull()).select(F.col(self.key).alias("key"), self.whole.alias("whole")).withColumn("hash", F.sha2("whole", 256))
 
@@ -173,14 +398,14 @@ class SegmentIndex:
     def _apply(self, state: Manifest, now: DataFrame, whole: bool, gone: DataFrame | None = None) -> dict[str, int]:
         kind = now.schema["key"].dataType.simpleString()
         old = self.pages(state, kind).select("segment", "shard", "slot", F.col("key").alias("old_key"), F.col("hash").alias("old_hash"))
-        met = now.select("key", "hash").join(old, F.col("key") == F.col("old_key"), "full")
+        met = now.select("key", "hash", F.octet_length("whole").alias("size")).join(old, F.col("key") == F.col("old_key"), "full")
         change = F.when(F.col("old_key").isNull(), "added").when(F.col("key").isNull(), "removed" if whole else "kept").when(F.col("hash") == F.col("old_hash"), "kept").otherwise("changed")
         if gone is not None:
             met = met.join(gone.distinct().select(F.col("key").alias("gone_key")), F.col("old_key") == F.col("gone_key"), "left")
             change = F.when(F.col("gone_key").isNotNull() & F.col("key").isNull(), "removed").otherwise(change)
-        marked = written(met.withColumn("change", change).select("key", "segment", "shard", "slot", "change"), "changes")
-        counts = {r["change"]: r["n"] for r in marked.groupBy("change").agg(F.count("*").alias("n")).collect()}
-        counts = {c: counts.get(c, 0) for c in ("added", "changed", "removed", "kept")}
+        marked = written(met.withColumn("change", change).select("key", "segment", "shard", "slot", "change", "size"), "changes")
+        found = {r["change"]: r for r in marked.groupBy("change").agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).collect()}
+        counts = {c: found[c]["n"] if c in found else 0 for c in ("added", "changed", "removed", "kept")}
         segments, dead = state.segments, state.dead
         if counts["changed"] + counts["removed"]:
             name = uuid.uuid4().hex
@@ -188,7 +413,9 @@ class SegmentIndex:
             dead = (*dead, name)
         if counts["added"] + counts["changed"]:
             dirty = marked.where("change in ('added', 'changed')").select("key")
-            segments = (*segments, self._write_segment(now.join(bounded_broadcast(dirty), "key", "left_semi")))
+            new = now if whole and not counts["kept"] else now.join(bounded_broadcast(dirty), "key", "left_semi")
+            size = sum(found[c]["size"] for c in ("added", "changed") if c in found)
+            segments = (*segments, self._write_segment(new, counts["added"] + counts["changed"], size))
         if (segments, dead) != (state.segments, state.dead):
             self._commit(state, segments, dead)
         return counts
@@ -204,19 +431,18 @@ class SegmentIndex:
         if not chosen:
             return 0
         part = Manifest(state.version, chosen, state.dead)
-        name, live = uuid.uuid4().hex, self.pages(part)
-        total = live.count()
         kept = tuple(s for s in state.segments if s not in chosen)
-        if total:
-            shards = max(SHARDS, -(-total // SHARD))
-            new_slot = (F.row_number().over(Window.partitionBy("to").orderBy("key")) - 1).cast("int")
-            moved = written(live.withColumn("to", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).withColumn("at", new_slot), "moved")
-            moved.select(F.lit(name).alias("segment"), F.col("to").alias("shard"), F.col("at").alias("slot"), "key", "dl", "hash").write.parquet(f"{self.root}/segments/{name}/pages")
-            each = self.postings(part).select("segment", "shard", "term", F.explode(F.arrays_zip("slots", "tfs")).alias("p")).select("segment", "shard", "term", F.col("p.slots").alias("slot"), F.col("p.tfs").alias("tf"))
-            placed = each.join(bounded_broadcast(moved.select("segment", "shard", "slot", "to", "at", "dl")), ["segment", "shard", "slot"])  # drops the dead
-            lists = placed.groupBy("to", "term").agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("slot"), "tf", "dl"))).alias("p"))
-            lists.select(F.lit(name).alias("segment"), F.col("to").alias("shard"), "term", F.col("p.slot").alias("slots"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls")).sortWithinPartitions("shard", "term").write.parquet(f"{self.root}/segments/{name}/postings")
-            kept = (*kept, name)
+        # Whole shards come together, as many as fit one: one row a shard here.
+        to, filled, places = 0, 0, []
+        for r in self.pages(part).groupBy("segment", "shard").agg(F.count("*").alias("n")).orderBy("segment", "shard").collect():
+            if filled and filled + r["n"] > SHARD:
+                to, filled = to + 1, 0
+            filled += r["n"]
+            places.append((r["segment"], r["shard"], to))
+        if places:
+            moved = self.shards(part, self.dead(state) if state.dead else None).join(F.broadcast(self.spark.createDataFrame(places, "segment string, shard int, to int")), ["segment", "shard"])
+            dealt = moved.drop("shard", "segment").repartitionById(to + 1, F.col("to")).sortWithinPartitions("to")
+            kept = (*kept, self._store(dealt.mapInArrow(_gather, SHARD_ROW.format(kind=self._key_kind(state)))))
         still = self.dead(state).where(~F.col("segment").isin(*chosen))
         stone = uuid.uuid4().hex
         still.write.parquet(f"{self.root}/dead/{stone}")
@@ -255,25 +481,28 @@ class SegmentIndex:
         live = self.pages(state)
         corpus = live.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
         asked = written(questions.select("query_id", F.explode(F.array_distinct(T.tokens(F.coalesce(F.col("text"), F.lit(""))))).alias("term")), "asked")
-        met = written(self.postings(state).join(bounded_broadcast(asked.select("term").distinct()), "term", "left_semi"), "met")
-        gone = bounded_broadcast(self._dead_slots(state))
-        alive = F.size("slots") if not state.dead else F.size(F.array_except("slots", F.coalesce("gone", F.array().cast("array<int>"))))
-        frequency = (met.join(gone, ["segment", "shard"], "left") if state.dead else met).groupBy("term").agg(F.sum(alive).alias("df")).where("df > 0")
+        if state.dead:
+            sizes = self.shards(state, self.dead(state)).drop("keys", "hashes").mapInArrow(_live_sizes, "term string, df long")
+        else:
+            sizes = self.shards(state).select(F.explode(F.arrays_zip("terms", "sizes")).alias("p")).select(F.col("p.terms").alias("term"), F.col("p.sizes").alias("df"))
+        frequency = sizes.join(bounded_broadcast(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
         idf = F.log(1 + (F.lit(corpus["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        blocks = max(1, -(-questions.count() // block))
-        weighed = asked.join(frequency, "term").select("query_id", "term", idf.alias("idf"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
-        hidden = self.dead(state)
+        many = asked.agg(F.count_distinct("query_id").alias("n"), F.count("*").alias("terms")).first()
+        blocks = max(1, -(-many["n"] // block), -(-many["terms"] // TERMS))
+        hidden = self.dead(state) if state.dead else None
         if among is not None:
-            hidden = hidden.unionByName(live.join(among.select(F.col(self.key).alias("key")), "key", "left_anti").select("segment", "shard", "slot"))
-        # A term's row takes a block's questions along: one row for each shard, block and term.
-        asks = weighed.groupBy("term", "block").agg(F.collect_list(F.struct("query_id", "idf")).alias("asks"))
-        cells = met.join(asks, "term").select("segment", "shard", "block", "term", "slots", "tfs", "dls", "asks")
-        if state.dead or among is not None:
-            null = lambda c: F.lit(None).cast(cells.schema[c].dataType).alias(c)
-            masks = hidden.groupBy("segment", "shard").agg(F.collect_set("slot").alias("slots"))
-            cells = cells.unionByName(masks.select("segment", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), null("term"), "slots", null("tfs"), null("dls"), null("asks")))
-        query_kind = to_arrow_type(questions.schema["query_id"].dataType)
-        top = cells.groupBy("segment", "shard", "block").applyInArrow(_score_cell(limit, float(corpus["mean"] or 1.0), k1, b, query_kind), f"segment string, shard int, query_id {kind}, slot int, score double")
-        named = top.join(live.select("segment", "shard", "slot", "key"), ["segment", "shard", "slot"])
-        ranked = named.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "key"))).where(F.col("rank") <= limit)
+            others = live.join(among.select(F.col(self.key).alias("key")), "key", "left_anti").select("segment", "shard", "slot")
+            hidden = others if hidden is None else hidden.unionByName(others)
+        shards = self.shards(state, hidden)
+        cells = max(1, min(shards.select("shard").count(), CELLS * self.spark.sparkContext.defaultParallelism))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        weighed = asked.join(frequency, "term").groupBy("query_id").agg(F.collect_set(F.struct("term", idf.alias("idf"))).alias("x"))
+        asks = weighed.select((F.pmod(F.xxhash64("query_id"), F.lit(blocks)) * cells).cast("int").alias("first"), "query_id", F.col("x.term").alias("terms"), F.col("x.idf").alias("idfs"), every(cells).alias("own"))
+        own = F.pmod(F.col("shard") + F.pmod(F.crc32("segment"), F.lit(cells)).cast("int"), F.lit(cells))
+        placed = shards.drop("hashes").select("*", own.alias("own"), every(blocks).alias("of")).withColumn("cell", (F.col("of") * cells + F.col("own")).cast("int")).drop("segment", "shard", "own", "of")
+        rows = asks.withColumn("cell", F.col("first") + F.col("own")).drop("first", "own").withColumn("is_shard", F.lit(False)).unionByName(placed.withColumn("is_shard", F.lit(True)), allowMissingColumns=True)
+        kinds = {"query_id": questions.schema["query_id"].dataType, "key": live.schema["key"].dataType}
+        dealt = rows.repartitionById(blocks * cells, F.col("cell")).sortWithinPartitions("cell", "is_shard")
+        top = dealt.mapInArrow(_scorer(limit, float(corpus["mean"] or 1.0), k1, b, *map(to_arrow_type, kinds.values())), f"query_id {kind}, key {kinds['key'].simpleString()}, score double")
+        ranked = top.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "key"))).where(F.col("rank") <= limit)
         return ranked.select("query_id", "rank", F.col("key").alias(self.key), "score")

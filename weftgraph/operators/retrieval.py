@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -187,22 +188,49 @@ def search_many(pages: DataFrame, questions: DataFrame, limit: int = 5, key: str
 
 
 def _nearest(least: float, limit: int):
+    """Two blocks of vectors of one length: the nearest of each question. PAIRS are multiplied at a time, in float32; what may be among the best is summed again as ``cosine`` does."""
+
+    def matrix(t: pa.Table) -> np.ndarray:
+        return t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
+
     def compare(q: pa.Table, v: pa.Table) -> pa.Table:
-        made: list[tuple] = []
+        ids, keys = q.column("query_id").combine_chunks(), v.column("key").combine_chunks()
+        found_i, found_j, found_c = [], [], []
         if q.num_rows and v.num_rows:
-            a, b = (np.array(t.column("v").to_pylist(), np.float64) for t in (q, v))
-            inner, na, nb = np.zeros((len(a), len(b))), np.zeros(len(a)), np.zeros(len(b))
+            a, b = matrix(q), matrix(v)
+            na, nb = np.zeros(len(a)), np.zeros(len(b))
             for d in range(a.shape[1]):  # element by element, as ``cosine`` sums
-                inner += np.multiply.outer(a[:, d], b[:, d])
                 na, nb = na + a[:, d] * a[:, d], nb + b[:, d] * b[:, d]
-            size = np.multiply.outer(np.sqrt(na), np.sqrt(nb))
-            near = np.divide(inner, size, out=np.zeros_like(inner), where=size > 0)
-            ids, keys = q.column("query_id").to_pylist(), v.column("key").to_pylist()
-            for i, row in enumerate(near):
-                at = np.flatnonzero(row >= least)
-                made += [(ids[i], keys[j], float(row[j])) for j in sorted(at.tolist(), key=lambda j: (-row[j], keys[j]))[:limit]]
-        kinds = (q.schema.field("query_id").type, v.schema.field("key").type, pa.float64())
-        return pa.table([pa.array([r[i] for r in made], t) for i, t in enumerate(kinds)], names=["query_id", "key", "score"])
+            na, nb = np.sqrt(na), np.sqrt(nb)
+            with np.errstate(invalid="ignore"):
+                ua, ub = ((x / np.where(n > 0, n, 1.0)[:, None]).astype(np.float32) for x, n in ((a, na), (b, nb)))
+            by_key, rank = pc.sort_indices(keys).to_numpy(), np.empty(len(b), np.int64)
+            rank[by_key] = np.arange(len(b))
+            slack = 1e-6 + 2.4e-7 * a.shape[1]  # float32 is off by less
+            step = max(1, PAIRS // len(b))
+            for at in range(0, len(a), step):
+                with np.errstate(invalid="ignore"):
+                    near = ua[at : at + step] @ ub.T
+                near[np.isnan(near)] = -2.0
+                enough = np.full(len(near), least) if len(b) <= limit else np.maximum(least, np.partition(near, len(b) - limit, axis=1)[:, len(b) - limit] - slack)
+                i, j = np.nonzero(near >= (enough - slack)[:, None])
+                i += at
+                c = np.zeros(len(i))
+                for d in range(a.shape[1]):
+                    c += a[i, d] * b[j, d]
+                size = na[i] * nb[j]
+                c = np.divide(c, size, out=np.zeros_like(c), where=size > 0)
+                close = np.flatnonzero(c >= least)
+                i, j, c = i[close], j[close], c[close]
+                order = np.lexsort([rank[j], -c, i])
+                i, j, c = i[order], j[order], c[order]
+                begin = np.flatnonzero(np.append(True, i[1:] != i[:-1])[: len(i)])
+                kept = np.arange(len(i)) - np.repeat(begin, np.diff(np.append(begin, len(i)))) < limit
+                found_i.append(i[kept])
+                found_j.append(j[kept])
+                found_c.append(c[kept])
+        join = lambda parts, kind: pa.array(np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind))
+        return pa.table([ids.take(join(found_i, np.int64)), keys.take(join(found_j, np.int64)), join(found_c, np.float64)], names=["query_id", "key", "score"])
 
     return compare
 

@@ -48,7 +48,10 @@ UNITS = (
 NUMBER_WORDS = (
     "zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million|billion|dozen"
 )
-NUMBER = rf"(?:[0-9](?<![\p{{L}}\p{{N}}].)[0-9]*(?:[.,:/][0-9]+)*|(?<![\p{{L}}\p{{N}}])(?i:{NUMBER_WORDS})(?![\p{{L}}\p{{N}}]))"
+# Digits, or a number in words by its first letter, behind no letter or digit: most places fail at one look.
+_BY_LETTER = {w[0]: "|".join(x[1:] for x in NUMBER_WORDS.split("|") if x[0] == w[0]) for w in NUMBER_WORDS.split("|")}
+_WORDS = "|".join(f"(?<=[{c}{c.upper()}])(?i:{rest})" for c, rest in _BY_LETTER.items())
+NUMBER = rf"[0-9{''.join(c + c.upper() for c in _BY_LETTER)}](?<![\p{{L}}\p{{N}}].)(?:(?<=[0-9])[0-9]*(?:[.,:/][0-9]+)*|(?:{_WORDS})(?![\p{{L}}\p{{N}}]))"
 NAME = r"\p{Lu}(?<=[\p{Ll},;:] .)\p{Ll}[\p{L}'-]*(?![\p{L}\p{N}])"
 # Any capitalised word, wherever it stands.
 CAPITALISED = r"\p{Lu}(?<![\p{L}\p{N}].)\p{Ll}[\p{L}'-]*(?![\p{L}\p{N}])"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,34 +31,44 @@ def supersede(pages: DataFrame, pairs: DataFrame) -> DataFrame:
 def group_sessions(pages: DataFrame, key: str, window_hours: float = 24.0, ratio: float = 0.3) -> DataFrame:
     """(key, id, group_no): pages(key, id, at, marks array) of one key, in order of time, join the first group that is recent enough and shares enough marks; a group's marks grow.
 
-    Rows are first cut at gaps longer than the window: no group spans one, so a
-    key's pages are folded stretch by stretch.
+    Rows are cut at gaps longer than the window (stretch): no group spans one. A
+    key's rows pass in order of time through one task, which keeps only the groups
+    that are still recent enough: what it holds and does for a row does not grow
+    with the rows of a key or with the number of keys.
     """
-    from pyspark.sql.window import Window
-
-    by = Window.partitionBy(key).orderBy("at", "id")
-    gap = F.unix_micros("at") - F.unix_micros(F.lag("at").over(by)) > window_hours * 3.6e9
-    cut = pages.where("at is not null").withColumn("stretch", F.sum(F.when(gap, 1).otherwise(0)).over(by))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list] = []
-        numbers = []
-        rows = rows.sort_values(["at", "id"], kind="stable")
-        for at, marks in zip(rows["at"], rows["marks"], strict=True):
-            own = set(marks)
-            for n, (latest, seen) in enumerate(groups):
-                union = len(own | seen)
-                if (at - latest).total_seconds() <= window_hours * 3600 and union and len(own & seen) / union >= ratio:
-                    groups[n] = [max(at, latest), seen | own]
-                    break
-            else:
-                n = len(groups)
-                groups.append([at, own])
-            numbers.append(n)
-        return pd.DataFrame({key: rows[key], "id": rows["id"], "stretch": rows["stretch"], "group_no": numbers})
-
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
-    return cut.groupBy(key, "stretch").applyInPandas(fold, f"`{key}` {kinds[key]}, id {kinds['id']}, stretch long, group_no long")
+    window = window_hours * 3.6e9
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, now, latest, stretch, count, recent = False, None, 0, 0, 0, []
+        for batch in batches:
+            stretches, numbers = [], []
+            for own_key, at, marks in zip(*(batch.column(c).to_pylist() for c in ("_key", "at", "marks")), strict=True):
+                if not begun or own_key != now:
+                    begun, now, stretch, count, recent = True, own_key, 0, 0, []
+                elif at - latest > window:
+                    stretch, count, recent = stretch + 1, 0, []
+                latest, own = at, set(marks or ())
+                recent = [g for g in recent if at - g[1] <= window]
+                for g in recent:
+                    both = len(own & g[2])
+                    union = len(own) + len(g[2]) - both
+                    if union and both / union >= ratio:
+                        g[1] = at
+                        g[2] |= own
+                        number = g[0]
+                        break
+                else:
+                    number = count
+                    recent.append([number, at, own])
+                    count += 1
+                stretches.append(stretch)
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), pa.array(stretches, pa.int64()), pa.array(numbers, pa.int64())], [key, "id", "stretch", "group_no"])
+
+    rows = pages.where("at is not null").select(F.col(key).alias("key"), F.col(key).cast("string").alias("_key"), "id", F.unix_micros("at").alias("at"), "marks")
+    dealt = rows.repartition("key").sortWithinPartitions("key", "at", "id")
+    return dealt.mapInArrow(fold, f"`{key}` {kinds[key]}, id {kinds['id']}, stretch long, group_no long")
 
 
 def episodes(grouped: DataFrame, key: str, least: int = 3) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import datetime
 import random
 
+from weftgraph.operators import graph as G
 from weftgraph.operators import lifecycle as L
+from weftgraph.session import narrow_side
 
 
 def plan(df) -> str:
@@ -32,3 +34,17 @@ def test_growing_groups_equal_a_plain_loop_and_pass_in_a_stream(spark):
     found = L.group_sessions(spark.createDataFrame(rows, "k string, id long, at timestamp, marks array<string>"), "k")
     assert {tuple(r) for r in found.select("k", "id", "stretch", "group_no").collect()} == expected
     assert "FlatMapGroups" not in plan(found)  # before: a call for each stretch of each key
+
+
+def test_ends_of_links_are_looked_up_without_a_sort(spark):
+    nodes, edges = spark.createDataFrame([("a",), ("b",), ("b",)], "id string"), spark.createDataFrame([("1", "a", "b"), ("2", "a", "x"), ("3", "x", "b"), ("4", "b", "b"), ("5", None, "b")], "id string, source string, target string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = G.prune_dangling(nodes, edges)
+        assert sorted(r["id"] for r in kept.collect()) == ["1", "4"]
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+        many = edges.join(narrow_side(nodes.select(nodes["id"].alias("source")).distinct(), rows=1), "source", "left_semi")
+        assert "ShuffledHashJoin" in many._jdf.queryExecution().executedPlan().toString() and many.count() == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

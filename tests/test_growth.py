@@ -48,3 +48,12 @@ def test_ends_of_links_are_looked_up_without_a_sort(spark):
         assert "ShuffledHashJoin" in many._jdf.queryExecution().executedPlan().toString() and many.count() == 3
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_merged_edges_move_only_where_an_id_is_repeated(spark):
+    nodes = spark.createDataFrame([("a",), ("b",)], "id string")
+    edges = lambda *rows: spark.createDataFrame(list(rows), "id string, source string, target string, relation string")
+    apart = G.merge({"l": G.Graph(nodes, edges(("1", "a", "b", "x"))), "r": G.Graph(nodes, edges(("1", "a", "b", "y")))}).edges
+    assert sorted(tuple(r) for r in apart.collect()) == [("l:1", "l:a", "l:b", "x"), ("r:1", "r:a", "r:b", "y")] and "Window" not in plan(apart)  # before: every edge was shuffled and ranked
+    met = G.merge({"l": G.Graph(nodes, edges(("r:1", "a", "b", "x"), ("2", "a", "b", "x"), (None, "a", "b", "x"))), "l:r": G.Graph(nodes, edges(("1", "a", "b", "y"), ("2", "a", "a", "z"), (None, "a", "b", "y")))}).edges
+    assert sorted(((r["id"], r["relation"]) for r in met.collect()), key=str) == [("l:2", "x"), ("l:r:1", "x"), ("l:r:2", "z"), (None, "x")]

@@ -7,6 +7,7 @@ import random
 
 from weftgraph.operators import graph as G
 from weftgraph.operators import lifecycle as L
+from weftgraph.operators import reports as R
 from weftgraph.session import narrow_side
 
 
@@ -57,3 +58,10 @@ def test_merged_edges_move_only_where_an_id_is_repeated(spark):
     assert sorted(tuple(r) for r in apart.collect()) == [("l:1", "l:a", "l:b", "x"), ("r:1", "r:a", "r:b", "y")] and "Window" not in plan(apart)  # before: every edge was shuffled and ranked
     met = G.merge({"l": G.Graph(nodes, edges(("r:1", "a", "b", "x"), ("2", "a", "b", "x"), (None, "a", "b", "x"))), "l:r": G.Graph(nodes, edges(("1", "a", "b", "y"), ("2", "a", "a", "z"), (None, "a", "b", "y")))}).edges
     assert sorted(((r["id"], r["relation"]) for r in met.collect()), key=str) == [("l:2", "x"), ("l:r:1", "x"), ("l:r:2", "z"), (None, "x")]
+
+
+def test_community_view_counts_links_of_its_own_nodes(spark):
+    nodes = spark.createDataFrame([("a", "module", "x", "p"), ("b", "module", "x", "q"), ("c", "module", "y", "p"), ("d", "symbol", "x", None)], "id string, type string, community_id string, page_id string")
+    edges = spark.createDataFrame([("1", "a", "b"), ("2", "b", "a"), ("3", "c", "a"), ("4", "b", "b")], "id string, source string, target string")
+    view = R.community_view(nodes, edges, "x")  # before: the caller had to count the links of all nodes
+    assert sorted((r["part"], r["rank"], r["id"]) for r in view.collect()) == [("edge", 1, "1"), ("edge", 2, "2"), ("edge", 3, "4"), ("node", 1, "a"), ("node", 2, "b"), ("node", 3, "d"), ("page", 1, "p"), ("page", 2, "q")]

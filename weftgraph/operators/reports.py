@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftgraph.operators.metrics import degrees
+from weftgraph.session import narrow_side
+
 
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
@@ -65,10 +68,13 @@ def top_surprising(edges: DataFrame, scores: DataFrame, nodes: DataFrame, limit:
 
 
 def community_view(nodes: DataFrame, edges: DataFrame, community: str, limit: int = 50) -> DataFrame:
-    """(part, rank, id) of one community: its nodes by falling degree, the pages they have, the links inside it. nodes(id, community_id, degree, page_id)."""
+    """(part, rank, id) of one community: its nodes by falling degree, the pages they have, the links inside it. nodes(id, type, community_id, page_id). Only links that touch the community are moved."""
     own = nodes.where(F.col("community_id") == community)
-    inner = edges.join(own.select(F.col("id").alias("source")), "source", "left_semi").join(own.select(F.col("id").alias("target")), "target", "left_semi")
-    parts = {"node": placed(own.select("id", "degree"), limit, F.desc("degree"), "id"), "page": placed(own.where("page_id is not null").select(F.col("page_id").alias("id")).distinct(), limit, "id"), "edge": placed(inner.select("id"), limit, "id")}
+    ids = narrow_side(own.select("id"))
+    at = lambda end: ids.withColumnRenamed("id", end)
+    near = edges.join(at("source"), "source", "left_semi").select(F.col("source").alias("id"), F.col("target").alias("neighbor")).union(edges.join(at("target"), "target", "left_semi").select("target", "source")).distinct()
+    inner = edges.join(at("source"), "source", "left_semi").join(at("target"), "target", "left_semi")
+    parts = {"node": placed(degrees(own, near), limit, F.desc("degree"), "id"), "page": placed(own.where("page_id is not null").select(F.col("page_id").alias("id")).distinct(), limit, "id"), "edge": placed(inner.select("id"), limit, "id")}
     return _union([df.select(F.lit(name).alias("part"), "rank", "id") for name, df in parts.items()])
 
 

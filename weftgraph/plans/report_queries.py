@@ -76,9 +76,8 @@ def suggested_questions(spark, d):
 x AS (SELECT 'node' AS part, row_number() OVER (ORDER BY degree DESC, id) AS rank, id FROM m UNION ALL SELECT 'page', row_number() OVER (ORDER BY page_id), page_id FROM (SELECT DISTINCT page_id FROM nodes WHERE home = 'nation:1' AND page_id IS NOT NULL)
 UNION ALL SELECT 'edge', row_number() OVER (ORDER BY id), id FROM edges WHERE source IN (SELECT id FROM m) AND target IN (SELECT id FROM m)) SELECT part, rank::BIGINT AS rank, id FROM x WHERE rank <= 50""")
 def community_view(spark, d):
-    g, degree, _ = _measured(spark, d)
-    nodes = g.nodes.select("id", F.col("home").alias("community_id"), "page_id").join(degree.select("id", "degree"), "id")
-    return R.community_view(nodes, g.edges, "nation:1").withColumn("rank", F.col("rank").cast("long"))
+    g = graph(spark, d)
+    return R.community_view(g.nodes.select("id", "type", F.col("home").alias("community_id"), "page_id"), g.edges, "nation:1").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("""SELECT board, rank::BIGINT AS rank, id FROM (SELECT 'timeline' AS board, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS rank, o_orderkey AS id, 25 AS most FROM orders UNION ALL SELECT 'recent', row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey), o_orderkey, 20 FROM orders

@@ -8,6 +8,8 @@ import random
 from weftgraph.operators import graph as G
 from weftgraph.operators import lifecycle as L
 from weftgraph.operators import reports as R
+from weftgraph.operators import retrieval as S
+from weftgraph.plans import registry
 from weftgraph.session import narrow_side
 
 
@@ -65,3 +67,10 @@ def test_community_view_counts_links_of_its_own_nodes(spark):
     edges = spark.createDataFrame([("1", "a", "b"), ("2", "b", "a"), ("3", "c", "a"), ("4", "b", "b")], "id string, source string, target string")
     view = R.community_view(nodes, edges, "x")  # before: the caller had to count the links of all nodes
     assert sorted((r["part"], r["rank"], r["id"]) for r in view.collect()) == [("edge", 1, "1"), ("edge", 2, "2"), ("edge", 3, "4"), ("node", 1, "a"), ("node", 2, "b"), ("node", 3, "d"), ("page", 1, "p"), ("page", 2, "q")]
+
+
+def test_related_outputs_gather_nothing_by_order(spark, sf_dir):
+    targets = spark.createDataFrame([("p", ["n", "n"], ["s"])], "id string, node_ids array<string>, source_ids array<string>")
+    outputs = spark.createDataFrame([("a", None, ["n", "n"], None), ("a", ["p"], None, None), ("b", None, None, ["s"]), ("b", None, ["n"], None), ("c", [], ["x"], ["s"])], "id string, related_page_ids array<string>, related_node_ids array<string>, related_source_ids array<string>")
+    assert sorted(tuple(r) for r in S.related_outputs(targets, outputs).collect()) == [("p", "a", 3), ("p", "b", 2), ("p", "c", 1)]
+    assert "collect_set" not in plan(registry.QUERIES["related_outputs"](spark, sf_dir))  # before: keys gathered by order, then taken apart again

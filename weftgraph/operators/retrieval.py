@@ -277,7 +277,7 @@ def answers(quoted: DataFrame, question: DataFrame, key: str = "doc_id") -> Data
 def related_outputs(targets: DataFrame, outputs: DataFrame) -> DataFrame:
     """(target, output, rank): outputs (id, title, related_page_ids, related_node_ids, related_source_ids) that name the target page (3), share a node (2) or a source (1) with targets (id, node_ids, source_ids); the highest counts."""
     by = lambda target, output, rank: target.join(output, "k").select("target", "output", F.lit(rank).alias("rank"))
-    one = lambda df, name, c: df.select(F.col("id").alias(name), F.explode(c).alias("k")).distinct()
+    one = lambda df, name, c: df.select(F.col("id").alias(name), F.explode(F.array_distinct(c)).alias("k"))  # rows of one id may repeat a key: the highest rank is the same
     met = by(targets.select(F.col("id").alias("target"), F.col("id").alias("k")), one(outputs, "output", "related_page_ids"), 3)
     met = met.unionByName(by(one(targets, "target", "node_ids"), one(outputs, "output", "related_node_ids"), 2)).unionByName(by(one(targets, "target", "source_ids"), one(outputs, "output", "related_source_ids"), 1))
     return met.groupBy("target", "output").agg(F.max("rank").alias("rank"))

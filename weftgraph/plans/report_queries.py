@@ -261,8 +261,11 @@ def question_answers(spark, d):
 @query("""WITH o AS (SELECT o_orderkey AS id, o_custkey AS cust FROM orders), l AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS part, l_suppkey AS supp FROM lineitem), t AS (SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING'),
 x AS (SELECT t.id AS target, o.id AS output, 3 AS rank FROM t JOIN o ON o.cust = t.id UNION ALL SELECT t.id, l.id, 2 FROM t JOIN l ON l.part = t.id UNION ALL SELECT t.id, l.id, 1 FROM t JOIN l ON l.supp = t.id) SELECT target, output, max(rank)::BIGINT AS rank FROM x GROUP BY ALL""")
 def related_outputs(spark, d):
-    l = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_partkey").alias("related_node_ids"), F.collect_set("l_suppkey").alias("related_source_ids"))
-    outputs = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.array("o_custkey").alias("related_page_ids")).join(l, "id", "left")
+    none = F.lit(None).cast("array<long>")
+    key = lambda c: F.array(F.col(c).cast("long"))
+    # An output's keys come in several rows: nothing is gathered by order first.
+    pages = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), key("o_custkey").alias("related_page_ids"), none.alias("related_node_ids"), none.alias("related_source_ids"))
+    outputs = pages.unionByName(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), none.alias("related_page_ids"), key("l_partkey").alias("related_node_ids"), key("l_suppkey").alias("related_source_ids")))
     targets = read(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"), F.array("c_custkey").alias("node_ids"), F.array("c_custkey").alias("source_ids"))
     return S.related_outputs(targets, outputs).withColumn("rank", F.col("rank").cast("long"))
 

@@ -7,6 +7,7 @@ import random
 
 from weftgraph.operators import graph as G
 from weftgraph.operators import lifecycle as L
+from weftgraph.operators import metrics as M
 from weftgraph.operators import reports as R
 from weftgraph.operators import retrieval as S
 from weftgraph.plans import registry
@@ -74,3 +75,13 @@ def test_related_outputs_gather_nothing_by_order(spark, sf_dir):
     outputs = spark.createDataFrame([("a", None, ["n", "n"], None), ("a", ["p"], None, None), ("b", None, None, ["s"]), ("b", None, ["n"], None), ("c", [], ["x"], ["s"])], "id string, related_page_ids array<string>, related_node_ids array<string>, related_source_ids array<string>")
     assert sorted(tuple(r) for r in S.related_outputs(targets, outputs).collect()) == [("p", "a", 3), ("p", "b", 2), ("p", "c", 1)]
     assert "collect_set" not in plan(registry.QUERIES["related_outputs"](spark, sf_dir))  # before: keys gathered by order, then taken apart again
+
+
+def test_bridges_need_no_distinct_pairs(spark):
+    nodes = spark.createDataFrame([(i, "source" if i == "s" else "module") for i in "sabcdefg"], "id string, type string")
+    edges = spark.createDataFrame([("s", "a"), ("s", "a"), ("s", "b"), ("a", "c"), ("c", "d"), ("a", "b"), ("e", "g"), ("a", "f"), ("f", "g")], "source string, target string")
+    home = spark.createDataFrame([("s", "z"), ("a", "x"), ("b", "y"), ("c", "x"), ("g", "w")], "id string, community_id string")
+    found = {r["id"]: r["bridge_score"] for r in M.bridge_scores(nodes, M.both_ways(edges), home).collect()}
+    assert found == {r["id"]: r["bridge_score"] for r in M.bridge_scores(nodes, M.adjacency(nodes, edges), home).collect()} == {"s": 2, "a": 2, "b": 1, "c": 0, "d": 0, "e": 0, "f": 1, "g": 0}
+    shuffles = M.bridge_scores(nodes, M.both_ways(edges), home)._jdf.queryExecution().executedPlan().toString()
+    assert "neighbor" not in "".join(line for line in shuffles.splitlines() if "HashAggregate" in line)  # before: pairs were made distinct and moved twice more

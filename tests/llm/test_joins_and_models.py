@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 import xxhash
@@ -174,6 +175,31 @@ def test_search_edges(spark):
     assert {r["query_id"] for r in op8_topk_search.top_k(named, named, k=2).collect()} == {"d3", "d4", "d5"}
 
 
+def test_search_holds_one_shard_at_a_time(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    monkeypatch.setattr(op8_topk_search, "SHARD_DOCS", 10)
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in op8_topk_search.build_index(docs).inputFiles()]
+    assert sum(f.num_row_groups for f in files) == sum(f.num_rows for f in files) >= docs.count() // 10
+    before, searcher, limit = op8_topk_search.top_k(docs, docs.where("doc_id % 20 = 0")).collect(), op8_topk_search._searcher, spark.conf.get(name)
+
+    def checked(*args):
+        search = searcher(*args)
+
+        def single(batches):
+            for batch in batches:
+                if batch.num_rows > 1:
+                    raise ValueError(f"{batch.num_rows} shards at once")
+                yield batch
+
+        return lambda batches: search(single(batches))
+
+    monkeypatch.setattr(op8_topk_search, "_searcher", checked)
+    monkeypatch.setattr(op8_topk_search, "dealt", lambda index, tasks: index.repartition(1))  # as where a task gets many shards
+    after = op8_topk_search.top_k(docs, docs.where("doc_id % 20 = 0")).collect()
+    assert sorted(after) == sorted(before) and before and spark.conf.get(name) == limit
+
+
 def test_search_skips_blocks_and_keeps_the_best():
     rng = np.random.default_rng(5)
     texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, rng.integers(1, 60)) if x < 400) for _ in range(1_500)]

@@ -1,7 +1,8 @@
 """Exact BM25 top-k: sharded inverted index, block-max WAND, exact merge.
 
 Tasks turn their documents into index shards, kept as a table with one row a
-shard. Inside a shard documents are ordered by their most frequent word and
+shard, each a row group of its own, and searched in Arrow batches of one row:
+whatever number of shards a task gets, it holds one at a time. Inside a shard documents are ordered by their most frequent word and
 length, so that a block of ``BLOCK`` neighbours is alike and its maxima are
 tight; lists hold (document, term frequency) in that order. Document frequencies
 and the mean length are summed over all shards, so every shard scores with
@@ -45,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftgraph.llm.common import bounded_batches, written
+from weftgraph.llm.common import batches_of, bounded_batches, written
 
 K1, B, TOP = 1.2, 0.75, 10
 BLOCK = 64
@@ -138,7 +139,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return written(rows.mapInArrow(build, f"shard long, n long, total long, keys array<{kind}>, terms array<binary>, df array<bigint>, length binary, doc binary, tf binary"), "index")
+    return written(rows.mapInArrow(build, f"shard long, n long, total long, keys array<{kind}>, terms array<binary>, df array<bigint>, length binary, doc binary, tf binary"), "index", **{"parquet.block.row.count.limit": 1})
 
 
 class Shard:
@@ -292,10 +293,12 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP, key: str = "doc_id"
     for b in range(blocks):
         own = plan.where(F.pmod(F.xxhash64("query_id", "row"), F.lit(blocks)) == b).toArrow()  # about query_terms terms
         block = spark.sparkContext.broadcast(_queries(own))
-        parts.append(written(first.mapInArrow(_searcher(block, None, mean, k), kinds), "found"))
+        with batches_of(spark, 1):
+            parts.append(written(first.mapInArrow(_searcher(block, None, mean, k), kinds), "found"))
         reached = parts[-1].groupBy("row").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).where(F.size("s") >= k).select("row", F.element_at("s", k).alias("least"))
         least = spark.sparkContext.broadcast({r["row"]: r["least"] for r in reached.collect()})  # one for each query of the block
-        parts.append(written(rest.mapInArrow(_searcher(block, least, mean, k), kinds), "found"))
+        with batches_of(spark, 1):
+            parts.append(written(rest.mapInArrow(_searcher(block, least, mean, k), kinds), "found"))
         for gone in (block, least):
             gone.destroy()
     found = parts[0]

@@ -397,3 +397,19 @@ def test_leaks_in_other_case_and_with_names_first(spark):
     docs = spark.createDataFrame([(1, ITEM.lower()), (2, ITEM.upper()), (3, copy), (5, "Tom buys 3 pears. Tom sleeps")], "doc_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["kind"] for r in op1_decontaminate.contaminations(docs, bench).collect()}
     assert got == {(1, 1): "exact", (2, 1): "exact", (3, 2): "reparameterised"}
+
+
+def test_decontamination_of_a_text_full_of_passages(spark):
+    """Each place of a passage was a row with the whole text and its words, all of them held at once: more than a heap of 8 GB here."""
+    item = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40))
+    docs = spark.createDataFrame([(1, " ".join([item] * 500)), (2, "nothing of it")], "doc_id long, text string")
+    rows = op1_decontaminate.contaminations(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["coverage"], r["kind"], r["first_word"]) for r in rows] == [(1, 7, 1.0, "exact", 0)]
+
+
+def test_decontamination_of_a_number_in_thousands_of_parts(spark):
+    """One repeat of the pattern's group was one frame of the stack."""
+    item = "Ann has 12 apples and gives 3,5 of them to Bob , who gives 4 back to Ann before they go home"
+    docs = spark.createDataFrame([(1, "1,22.3:4/" * 30_000 + "5 " + item)], "doc_id long, text string")
+    rows = op1_decontaminate.contaminations(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["coverage"], r["kind"]) for r in rows] == [(1, 7, 1.0, "exact")]

@@ -48,10 +48,10 @@ UNITS = (
 NUMBER_WORDS = (
     "zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million|billion|dozen"
 )
-# Digits, or a number in words by its first letter, behind no letter or digit: most places fail at one look.
+# Digits, or a number in words by its first letter, behind no letter or digit: most places fail at one look. Groups repeat possessively: else each repeat takes a frame of the stack, which some thousands of parts overflow.
 _BY_LETTER = {w[0]: "|".join(x[1:] for x in NUMBER_WORDS.split("|") if x[0] == w[0]) for w in NUMBER_WORDS.split("|")}
 _WORDS = "|".join(f"(?<=[{c}{c.upper()}])(?i:{rest})" for c, rest in _BY_LETTER.items())
-NUMBER = rf"[0-9{''.join(c + c.upper() for c in _BY_LETTER)}](?<![\p{{L}}\p{{N}}].)(?:(?<=[0-9])[0-9]*(?:[.,:/][0-9]+)*|(?:{_WORDS})(?![\p{{L}}\p{{N}}]))"
+NUMBER = rf"[0-9{''.join(c + c.upper() for c in _BY_LETTER)}](?<![\p{{L}}\p{{N}}].)(?:(?<=[0-9])[0-9]*(?:[.,:/][0-9]+)*+|(?:{_WORDS})(?![\p{{L}}\p{{N}}]))"
 NAME = r"\p{Lu}(?<=[\p{Ll},;:] .)\p{Ll}[\p{L}'-]*(?![\p{L}\p{N}])"
 # Any capitalised word, wherever it stands.
 CAPITALISED = r"\p{Lu}(?<![\p{L}\p{N}].)\p{Ll}[\p{L}'-]*(?![\p{L}\p{N}])"
@@ -70,8 +70,9 @@ def template(text: Column, name: str | None = NAME) -> Column:
     return F.lower(F.regexp_replace(measured, NUMBER, f" {NUMBER_MARK} "))
 
 
-def is_mark(word: Column) -> Column:
-    return word.isin(NUMBER_MARK, NAME_MARK, UNIT_MARK)
+def marks(words: Column) -> Column:
+    """How many of the words are placeholders."""
+    return F.size(words) - F.size(F.array_remove(F.array_remove(F.array_remove(words, NUMBER_MARK), NAME_MARK), UNIT_MARK))
 
 
 def template_words(df: DataFrame, name: str | None = NAME) -> DataFrame:
@@ -91,8 +92,8 @@ def window_slots(k: int, name: str | None = NAME) -> Column:
     if name is None:
         return F.array().cast("array<string>")
     slot = rf"({name}|{UNIT}|{NUMBER})"
-    before = F.size(F.filter(F.slice("words", 1, F.col("pos")), is_mark))
-    inside = F.size(F.filter(F.slice("words", F.col("pos") + 1, k), is_mark))
+    before = marks(F.slice("words", 1, F.col("pos")))
+    inside = marks(F.slice("words", F.col("pos") + 1, k))
     return F.when(inside > 0, F.slice(F.regexp_extract_all("text", F.lit(slot), F.lit(1)), before + 1, inside)).otherwise(F.array().cast("array<string>"))
 
 
@@ -107,15 +108,14 @@ def item_windows(benchmark: DataFrame, k: int, name: str | None = NAME) -> DataF
 
 
 def _hits(texts: DataFrame, grams: DataFrame, size: int, variant: int) -> DataFrame:
-    here = [F.get("words", F.col("pos") + j) for j in range(size)]
-    same = F.lit(True)
-    for j in range(size):
-        same = same & F.get("g_words", F.lit(j)).eqNullSafe(here[j])
-    placed = texts.select("doc_id", "text", "words", F.posexplode_outer("words").alias("pos", "w"))
+    """Places of the benchmark's windows. A generated stage keeps all rows that one text gives before it passes them on, so a row that leaves it has no text and no words: all here is compiled into that stage (no lambda functions)."""
+    here = F.slice("words", F.col("pos") + 1, size)
+    same = (here <= F.col("g_words")) & (here >= F.col("g_words"))  # as equality, the words would be keys of the join, built for every place
+    placed = texts.withColumn("text_key", F.xxhash64("text")).select("doc_id", "text_key", "text", "words", F.posexplode_outer("words").alias("pos", "w"))
     return (
-        placed.join(F.broadcast(grams), F.xxhash64(F.col("w"), *here[1:]) == F.col("g_hash"))
+        placed.join(F.broadcast(grams), F.xxhash64("w", *[F.get("words", F.col("pos") + j) for j in range(1, size)]) == F.col("g_hash"))
         .where(same)
-        .select("doc_id", F.xxhash64("text").alias("text_key"), "item_id", "item_key", "windows", "size", "at", "pos", (F.col("pos") - F.col("at")).alias("diag"), "g_slots", window_slots(size, VARIANTS[variant]).alias("slots"), F.lit(variant).alias("variant"))
+        .select("doc_id", "text_key", "item_id", "item_key", "windows", "size", "at", "pos", (F.col("pos") - F.col("at")).alias("diag"), "g_slots", window_slots(size, VARIANTS[variant]).alias("slots"), F.lit(variant).alias("variant"))
     )
 
 

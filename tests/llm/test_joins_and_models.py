@@ -413,3 +413,10 @@ def test_decontamination_of_a_number_in_thousands_of_parts(spark):
     docs = spark.createDataFrame([(1, "1,22.3:4/" * 30_000 + "5 " + item)], "doc_id long, text string")
     rows = op1_decontaminate.contaminations(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
     assert [(r["doc_id"], r["item_id"], r["coverage"], r["kind"]) for r in rows] == [(1, 7, 1.0, "exact")]
+
+
+def test_decontamination_stage_on_texts_that_ended_executors(spark, tmp_path):
+    item = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40))
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, " ".join([item] * 500)), (2, "nothing of it"), (3, "1,22.3:4/" * 30_000 + "5")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()) == [2, 3]

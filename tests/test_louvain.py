@@ -6,6 +6,7 @@ import itertools
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +154,30 @@ def test_rounds_shuffle_no_links(spark):
     ends = spark.createDataFrame([(k, k % 2) for k in range(4)], "b long, to long")
     ties = links.join(F.broadcast(ends), "b").groupBy("a", "to").agg(F.sum("w").alias("w"))
     assert "Exchange hashpartitioning" not in ties._jdf.queryExecution().executedPlan().toString() and ties.count() == 4
+
+
+def test_blocks_of_arrays_give_what_joins_give(spark, monkeypatch):
+    """Two scopes, contracted levels and a node alone: rounds over blocks name the same communities as rounds of joins, in the same steps."""
+    draw = random.Random(11)
+    pairs = {tuple(sorted(draw.sample(range(at, at + 12), 2))) for at in (0, 12, 30, 42) for _ in range(40)} | {tuple(sorted(draw.sample(range(at, at + 24), 2))) for at in (0, 30) for _ in range(8)}
+    links = spark.createDataFrame([(*p, 1.0) for a, b in sorted(pairs) for p in ((a, b), (b, a))], "a long, b long, w double")
+    ids = spark.createDataFrame([("x" if i < 25 else "y", i) for i in range(56)], "scope string, id long")
+    monkeypatch.setattr(L, "BLOCK_LINKS", 100)
+    assert L._blocks(links, np.ones(56), np.ones(56)).count() > 1
+    found, joined = L.detect(ids, links, 1.0, 4, 2, ranked=56), L._detect_joined(ids, links, 1.0, 4, 2)
+    rows = lambda df: sorted(tuple(r) for r in df.members.select("scope", "id", "community").collect())
+    assert rows(found) == rows(joined) and len(rows(found)) == 56
+    assert found.modularity == pytest.approx(joined.modularity, abs=1e-9)
+
+
+def test_movers_are_drawn_by_the_same_hash(spark):
+    at = np.array([0, 1, 77, 2**31, 2**40 + 5])
+    want = [r[0] % 2**64 for r in spark.createDataFrame([(int(x),) for x in at], "n long").select(F.xxhash64("n", F.lit(2_003))).collect()]
+    assert L._hashed(at, 2_003).tolist() == want
+
+
+def test_adjacency_is_distinct_both_ways(spark):
+    """Loops once, pairs that come both ways once each way, ends that are null as they are."""
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "a"), ("c", None), (None, "c"), ("b", "d"), ("b", "d")], "source string, target string")
+    found = sorted((tuple(r) for r in M.adjacency(edges, edges).collect()), key=str)
+    assert found == sorted([("a", "b"), ("b", "a"), ("a", "a"), ("c", None), (None, "c"), ("b", "d"), ("d", "b")], key=str)

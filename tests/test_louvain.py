@@ -181,3 +181,16 @@ def test_adjacency_is_distinct_both_ways(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "a"), ("c", None), (None, "c"), ("b", "d"), ("b", "d")], "source string, target string")
     found = sorted((tuple(r) for r in M.adjacency(edges, edges).collect()), key=str)
     assert found == sorted([("a", "b"), ("b", "a"), ("a", "a"), ("c", None), (None, "c"), ("b", "d"), ("d", "b")], key=str)
+
+
+def test_modularity_sends_few_members_to_the_links(spark):
+    """Members of communities go to all tasks, so links are not sorted by either end."""
+    near = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "b")], "id string, neighbor string")
+    members = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "c")], "id string, community_id string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = M.modularity(near, members)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString() and found.first()[0] == pytest.approx(2 / 4 - (3 * 3 + 1) / 16)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

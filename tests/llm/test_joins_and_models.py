@@ -223,6 +223,30 @@ def test_search_skips_blocks_and_keeps_the_best():
     assert shard.read < shard.there
 
 
+@pytest.mark.parametrize("common", [16, 10**9, 0])
+def test_search_of_many_queries_is_that_of_each(common, monkeypatch):
+    """Words in few documents, in many or in all of the matrix, copies whose scores tie, and queries without a word."""
+    monkeypatch.setattr(op8_topk_search, "COMMON", common)
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, rng.integers(1, 60)) if x < 400) for _ in range(300)] * 2
+    terms, term, doc, tf, length = op8_topk_search.counted(texts)
+    df, order = np.bincount(term), np.arange(len(texts))
+    by_list = np.argsort(term * len(texts) + doc)
+    row = {"n": len(texts), "keys": pa.array(order), "terms": terms, "df": pa.array(df), "length": length.astype("<i4").tobytes(), "doc": doc[by_list].astype("<i4").tobytes(), "tf": tf[by_list].astype("<i4").tobytes()}
+    shard, dense = op8_topk_search.Shard(row, terms, length.mean()), np.zeros(len(terms))
+    assert len(shard.matrix) == {16: int((df * 16 >= 600).sum()), 10**9: len(terms), 0: 0}[common]
+    impact = tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length[doc] / length.mean()))
+    own = [np.flatnonzero(doc == q) if q != 7 else np.zeros(0, int) for q in range(40)]
+    weights = [np.log(1 + len(texts) / df[term[x]]) * tf[x] for x in own]
+    found = dict(shard.search_all(np.concatenate([term[x] for x in own]), np.concatenate(weights), np.cumsum([len(x) for x in own]), dense, np.zeros(40), 5))
+    for q in range(40):
+        asked = np.zeros(len(terms))
+        asked[term[own[q]]] = weights[q]
+        scores = [math.fsum((asked[term[doc == d]] * impact[doc == d]).tolist()) for d in range(600)]
+        assert found.get(q, []) == sorted(((s, d) for d, s in enumerate(scores) if s > 0), key=lambda x: (-x[0], x[1]))[:5] == shard.search(term[own[q]], weights[q], dense, 0.0, 5)
+    assert not dense.any()
+
+
 def all_segmentations(text: str, lattice: op10_lattice_lm.Lattice) -> float:
     if not text:
         return 1.0

@@ -8,10 +8,14 @@ tight; lists hold (document, term frequency) in that order. Document frequencies
 and the mean length are summed over all shards, so every shard scores with
 global statistics and its top k merge exactly.
 
-A search moves over a shard's blocks with the cursors of all of the query's
-lists at once. A block's bound is the sum of the maxima that the lists have in
-it; blocks come by falling bound, the cursors skip the postings of every block
-whose bound is under the threshold, and the search ends at the first such block.
+A search moves over a shard with ``BATCH`` queries at once. Words in one of
+``COMMON`` documents or more (``MOST_COMMON`` words at most) stand in a matrix of
+words and documents; the lists of all others are added up posting by posting. A
+block's bound is the largest such sum in it and the maxima that the common words
+have in it; the matrix is multiplied only over blocks whose bound reaches the
+threshold of one of the queries. The product has single precision: all its terms
+are positive, so its error is within a share of the score that is known, and every
+document within that share of the threshold is scored exactly from its postings.
 The threshold is the k-th score so far: of the query's best in this task, and at
 first of its best over one in ``SAMPLE`` of the shards, which are searched first
 (their results count; only the other shards are searched after that).
@@ -52,9 +56,9 @@ K1, B, TOP = 1.2, 0.75, 10
 BLOCK = 64
 SHARD_DOCS, SHARD_CHARS = 16_384, 16_000_000
 CHARS = 2_000_000
-QUERY_TERMS, QUERIES = 1_000_000, 20_000
+QUERY_TERMS, QUERIES = 2_000_000, 20_000
 SAMPLE = 8
-FIRST_BLOCKS = 8
+BATCH, COMMON, MOST_COMMON = 64, 16, 1_024
 MARGIN = 1e-9
 
 _SPLITS = np.ones(256, dtype=bool)
@@ -155,67 +159,69 @@ class Shard:
         tf = np.frombuffer(row["tf"], "<i4")[keep]
         self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc] / mean))
         used, size = own[own >= 0], df[own >= 0]
-        # An entry is the run of one list's postings in one block; a list's entries follow each other.
-        self.blocks = self.n // BLOCK + 1
-        block = self.doc // BLOCK
         term = np.repeat(np.arange(len(used)), size)
-        new = np.ones(len(block), bool)
-        new[1:] = (block[1:] != block[:-1]) | (term[1:] != term[:-1])
-        self.start = np.flatnonzero(new)
-        self.size = np.diff(self.start, append=len(block))
-        self.block, self.most = block[self.start], np.maximum.reduceat(self.impact, self.start) if len(self.start) else np.zeros(0)
-        entries = np.bincount(term[self.start], minlength=len(used))
-        self.begin, self.entries = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64)
-        self.begin[used], self.entries[used] = np.cumsum(entries) - entries, entries
+        # The lists: the run of each word's postings.
+        self.begin, self.size = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64)
+        self.begin[used], self.size[used] = np.cumsum(size) - size, size
+        # The common words as a matrix: word, document; and its maxima: word, block.
+        common = np.argsort(-size, kind="stable")[:MOST_COMMON]
+        common = common[size[common] * COMMON >= self.n]
+        self.slot, row = np.full(len(vocabulary), -1), np.full(len(used), -1)
+        self.slot[used[common]] = row[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), self.n), np.float32)
+        at = row[term]
+        self.matrix[at[at >= 0], self.doc[at >= 0]] = self.impact[at >= 0]
+        self.starts = np.arange(0, self.n, BLOCK)
+        self.most = np.maximum.reduceat(self.matrix, self.starts, axis=1)
+        self.error = (len(common) + 8) * 2.0**-23  # of a sum of positive products in single precision, as a share; twice what is possible
         # The same by document.
         order = np.argsort(self.doc, kind="stable")
         self.by_doc_term, self.by_doc_impact = np.repeat(used, size)[order], self.impact[order]
         self.doc_ends = np.cumsum(np.bincount(self.doc, minlength=self.n))
-        self.read = self.there = 0  # postings read, and those on the lists
+        self.read = self.there = 0  # columns of the matrix multiplied, and those there
 
     def search(self, terms: np.ndarray, weights: np.ndarray, dense: np.ndarray, threshold: float, k: int) -> list[tuple[float, object]]:
-        """(score, key) of the best k that reach the threshold. dense: zeros, one for each word of the vocabulary."""
-        size = self.entries[terms]
-        here = size > 0
-        terms, weights, size = terms[here], weights[here], size[here]
-        if not len(terms):
-            return []
-        at, rate = spans(self.begin[terms], size), np.repeat(weights, size)
-        block = self.block[at]
-        bound = np.bincount(block, self.most[at] * rate, minlength=self.blocks)
-        by_bound = np.argsort(-bound)
-        falling = -bound[by_bound]
-        found, sums, done, step = np.zeros(0, np.int64), np.zeros(0), 0, FIRST_BLOCKS
-        while True:
-            # Blocks that can't reach the threshold are skipped in every list, now and later.
-            stop = min(done + step, int(np.searchsorted(falling, -max(threshold - MARGIN, 1e-300), "right")))
-            if stop <= done:
-                break
-            live = np.zeros(self.blocks, bool)
-            live[by_bound[done:stop]] = True
-            pick = np.flatnonzero(live[block])
-            runs = self.size[at[pick]]
-            posting = spans(self.start[at[pick]], runs)
-            self.read += len(posting)
-            reached = np.bincount(self.doc[posting], self.impact[posting] * np.repeat(rate[pick], runs), minlength=self.n)
-            good = np.flatnonzero((reached >= threshold - MARGIN) & (reached > 0))
-            found, sums = np.concatenate([found, good]), np.concatenate([sums, reached[good]])
-            if len(found) >= k:  # what k others beat by more than rounding can't be among the best
-                threshold = max(threshold, np.partition(sums, -k)[-k])
-                good = sums >= threshold - MARGIN
-                found, sums = found[good], sums[good]
-            done, step = stop, self.blocks
-        self.there += int(self.size[at].sum())
-        if not len(found):
-            return []
-        dense[terms] = weights
-        ends = self.doc_ends[found]
-        size = ends - np.where(found > 0, self.doc_ends[found - 1], 0)
-        at = spans(ends - size, size)
-        parts, stop = (dense[self.by_doc_term[at]] * self.by_doc_impact[at]).tolist(), np.cumsum(size).tolist()
-        dense[terms] = 0.0
-        keys = self.keys.take(pa.array(found)).to_pylist()
-        return best([(math.fsum(parts[b:e]), key) for b, e, key in zip([0, *stop], stop, keys, strict=False)], k)
+        """``search_all`` for one query."""
+        return next((found for _, found in self.search_all(terms, weights, np.array([len(terms)]), dense, np.array([threshold]), k)), [])
+
+    def search_all(self, terms: np.ndarray, weights: np.ndarray, ends: np.ndarray, dense: np.ndarray, threshold: np.ndarray, k: int) -> Iterator[tuple[int, list[tuple[float, object]]]]:
+        """(place, the best k (score, key) that reach its threshold) of the queries, whose terms end at ``ends``. dense: zeros, one for each word of the vocabulary."""
+        count = len(ends)
+        query = np.repeat(np.arange(count), np.diff(ends, prepend=0))
+        slot = self.slot[terms]
+        hot = slot >= 0
+        asked = np.zeros((count, len(self.matrix)), np.float32)
+        asked[query[hot], slot[hot]] = weights[hot]
+        size = np.where(hot, 0, self.size[terms])
+        at = spans(self.begin[terms], size)
+        sums = np.bincount(np.repeat(query * self.n, size) + self.doc[at], np.repeat(weights, size) * self.impact[at], minlength=count * self.n).astype(np.float64, copy=False).reshape(count, self.n)
+        # Blocks that can't reach the threshold of any of the queries are not multiplied.
+        least = np.maximum(threshold - MARGIN, 1e-300) * (1 - 2 * self.error)
+        bound = np.maximum.reduceat(sums, self.starts, axis=1) + asked @ self.most
+        live = (bound >= least[:, None]).any(axis=0)
+        if live.all():
+            sums += asked @ self.matrix
+            places = None
+        else:
+            places = np.flatnonzero(np.repeat(live, BLOCK)[: self.n])
+            sums = sums[:, places] + asked @ self.matrix[:, places]
+        self.read, self.there = self.read + count * sums.shape[1], self.there + count * self.n
+        good = sums >= least[:, None]
+        for q in np.flatnonzero(good.any(axis=1)).tolist():
+            own = np.flatnonzero(good[q])
+            if len(own) > k:  # what k others beat by more than the error can't be among the best
+                reached = sums[q, own]
+                own = own[reached >= (np.partition(reached, -k)[-k] - MARGIN) * (1 - 2 * self.error)]
+            found = own if places is None else places[own]
+            begin, end = ends[q - 1] if q else 0, ends[q]
+            dense[terms[begin:end]] = weights[begin:end]
+            stop = self.doc_ends[found]
+            size = stop - np.where(found > 0, self.doc_ends[found - 1], 0)
+            at = spans(stop - size, size)
+            parts, stop = (dense[self.by_doc_term[at]] * self.by_doc_impact[at]).tolist(), np.cumsum(size).tolist()
+            dense[terms[begin:end]] = 0.0
+            keys = self.keys.take(pa.array(found)).to_pylist()
+            yield q, best([(math.fsum(parts[b:e]), key) for b, e, key in zip([0, *stop], stop, keys, strict=False)], k)
 
 
 def spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -318,19 +324,20 @@ def _searcher(block, least, mean: float, k: int):
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, known = block.value, least.value if least else {}
-        ends, dense = q["ends"].tolist(), np.zeros(len(q["vocabulary"]))
-        threshold = [known.get(r, 0.0) for r in q["rows"].tolist()]
+        ends, dense = q["ends"], np.zeros(len(q["vocabulary"]))
+        threshold = np.array([known.get(r, 0.0) for r in q["rows"].tolist()])
         top: list[list[tuple[float, object]]] = [[] for _ in ends]
         key_type = None
         for batch in batches:
             key_type = batch.column("keys").type.value_type
             for row in _shards(batch):
                 shard = Shard(row, q["vocabulary"], mean)
-                for at, (begin, end) in enumerate(zip([0, *ends], ends, strict=False)):
-                    if found := shard.search(q["terms"][begin:end], q["weights"][begin:end], dense, threshold[at], k):
-                        top[at] = best(top[at] + found, k)
-                        if len(top[at]) == k:
-                            threshold[at] = max(threshold[at], top[at][-1][0])
+                for at in range(0, len(ends) if shard.n else 0, BATCH):
+                    begin, own = ends[at - 1] if at else 0, ends[at : at + BATCH]
+                    for place, found in shard.search_all(q["terms"][begin : own[-1]], q["weights"][begin : own[-1]], own - begin, dense, threshold[at : at + BATCH], k):
+                        top[at + place] = best(top[at + place] + found, k)
+                        if len(top[at + place]) == k:
+                            threshold[at + place] = max(threshold[at + place], top[at + place][-1][0])
         if key_type is None:
             return
         place = pa.array(np.repeat(np.arange(len(top)), np.fromiter(map(len, top), np.int64, len(top))))

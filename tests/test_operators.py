@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 import datetime as dt
 import itertools
 import math
@@ -296,3 +298,20 @@ def test_embedding_edges_at_every_size(spark):
     for block in (32_768, 300):
         got = {(r["a"], r["b"]): r["confidence"] for r in R.embedding_edges(df, block=block).collect()}
         assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.0011 for k in want)
+
+
+def test_set_join_moves_no_pairs(spark):
+    """Pairs that share many items come once, and are neither made distinct nor joined with their items again."""
+    import itertools
+    import random
+
+    draw = random.Random(3)
+    sets = {i: draw.sample("abcdefghijklmnop", draw.randint(1, 9)) for i in range(60)}
+    rows = spark.createDataFrame([(i, i % 3, x) for i, x in sets.items()], "id int, side int, items array<string>")
+    for least in (0.02, 0.3, 1.0):
+        found = A.set_join(rows, least, apart=("side",))
+        want = {(i, j): len({*x} & {*y}) / len({*x} | {*y}) for (i, x), (j, y) in itertools.combinations(sets.items(), 2) if i % 3 != j % 3}
+        got = [(r["left_id"], r["right_id"], r["similarity"]) for r in found.collect()]
+        assert sorted((i, j) for i, j, _ in got) == sorted(p for p, s in want.items() if s >= least) and all(s == pytest.approx(want[i, j]) for i, j, s in got)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") <= 3
+    assert found.inputFiles() and all("/sets-" in f for f in found.inputFiles())

@@ -315,3 +315,13 @@ def test_set_join_moves_no_pairs(spark):
         assert sorted((i, j) for i, j, _ in got) == sorted(p for p, s in want.items() if s >= least) and all(s == pytest.approx(want[i, j]) for i, j, s in got)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") <= 3
     assert found.inputFiles() and all("/sets-" in f for f in found.inputFiles())
+
+
+def test_document_graph_analyses_texts_once(spark, tmp_path):
+    """Edges come from stored terms and claims, not from the documents again."""
+    from weftgraph.operators import build as B
+
+    spark.createDataFrame([(1, "The engine is reliable."), (2, "The engine is not reliable.")], "doc_id long, text string").write.parquet(str(tmp_path / "documents"))
+    found = B.document_graph(spark.read.parquet(str(tmp_path / "documents"))).edges
+    assert found.inputFiles() and not any("/documents/" in f for f in found.inputFiles())
+    assert {r["relation"] for r in found.select("relation").collect()} >= {"mentions"}

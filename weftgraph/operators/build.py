@@ -11,6 +11,7 @@ from weftgraph.functions import text as T
 from weftgraph.functions.scoring import node_confidence
 from weftgraph.operators import analysis as A
 from weftgraph.operators.graph import Graph, first_wins
+from weftgraph.session import written
 
 
 def _id(kind: str, c: Column | str) -> Column:
@@ -26,8 +27,9 @@ def document_graph(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     nodes(id, type, label, confidence, sources), edges(id, source, target, relation, evidence_class, confidence).
     """
-    terms = A.top_terms(docs, 6, key, text)
-    said = A.claims(docs, 4, key, text).withColumn("confidence", F.lit(0.55))
+    # Texts are analysed once, whatever reads the terms and claims.
+    terms = written(A.top_terms(docs, 6, key, text), "terms")
+    said = written(A.claims(docs, 4, key, text), "claims").withColumn("confidence", F.lit(0.55))
     concepts = A.aggregate_terms(terms, key)
     nodes = docs.select(_id("source", key).alias("id"), F.lit("source").alias("type"), T.truncate(F.coalesce(T.first_sentences(T.normalize_whitespace(F.col(text)), 1), F.lit("")), 80).alias("label"), F.lit(1.0).alias("confidence"), F.lit(1).cast("long").alias("sources"))
     nodes = nodes.unionByName(concepts.select("id", F.lit("concept").alias("type"), F.col("name").alias("label"), "confidence", "sources"))
